@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, pii, token_counts, url_reputation
+from . import bpe_codec, decontamination, line_dedup, pii, quality_ledger, token_counts, url_reputation
 from .common import table
 
 #: The URL rules that the query applies.
@@ -24,6 +24,19 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept means: not failed by the base rules, and kept by the newest policy."""
+    done = quality_ledger.ledger(table(spark, sf_dir, "documents"))
+    failed = quality_ledger.base_failed(F.col("fail_bits"))
+    return done.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & quality_ledger.POLICIES[-1].keeps(F.col("fail_bits"))).alias("kept"), "fail_bits"
+    )
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans are written as kind:start:end; those of the four base kinds come first in every list."""
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
@@ -33,6 +46,12 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in pii.BASE), F.sha2(write(base), 256).alias("base_sha256"), write(F.col("spans")).alias("spans"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n = F.size("items").cast("long")
+    return found.select("doc_id", "n_words", "n_hit", n.alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n >= 2).alias("contaminated"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe_codec.round_trip(table(spark, sf_dir, "documents"))
     return done.select(
@@ -41,7 +60,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_reputation, op5_token_counts, op8_personal_data, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_url_reputation, op5_token_counts, op6_quality_ledger, op7_line_dedup, op8_personal_data, op9_decontamination, op10_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
