@@ -21,6 +21,11 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, A_TO_Z, a_to_z)
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once for each row, however often ``use`` or its lambdas name it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import bound, saved
 
 GRAM_WORDS = 25
 MIN_WORDS = 50
@@ -53,20 +53,28 @@ def fingerprints(lines: DataFrame, gram_words: int = GRAM_WORDS, min_words: int
     df = df.select(
         "doc_id", "h", "gn", "sn", F.transform("gn", lambda n, i: hashed(i, n)).alias("gram"), F.transform("sn", lambda n, i: hashed(i, n)).alias("span"),
     )
-    # Inside the span at i, the grams at i + k that end there too; the least, and of equals the last.
-    inside = lambda i, n: F.filter(F.transform(F.slice("gram", i + 1, n), lambda g, k: F.struct(g.alias("g"), (-(i + k)).alias("at"), (k + F.get("gn", i + k)).alias("end"))), lambda x: x["end"] <= n)
-    best = F.transform(F.filter(F.transform("sn", lambda n, i: F.struct(i.alias("i"), n.alias("n"))), lambda x: x["n"].isNotNull()), lambda x: -F.array_min(inside(x["i"], x["n"]))["at"])
+    # Inside the span at i, the grams at i + k that end there too; the least, and of equals the last.  The arrays are bound
+    # once for each row: a column that only a lambda names could otherwise be worked out anew for every element.
+    def pick(v: Column) -> Column:
+        inside = lambda i, n: F.filter(F.transform(F.slice(v["gram"], i + 1, n), lambda g, k: F.struct(g.alias("g"), (-(i + k)).alias("at"), (k + F.get(v["gn"], i + k)).alias("end"))), lambda x: x["end"] <= n)
+        spans = F.filter(F.transform(v["sn"], lambda n, i: F.struct(i.alias("i"), n.alias("n"))), lambda x: x["n"].isNotNull())
+        return F.transform(spans, lambda x: -F.array_min(inside(x["i"], x["n"]))["at"])
+
+    best = bound(F.struct("gram", "gn", "sn"), pick)
     df = df.select("doc_id", "h", "gram", "span", F.array_distinct(best).alias("picked"))
-    return df.select("doc_id", "h", F.transform("picked", lambda i: F.struct(i.alias("at"), F.get("gram", i).alias("gram"), F.get("span", i).alias("span"))).alias("f")).where(F.size("f") > 0)
+    df = df.where(F.size("picked") > 0)
+    chosen = bound(F.struct("picked", "gram", "span"), lambda v: F.transform(v["picked"], lambda i: F.struct(i.alias("at"), F.get(v["gram"], i).alias("gram"), F.get(v["span"], i).alias("span"))))
+    return df.select("doc_id", "h", chosen.alias("f"))
 
 
 def offsets(prints: DataFrame) -> DataFrame:
     """``(doc_id, h, src_id, src_h, off)``: what is to be compared, line i of the document with line i - off of an earlier place."""
     place = F.struct("doc_id", "h", "at")
     # One row for each distinct key of a document, at its first place there.
-    keys = F.flatten(F.transform("f", lambda x: F.array(F.struct(x["gram"].alias("key"), x["at"].alias("at")), F.struct(F.xxhash64(x["span"], F.lit(1)).alias("key"), x["at"].alias("at")))))
-    usable = F.flatten(F.transform("f", lambda x: F.array(F.lit(True), x["span"].isNotNull())))
-    listed = prints.select("doc_id", "h", F.sort_array(F.filter(keys, lambda _, i: F.get(usable, i))).alias("k"))
+    key = lambda k, x: F.struct(k.alias("key"), x["at"].alias("at"))
+    grams = F.transform("f", lambda x: key(x["gram"], x))
+    spans = F.transform(F.filter("f", lambda x: x["span"].isNotNull()), lambda x: key(F.xxhash64(x["span"], F.lit(1)), x))
+    listed = prints.select("doc_id", "h", F.sort_array(F.concat(grams, spans)).alias("k"))
     listed = saved(listed, "line-keys")
     first = F.filter("k", lambda x, i: (i == 0) | (x["key"] != F.get("k", i - 1)["key"]))
     rows = listed.select("doc_id", "h", F.explode(first).alias("x")).select("doc_id", "h", "x.key", "x.at")

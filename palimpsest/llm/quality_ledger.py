@@ -62,11 +62,6 @@ class Policy:
 POLICIES = (Policy("v1", BASE), Policy("v2", tuple(r.name for r in RULES)))
 
 
-def _bound(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out once, however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
 def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``(doc_id, *keep, <measurements>, fail_bits)`` for each row of ``docs``.
 
