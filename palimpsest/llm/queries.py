@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontamination, line_dedup, pii, quality_ledger, token_counts, url_reputation
+from . import bpe_codec, decontamination, line_dedup, ngram_join, pii, quality_ledger, token_counts, url_reputation
 from .common import table
 
 #: The URL rules that the query applies.
@@ -20,6 +20,10 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(table(spark, sf_dir, "pages"), labels, URL_RULES, outcome_id="doc_id")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
@@ -60,7 +64,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_reputation, op5_token_counts, op6_quality_ledger, op7_line_dedup, op8_personal_data, op9_decontamination, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_url_reputation, op4_ngram_jaccard, op5_token_counts, op6_quality_ledger, op7_line_dedup, op8_personal_data, op9_decontamination, op10_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
