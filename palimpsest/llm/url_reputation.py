@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 #: Suffixes of two labels under which names are registered.
 SECOND_LEVEL = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "com.br", "com.cn", "com.mx", "co.in", "co.za", "com.tr")
 #: The bounds between which a prior's strength is kept (in pages).
@@ -72,15 +74,16 @@ def reputation(hosts: DataFrame, z: float = 1.645) -> DataFrame:
     low and high bound the posterior rate at about 95 % on either side (normal approximation to the beta posterior).
     """
     hosts = hosts.withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
+    hosts = saved(hosts, "hosts")
     sums = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums)
     total = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("prior"))
     shrunk = (F.col("bad") + F.col("prior") * F.col("s")) / (F.col("n") + F.col("s"))
-    level = suffixes.crossJoin(F.broadcast(total))  # one row
+    level = saved(suffixes.crossJoin(F.broadcast(total)), "suffixes")  # one row
     level = level.crossJoin(F.broadcast(_strength(level, "prior"))).select("suffix", shrunk.alias("prior"))
     for name, units in (("domain", domains), ("host", hosts)):
-        level = units.join(level, "suffix" if name == "domain" else "domain")
+        level = saved(units.join(level, "suffix" if name == "domain" else "domain"), name)
         level = level.crossJoin(F.broadcast(_strength(level, "prior")))
         if name == "domain":
             level = level.select("domain", shrunk.alias("prior"))
