@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontamination, line_dedup, ngram_join, pii, quality_ledger, token_counts, url_reputation
+from . import bpe_codec, brown_lm, decontamination, html_text, line_dedup, ngram_join, pii, quality_ledger, token_counts, url_reputation
 from .common import table
 
 #: The URL rules that the query applies.
@@ -20,6 +20,17 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(table(spark, sf_dir, "pages"), labels, URL_RULES, outcome_id="doc_id")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = brown_lm.train(docs.where(~brown_lm.held_out(F.col("doc_id"))))
+    done = brown_lm.score(docs, model)
+    return done.select("doc_id", brown_lm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
@@ -64,7 +75,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_reputation, op4_ngram_jaccard, op5_token_counts, op6_quality_ledger, op7_line_dedup, op8_personal_data, op9_decontamination, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_url_reputation, op2_html_text, op3_brown_lm, op4_ngram_jaccard, op5_token_counts, op6_quality_ledger, op7_line_dedup, op8_personal_data, op9_decontamination, op10_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
