@@ -8,6 +8,8 @@
 4. Representatives of a group are compared with each other on their full sets.  A group over ``CELL`` members, or with more than
    ``CELL_SHINGLES`` shingles, is cut into blocks, and each pair of blocks is one task's work, of bounded memory.  A task gives
    one row for each member (its links, and the least member that its links reach), not a row for each pair.
+   In a large group sets are sent as what they lack of, and have beyond, a reference set R that its members resemble; then
+   |A and B| = |R| - |lack A| - |lack B| + |lack A and lack B| + |more A and more B|, exactly, whatever R is.
 5. Components over those rows are the classes.
 
 The comparison covers all pairs of a group, also those that no band brings together, so no link inside a group is lost.
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small
 from .components import components
 from .word_bpe import loaded
 
@@ -31,7 +33,11 @@ WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 #: The most members of a block, and about the most shingles.
-CELL, CELL_SHINGLES = 2048, 1_500_000
+CELL, CELL_SHINGLES = 16_384, 8_000_000
+#: Groups of so many members get a reference set, made of about REFERENCES of them; the sets are broadcast up to REFERENCE_BYTES.
+LARGE, REFERENCES, REFERENCE_BYTES = 512, 32, 16_000_000
+#: The side of a tile of pairs that a task holds at once.
+TILE = 2048
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 160) -> tuple[int, int]:
@@ -117,95 +123,188 @@ def _sketch(words: int, bands: int, rows: int):
 
 
 def _sets(words: int):
+    """Full sets from texts, for those texts that have the set id asked for: as they are, or against a reference set."""
+
     def run(batches):
         shingler = loaded(Shingler, words)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                sets = [shingler(t.as_py()) for t in part.column(1)]
-                same = pa.array([_set_id(s) == sid.as_py() for s, sid in zip(sets, part.column(0), strict=True)])
-                got = pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "shingles"])
-                yield got.filter(same)
+                out: list[list] = [[], [], [], []]
+                for sid, text, ref in zip(*part.columns, strict=True):
+                    s, ref = shingler(text.as_py()), ref.as_py()
+                    if _set_id(s) != sid.as_py():
+                        continue  # another text of the same id
+                    r = lack = 0
+                    if ref is not None:
+                        r = len(ref) // 8
+                        ref = np.frombuffer(ref, np.uint64)
+                        missing = np.setdiff1d(ref, s, assume_unique=True)
+                        lack = len(missing)
+                        s = np.concatenate((np.setdiff1d(s, ref, assume_unique=True) & ~np.uint64(1), missing | np.uint64(1)))
+                    for col, v in zip(out, (sid.as_py(), s.tobytes(), r, lack), strict=True):
+                        col.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, (pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["sid", "data", "r", "lack"])
 
     return run
 
 
-def _shared(column: np.ndarray, row: np.ndarray, n: int, dense_from: int = 48) -> np.ndarray:
-    """How many columns each two of n rows share, from (column, row) pairs sorted by column."""
-    out = np.zeros((n, n), np.float32)
-    start = np.flatnonzero(np.append(True, column[1:] != column[:-1]))
-    df = np.diff(np.append(start, len(column)))
-    for k in range(2, dense_from):  # few rows have it: their pairs are counted
-        at = start[df == k]
-        if len(at):
-            i, j = np.triu_indices(k, 1)
-            for cut in range(0, len(at), max(1, 4_000_000 // len(i))):
-                block = np.sort(row[at[cut : cut + max(1, 4_000_000 // len(i))][:, None] + np.arange(k)], axis=1)
-                out += np.bincount((block[:, i].astype(np.int64) * n + block[:, j]).ravel(), minlength=n * n).reshape(n, n)
-    wide = np.flatnonzero(df >= dense_from)  # many have it: a product of matrices
-    for cut in range(0, len(wide), 2048):
-        some = wide[cut : cut + 2048]
-        m = np.zeros((n, len(some)), np.float32)
-        m[np.concatenate([row[start[c] : start[c] + df[c]] for c in some]), np.repeat(np.arange(len(some)), df[some])] = 1
-        out += np.triu(m @ m.T, 1)
-    return out + out.T
+def _reference(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The shingles that at least half of some members have."""
+    found, n = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("data")]), return_counts=True)
+    # The last bit tells what is lacking from what is there, so that R keeps one of two shingles that differ in it alone.
+    found = found[2 * n >= table.num_rows]
+    found = found[np.unique(found >> np.uint64(1), return_index=True)[1]]
+    return pa.table({"comp": pa.array([key[0].as_py()], pa.binary()), "ref": pa.array([found.tobytes()], pa.binary())})
+
+
+def shared(a: tuple[np.ndarray, np.ndarray, int], b: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+    """How many columns each row of a shares with each row of b; both are (column, row) pairs sorted by column, and a number of rows."""
+    (ca, ra, na), (cb, rb, nb) = a, b
+    out = np.zeros(na * nb, np.float32)
+    ua, sa, da = np.unique(ca, return_index=True, return_counts=True)
+    ub, sb, db = np.unique(cb, return_index=True, return_counts=True)
+    _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
+    sa, da, sb, db = sa[ia], da[ia], sb[ib], db[ib]
+    wide = da.astype(np.int64) * db > max(64, na * nb // 100)
+    # Few rows have the column: each pair of them is counted.
+    fa, fda, fb, fdb = sa[~wide], da[~wide], sb[~wide], db[~wide]
+    pairs = np.cumsum(fda.astype(np.int64) * fdb)
+    cut = 0
+    while cut < len(fa):
+        end = max(cut + 1, int(np.searchsorted(pairs, (pairs[cut - 1] if cut else 0) + 4_000_000, "right")))
+        x, dx, y, dy = fa[cut:end], fda[cut:end], fb[cut:end], fdb[cut:end]
+        left = np.repeat(x, dx) + _within(dx)  # entries of a, each to be met with all of its column's in b
+        times = np.repeat(dy, dx)
+        i = np.repeat(ra[left], times)
+        j = rb[np.repeat(np.repeat(y, dx), times) + _within(times)]
+        out += np.bincount(i * nb + j, minlength=na * nb)
+        cut = end
+    out = out.reshape(na, nb)
+    # Many have it: a product of matrices.
+    wa, wda, wb, wdb = sa[wide], da[wide], sb[wide], db[wide]
+    for cut in range(0, len(wa), 1024):
+        x, dx, y, dy = wa[cut : cut + 1024], wda[cut : cut + 1024], wb[cut : cut + 1024], wdb[cut : cut + 1024]
+        ma, mb = np.zeros((na, len(x)), np.float32), np.zeros((nb, len(x)), np.float32)
+        ma[ra[np.repeat(x, dx) + _within(dx)], np.repeat(np.arange(len(x)), dx)] = 1
+        mb[rb[np.repeat(y, dy) + _within(dy)], np.repeat(np.arange(len(x)), dy)] = 1
+        out += ma @ mb.T
+    return out
+
+
+def _within(n: np.ndarray) -> np.ndarray:
+    """0..n[0]-1, 0..n[1]-1, and so on."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+class _Union:
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+
+    def tile(self, linked: np.ndarray, i0: int, j0: int) -> None:
+        """Join what a matrix of links between rows i0.. and j0.. connects: a breadth-first walk from each row not yet met."""
+        todo = linked.any(1)
+        while todo.any():
+            start = int(todo.argmax())
+            rows = np.zeros(len(todo), bool)
+            rows[start] = True
+            met = np.zeros(linked.shape[1], bool)
+            front = rows.copy()
+            while front.any():
+                new = linked[front].any(0) & ~met
+                met |= new
+                front = linked[:, new].any(1) & ~rows
+                rows |= front
+            todo &= ~rows
+            for i in np.flatnonzero(rows).tolist():
+                self.join(i0 + start, i0 + i)
+            for j in np.flatnonzero(met).tolist():
+                self.join(i0 + start, j0 + j)
 
 
 def _compare(threshold: float):
     per_mille = round(threshold * 1000)
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        i_block, j_block = key[1].as_py(), key[2].as_py()
         sids, first = table.column("sid").to_pylist(), {}
         for k, s in enumerate(sids):
-            first.setdefault(s, k)
-        keep = sorted(first.values())  # a set may come twice if its document does
-        sids = [sids[k] for k in keep]
-        block = table.column("block").to_numpy()[keep]
-        copies = table.column("copies").to_numpy()[keep].astype(np.float64)
-        sets = table.column("shingles")
-        sets = [np.frombuffer(sets[k].as_py(), np.uint64) for k in keep]
-        sizes = np.array([len(s) for s in sets])
-        linked, reach = links(sets, sizes, per_mille, None if i_block == j_block else block == i_block)
-        order = sorted(range(len(sids)), key=sids.__getitem__)
-        rank = np.empty(len(sids), np.int64)
-        rank[order] = np.arange(len(sids))
-        root = reach(rank)
-        return pa.table({"sid": pa.array(sids, pa.binary()), "links": pa.array((linked @ copies).astype(np.int64)), "root": pa.array([sids[order[r]] for r in root], pa.binary())})
+            first.setdefault(s, k)  # a set may come twice if its document does
+        keep = [first[s] for s in sorted(first)]  # from the least on: the least of a component is its root
+        get = lambda c: table.column(c).to_numpy()[keep]
+        data = table.column("data")
+        sets = [np.frombuffer(data[k].as_py(), np.uint64) for k in keep]
+        side = get("block") if key[1].as_py() != key[2].as_py() else None
+        links, root = compare(sets, get("n"), get("r"), get("lack"), get("copies"), per_mille, side)
+        names = [sids[k] for k in keep]
+        return pa.table({"sid": pa.array(names, pa.binary()), "links": pa.array(links), "root": pa.array([names[r] for r in root], pa.binary())})
 
     return run
 
 
-def links(sets: list[np.ndarray], sizes: np.ndarray, per_mille: int, side: np.ndarray | None = None):
-    """The matrix of links between sets (across ``side`` only, if given), and a function from ranks to the least one reached."""
-    n = len(sets)
-    column, row = np.concatenate(sets), np.repeat(np.arange(n), sizes)
-    by = np.argsort(column, kind="stable")
-    column, row = column[by], row[by]
-    again = np.append(column[1:] == column[:-1], False)
-    again |= np.append(False, again[:-1])  # shingles of one set only are in no intersection
-    both = _shared(column[again], row[again], n) if again.any() else np.zeros((n, n), np.float32)
-    linked = both * 1000 >= per_mille * (sizes[:, None] + sizes[None, :] - both)
-    np.fill_diagonal(linked, False)
-    if side is not None:
-        linked &= side[:, None] != side[None, :]
-    linked = linked.astype(np.float32)
-
-    def reach(label: np.ndarray) -> np.ndarray:
-        label = label.copy()
-        rows, cols = np.nonzero(linked)
-        while len(rows):
-            new = label.copy()
-            np.minimum.at(new, rows, label[cols])
-            if (new == label).all():
-                break
-            label = new
-        return label
-
-    return linked, reach
-
-
-def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS, doc_id: str = "doc_id", text: str = "text", cell: int = CELL) -> DataFrame:
+def compare(sets: list[np.ndarray], n: np.ndarray, r: np.ndarray, lack: np.ndarray, copies: np.ndarray, per_mille: int, side: np.ndarray | None = None) -> tuple[np.ndarray, list[int]]:
+    """For each set its links to the others (their copies counted), and the first of those that its links reach.
+
+    side: with it, only sets of different sides are compared.
+    """
+    links, union = np.zeros(len(sets), np.int64), _Union(len(sets))
+    if side is None:
+        tiles = [np.arange(at, min(at + TILE, len(sets))) for at in range(0, len(sets), TILE)]
+        pairs = [(i, j) for i in range(len(tiles)) for j in range(i, len(tiles))]
+    else:
+        two = [np.flatnonzero(side == k) for k in np.unique(side)]
+        tiles, of = [], []
+        for k, members in enumerate(two):
+            for at in range(0, len(members), TILE):
+                tiles.append(members[at : at + TILE])
+                of.append(k)
+        pairs = [(i, j) for i in range(len(tiles)) for j in range(i + 1, len(tiles)) if of[i] != of[j]]
+    order = np.concatenate(tiles) if tiles else np.zeros(0, np.int64)
+    place = np.cumsum([0, *(len(t) for t in tiles)])
+    entries: dict[int, tuple] = {}
+
+    def listed(k: int) -> tuple:
+        if k not in entries:
+            if len(entries) > 2:  # no more than a few tiles are held in this form
+                entries.clear()
+            mine = [sets[x] for x in tiles[k]]
+            column, row = np.concatenate(mine), np.repeat(np.arange(len(mine)), [len(x) for x in mine])
+            by = np.argsort(column, kind="stable")
+            entries[k] = (column[by], row[by], len(mine))
+        return entries[k]
+
+    for i, j in pairs:
+        a, b = listed(i), listed(j)
+        x, y = tiles[i], tiles[j]
+        both = shared(a, b) + (r[x] - lack[x])[:, None] - lack[y][None, :]
+        linked = both * 1000 >= per_mille * (n[x][:, None] + n[y][None, :] - both)
+        if i == j:
+            np.fill_diagonal(linked, False)
+        links[x] += linked @ copies[y].astype(np.int64)
+        if i != j:
+            links[y] += copies[x].astype(np.int64) @ linked
+        union.tile(linked, int(place[i]), int(place[j]))
+    # The union numbers sets by their place in the tiles; what is asked for is the least set.
+    least: dict[int, int] = {}
+    for k, x in enumerate(order.tolist()):
+        root = union.root(k)
+        least[root] = min(least.get(root, x), x)
+    out = list(range(len(sets)))
+    for k, x in enumerate(order.tolist()):
+        out[x] = least[union.root(k)]
+    return links, out
+
+
+def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS, doc_id: str = "doc_id", text: str = "text", cell: int = CELL, large: int = LARGE) -> DataFrame:
     """``(doc_id, class_id, n_links)``, one row for each row of ``docs``.
 
     Documents are linked if the Jaccard similarity of their word shingles is ``threshold`` or more; words are
@@ -224,11 +323,19 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     ties = members.join(centre, "key").select(F.col("sid").alias("a"), "b")
     groups = saved(components(ties).withColumnRenamed("v", "sid").withColumnRenamed("root", "comp"), "groups")
     inside = saved(groups.join(sets.select("sid", "doc_id", "copies", "n"), "sid"), "members")
-    full = docs.join(inside.select("sid", F.col("doc_id").alias("rep")), F.expr("doc_id <=> rep")).select("sid", "text").mapInArrow(_sets(words), "sid binary, shingles binary")
-    blocks = inside.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / cell), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias("g"))
-    placed = inside.join(blocks, "comp").select("sid", "comp", "copies", "g", F.pmod(F.xxhash64("sid"), F.col("g")).cast("int").alias("block"))
+    blocks = saved(inside.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / cell), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias("g"), F.count("*").alias("size")), "groups")
+    # About REFERENCES members of each large group, by their hash, give its reference set.
+    wanted = inside.join(blocks.where(F.col("size") >= large), "comp").where(F.pmod(F.xxhash64("sid", F.lit(1)), F.greatest(F.lit(1), F.floor(F.col("size") / REFERENCES))) == 0)
+    wanted = saved(wanted.select("sid", "comp", F.col("doc_id").alias("rep")), "references")
+    made = docs.join(small(wanted.select("sid", "rep"), 500_000), F.expr("doc_id <=> rep")).select("sid", "text", F.lit(None).cast("binary").alias("ref")).mapInArrow(_sets(words), "sid binary, data binary, r long, lack long")
+    refs = saved(made.join(wanted.select("sid", "comp"), "sid").groupBy("comp").applyInArrow(_reference, "comp binary, ref binary"), "references")
+    if refs.agg(F.coalesce(F.sum(F.octet_length("ref")), F.lit(0))).first()[0] <= REFERENCE_BYTES:
+        refs = F.broadcast(refs)
+    asked = docs.join(inside.select("sid", "comp", F.col("doc_id").alias("rep")), F.expr("doc_id <=> rep")).join(refs, "comp", "left")
+    full = asked.select("sid", "text", "ref").mapInArrow(_sets(words), "sid binary, data binary, r long, lack long")
+    placed = inside.join(blocks, "comp").select("sid", "comp", "copies", "n", "g", F.pmod(F.xxhash64("sid"), F.col("g")).cast("int").alias("block"))
     at = F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))).alias("at")
-    cells = full.join(placed, "sid").select("sid", "comp", "copies", "block", "shingles", at).select("sid", "comp", "copies", "block", "shingles", "at.i", "at.j")
+    cells = full.join(placed, "sid").select("sid", "comp", "copies", "n", "block", "data", "r", "lack", at).select("sid", "comp", "copies", "n", "block", "data", "r", "lack", "at.i", "at.j")
     found = saved(cells.groupBy("comp", "i", "j").applyInArrow(_compare(threshold), "sid binary, links long, root binary"), "links")
     classes = components(found.select(F.col("sid").alias("a"), F.col("root").alias("b")))
     totals = found.groupBy("sid").agg(F.sum("links").alias("links"))
