@@ -331,7 +331,8 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     refs = saved(made.join(wanted.select("sid", "comp"), "sid").groupBy("comp").applyInArrow(_reference, "comp binary, ref binary"), "references")
     if refs.agg(F.coalesce(F.sum(F.octet_length("ref")), F.lit(0))).first()[0] <= REFERENCE_BYTES:
         refs = F.broadcast(refs)
-    asked = docs.join(inside.select("sid", "comp", F.col("doc_id").alias("rep")), F.expr("doc_id <=> rep")).join(refs, "comp", "left")
+    # Texts meet the members by a shuffle at every size: a broadcast that only small inputs get would hide what large ones cost.
+    asked = docs.join(inside.select("sid", "comp", F.col("doc_id").alias("rep")).hint("merge"), F.expr("doc_id <=> rep")).join(refs, "comp", "left")
     full = asked.select("sid", "text", "ref").mapInArrow(_sets(words), "sid binary, data binary, r long, lack long")
     placed = inside.join(blocks, "comp").select("sid", "comp", "copies", "n", "g", F.pmod(F.xxhash64("sid"), F.col("g")).cast("int").alias("block"))
     at = F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))).alias("at")
