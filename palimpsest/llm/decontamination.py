@@ -3,7 +3,8 @@
 1. Windows of the benchmark (8 consecutive words of an item, or all words of a shorter one) are made, equal ones once.
 2. The corpus frequency of every benchmark term is counted over all documents.
 3. Postings ``(term, document, position)`` are stored for the two rarest terms of each window, with the words around them.
-4. For each window the offset-adjusted lists of those two terms are intersected; what is left is compared with the whole window.
+4. For each window the offset-adjusted lists of those two terms are intersected, after each has dropped the places whose words
+   around differ from the window.
 
 A passage that many documents share makes long posting lists, but each list is only met with the few windows that name its
 term; the windows are broadcast if they are few enough to be, and joined by a shuffle otherwise.  DataFrame functions only.
@@ -71,14 +72,11 @@ def postings(docs: DataFrame, terms: DataFrame, around: int = WINDOW - 1) -> Dat
 def phrase_matches(index: DataFrame, anchored: DataFrame) -> DataFrame:
     """``(doc_id, h, phrase, start, length)``: every exact occurrence of a window, once for each (document, text)."""
     at = index.join(small(anchored, BROADCAST_ROWS), "term").withColumn("start", F.col("pos") - F.col("offset"))
-    # The rarest term brings the words around it: they are compared with the whole window.
+    # Each posting brings the words around it: a candidate that differs from the window anywhere isn't sent to be intersected.
     same = F.slice("near", F.greatest(F.col("start") - F.col("first"), F.lit(0)) + 1, F.size("words")) == F.col("words")
-    inside = (F.col("start") >= F.col("first")) & same
-    at = at.select("doc_id", "h", "phrase", "start", "rank", "needed", F.size("words").alias("length"), F.when(F.col("rank") == 0, inside).alias("exact"))
-    met = at.groupBy("doc_id", "h", "phrase", "start").agg(
-        F.first("needed").alias("needed"), F.first("length").alias("length"), F.expr("bit_or(shiftleft(1, rank))").alias("found"), F.max("exact").alias("exact")
-    )
-    return met.where((F.bit_count("found") == F.col("needed")) & F.col("exact")).select("doc_id", "h", "phrase", "start", "length")
+    at = at.where((F.col("start") >= F.col("first")) & same).select("doc_id", "h", "phrase", "start", "rank", "needed", F.size("words").alias("length"))
+    met = at.groupBy("doc_id", "h", "phrase", "start").agg(F.max("needed").alias("needed"), F.max("length").alias("length"), F.expr("bit_or(shiftleft(1, rank))").alias("found"))
+    return met.where(F.bit_count("found") == F.col("needed")).select("doc_id", "h", "phrase", "start", "length")
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
