@@ -136,7 +136,7 @@ def test_knowledge_blocks_and_index(spark):
     got = {r.id: r for r in K.entries(df).collect()}
     assert list(got) == ["ke_1"] and got["ke_1"].file == "b.md" and "first" in got["ke_1"].content and "second" not in got["ke_1"].content
     rows = {r.file: (r.n_entries, r.title, r.description) for r in K.index_rows(df).collect()}
-    assert rows == {"a.md": (1, "One", "About things"), "b.md": (3, "b", "## T"), "c.md": (0, "c", "x" * 100 + "..."), "d.md": (0, "d", "")}
+    assert rows == {"a.md": (1, "One", "About things"), "b.md": (3, "b", "**Associations**: ke_9"), "c.md": (0, "c", "x" * 100 + "..."), "d.md": (0, "d", "")}
     text = K.render_index(K.index_rows(df))
     assert text.split("\n")[4] == "- `memory/knowledge/a.md` (1 entries) — **One**: About things" and len(text.split("\n")) == 8
 
