@@ -26,6 +26,12 @@ def bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """``df`` behind a border for the optimiser: a filter above isn't pushed below it, where it would work out again, for each of
+    its terms, all that its columns are made of."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("__row")).select("__row.*")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import apart
+
 #: What is counted as a symbol, and terms of abuse.
 SYMBOLS = r"[#*$%&|<>]"
 ABUSE = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
@@ -103,7 +105,7 @@ def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tu
     bits = F.lit(0).cast("long")
     for r in rules:
         bits = bits.bitwiseOR(F.when(F.expr(r.fails), F.lit(1 << r.bit).cast("long")).otherwise(F.lit(0).cast("long")))
-    return df.select("doc_id", *(F.col(f"__kept_{k}").alias(k) for k in keep), *through[1 + len(keep) :], bits.alias("fail_bits"))
+    return apart(df.select("doc_id", *(F.col(f"__kept_{k}").alias(k) for k in keep), *through[1 + len(keep) :], bits.alias("fail_bits")))
 
 
 def base_failed(bits: Column) -> Column:
