@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound, saved
+from .common import apart, bound, saved
 
 GRAM_WORDS = 25
 MIN_WORDS = 50
@@ -29,7 +29,7 @@ SPACES = " \t\n\x0b\x0c\r"
 def line_arrays(docs: DataFrame) -> DataFrame:
     """``(doc_id, h, no, hash, words)``, one row for each distinct (id, text): line numbers, hashes and word counts of non-blank lines."""
     lines = F.transform(F.split("text", "\n"), lambda s, i: F.struct(i.alias("no"), F.xxhash64(s).alias("h"), F.regexp_count(s, F.lit(r"[^\x20\x09-\x0D]+")).alias("w")))
-    at = docs.where(F.col("text").isNotNull()).select("doc_id", "h", F.filter(lines, lambda x: x["w"] > 0).alias("l")).where(F.size("l") > 0)
+    at = apart(docs.where(F.col("text").isNotNull()).select("doc_id", "h", F.filter(lines, lambda x: x["w"] > 0).alias("l"))).where(F.size("l") > 0)
     return at.select("doc_id", "h", F.col("l.no").alias("no"), F.col("l.h").alias("hash"), F.col("l.w").alias("words"))
 
 
@@ -62,7 +62,7 @@ def fingerprints(lines: DataFrame, gram_words: int = GRAM_WORDS, min_words: int
 
     best = bound(F.struct("gram", "gn", "sn"), pick)
     df = df.select("doc_id", "h", "gram", "span", F.array_distinct(best).alias("picked"))
-    df = df.where(F.size("picked") > 0)
+    df = apart(df).where(F.size("picked") > 0)
     chosen = bound(F.struct("picked", "gram", "span"), lambda v: F.transform(v["picked"], lambda i: F.struct(i.alias("at"), F.get(v["gram"], i).alias("gram"), F.get(v["span"], i).alias("span"))))
     return df.select("doc_id", "h", chosen.alias("f"))
 
@@ -120,17 +120,17 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
     kept = ("doc_id", *(f"__kept_{k}" for k in keep))
     df = df.select(*kept, "text", F.coalesce("runs", none).alias("runs"))
     merged = F.aggregate("runs", none, lambda a, r: F.when(F.size(a) == 0, F.array(r)).otherwise(_merged(a, r)))
-    df = df.select(*kept, "text", merged.alias("runs"))
+    df = apart(df.select(*kept, "text", merged.alias("runs")))
     lines_of = F.split("text", "\n")
     # What lies between two stretches is cut out as a slice: its length is at least 0.
     edges = F.concat(F.array(F.struct(F.lit(-1).alias("first"), F.lit(-1).alias("last"))), F.col("runs"))
     df = df.select(*kept, "text", "runs", lines_of.alias("lines"), edges.alias("edges"))
     parts = F.flatten(F.transform("edges", lambda r, i: F.slice("lines", r["last"] + 2, F.coalesce(F.get("edges", i + 1)["first"], F.size("lines")) - r["last"] - 1)))
     deleted = F.aggregate("runs", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1)
-    return df.select(
+    return apart(df.select(
         "doc_id", *(F.col(f"__kept_{k}").alias(k) for k in keep), F.when(F.size("runs") == 0, F.col("text")).otherwise(F.array_join(parts, "\n")).alias("text"),
         F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"), deleted.alias("n_deleted"),
-    )
+    ))
 
 
 def _merged(a: Column, r: Column) -> Column:
