@@ -32,11 +32,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one of least id; of rows of that id, one (documents without words stay)."""
-    classes = ngram_join.jaccard_classes(docs)
-    heads = classes.where("doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct()
-    one = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return one.join(heads, F.col("doc_id") == F.col("__id"), "left_semi").select(*COLUMNS)
+    """One document of each class of near-duplicates, the one of least id; documents of one id with different texts are told apart."""
+    keyed = docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("h")))
+    classes = ngram_join.jaccard_classes(keyed, doc_id="__key")
+    heads = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__head"))
+    return keyed.dropDuplicates(["__key"]).join(heads, F.col("__key").eqNullSafe(F.col("__head")), "left_semi").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

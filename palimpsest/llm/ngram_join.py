@@ -314,8 +314,9 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     null id.  Repeated rows are copies.  Other columns aren't read.  An empty table gives an empty result.
     """
     bands, rows = choose_bands(threshold, recall)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketches = saved(docs.mapInArrow(_sketch(words, bands, rows), "doc_id long, sid binary, n long, bands array<long>"), "sketches")
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()  # ids may be anything that has an order
+    sketches = saved(docs.mapInArrow(_sketch(words, bands, rows), f"doc_id {kind}, sid binary, n long, bands array<long>"), "sketches")
     # bands are the same for all rows of a set; max() serves to take one of them.
     sets = saved(sketches.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("bands").alias("bands")), "sets")
     members = sets.select("sid", F.explode("bands").alias("key"))
