@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import tokenizer_path
 from .word_bpe import PreTokenizer, byte_chars, loaded
 
-#: The most words that a worker keeps.
-CACHE = 250_000
+#: About the most words that a worker keeps in each of two generations, while it works on a partition.
+CACHE = 120_000
 #: Words of more characters are merged one by one.
 LONG = 64
 #: Stands for the end of a word; no byte is written with it.
@@ -70,6 +70,7 @@ class Codec:
         for t, i in self.vocab.items():
             self.longest.add_word(t, (i, len(t)))
         self.longest.make_automaton()
+        self.numbers = list(range(n))
         self.chars = {b: c for b, c in byte_chars().items()}
         self.words: dict = {}  # the ids of a pre-token, and of a special id
         self.older: dict = {}
@@ -164,13 +165,20 @@ class Codec:
         same = owner[1:] == owner[:-1]
         np.logical_and.at(good, owner[1:][same], self.apart(ids[:-1][same], ids[1:][same]))
         cut = np.searchsorted(owner, np.arange(len(words) + 1))
-        listed, lo, hi = ids.tolist(), cut[:-1].tolist(), cut[1:].tolist()
+        listed, lo, hi = self.shared(ids.tolist()), cut[:-1].tolist(), cut[1:].tolist()
         short = [k for k in np.flatnonzero(~good).tolist() if len(shown[k]) <= LONG]
-        again = dict(zip(short, self.exact_batch([shown[k] for k in short]), strict=True))
+        again = dict(zip(short, map(self.shared, self.exact_batch([shown[k] for k in short])), strict=True))
         for k, (w, ok) in enumerate(zip(words, good.tolist(), strict=True)):
             self.words[w] = listed[lo[k] : hi[k]] if ok else again[k] if k in again else self.exact(shown[k])
         return int((~good).sum())
 
+    def shared(self, ids: list[int]) -> list[int]:
+        """The same numbers, of which each is one object however many words have it."""
+        return list(map(self.numbers.__getitem__, ids))
+
+    def forget(self) -> None:
+        self.words, self.older = {}, {}
+
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         split = [self.pre.split(t) for t in texts]
         every = set().union(*split)
@@ -201,13 +209,14 @@ def _encode(path: str, decode: bool):
             at = 0
             while at < b.num_rows:  # some MB of text at a time
                 texts, size = [], 0
-                while at + len(texts) < b.num_rows and size < 2_000_000:
+                while at + len(texts) < b.num_rows and size < 1_000_000:
                     texts.append(column[at + len(texts)].as_py() or "")
                     size += len(texts[-1])
                 got = codec.encode_batch(texts)
                 out = [keys.slice(at, len(texts)), pa.array(got, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays([*out, *([pa.array(map(codec.decode, got), pa.string())] if decode else [])], ["doc_id", "ids", "decoded"][: 2 + decode])
                 at += len(texts)
+        codec.forget()  # an idle worker holds no words
 
     return run
 

@@ -70,7 +70,7 @@ class Shingler:
         words = text.encode("utf-8").lower().split() if text else []
         if not words:
             return np.empty(0, np.uint64)
-        if len(self.seen) > 500_000:
+        if len(self.seen) > 300_000:
             self.seen.clear()
         h = np.fromiter(map(self.seen.__getitem__, words), np.uint64, len(words))
         k = min(self.n, len(h))
@@ -118,6 +118,7 @@ def _sketch(words: int, bands: int, rows: int):
                 n.append(len(s))
                 keys.append(hasher(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sid, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "sid", "n", "bands"])
+        shingler.seen.clear()  # an idle worker holds no words
 
     return run
 
@@ -145,6 +146,7 @@ def _sets(words: int):
                     for col, v in zip(out, (sid.as_py(), s.tobytes(), r, lack), strict=True):
                         col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, (pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["sid", "data", "r", "lack"])
+        shingler.seen.clear()
 
     return run
 

@@ -79,4 +79,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracles import oracle_sql as sql
+
+    return sql()
