@@ -35,7 +35,7 @@ class Codec:
     def __init__(self, path: str):
         import ahocorasick
 
-        self.pre = loaded(PreTokenizer, path)
+        self.pre = PreTokenizer(path)
         model = self.pre.spec["model"]
         suffix = model["end_of_word_suffix"] or ""
         mark = lambda t: t.removesuffix(suffix) + END if suffix and t.endswith(suffix) else t
@@ -66,6 +66,7 @@ class Codec:
         # A child that isn't sound makes its parents unsound; parents come later.
         for z in made[np.argsort(self.rank[made])]:
             self.sound[z] &= self.sound[self.left[z]] and self.sound[self.right[z]]
+        self.pre.spec = None
         self.longest = ahocorasick.Automaton()
         for t, i in self.vocab.items():
             self.longest.add_word(t, (i, len(t)))
@@ -217,6 +218,7 @@ def _encode(path: str, decode: bool):
                 yield pa.RecordBatch.from_arrays([*out, *([pa.array(map(codec.decode, got), pa.string())] if decode else [])], ["doc_id", "ids", "decoded"][: 2 + decode])
                 at += len(texts)
         codec.forget()  # an idle worker holds no words
+        pa.default_memory_pool().release_unused()
 
     return run
 
