@@ -6,8 +6,9 @@ Terms, for the non-blank lines of a document: the *gram* at a line is the shorte
 1. *Winnow*: of all grams inside a span, the one of least hash is a fingerprint (the rightmost of equals).  A run of
    ``MIN_WORDS`` words that two places share contains a span whose grams are equal in both, so both have the same fingerprint.
 2. *Join positions*: a fingerprint in a document is joined to its first occurrence in the corpus (documents in order of id), and
-   the same fingerprints inside one document to the one before.  A second key, the whole span from the fingerprint on, keeps
-   an early document that shares only a part from hiding one that shares all.  Never are all pairs of a group made.
+   the same fingerprints inside one document to the one before.  Where a fingerprint has three places or more, its first may
+   share less with a later one than another does; the spans that selected it are joined in the same way, so that each place
+   meets one that shares the whole span.  Never are all pairs of a group made.
 3. *Extend*: a join gives two documents and an offset.  Along it, all lines that agree are marked, to both sides.
 4. *Delete*: marked runs of ``MIN_WORDS`` words or more go from the later place; the first occurrence stays.
 
@@ -45,37 +46,51 @@ def _until(words: int, i: Column) -> Column:
 
 
 def fingerprints(lines: DataFrame, gram_words: int = GRAM_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(doc_id, h, at, gram, span)``: the winnowed places of each document; ``span`` is null where no span begins."""
+    """``(doc_id, h, k, picked, sn)``: ``k`` has the winnowed places ``(key, at)``, sorted; for each line ``sn`` is the number of
+    lines of the span from there and ``picked`` the place that the span selects, both null where no span begins."""
     index = lambda: F.sequence(F.lit(0), F.size("words") - 1)
-    keep = ("doc_id", "h", "hash")
-    df = lines.select(*keep, F.transform(index(), lambda i: _until(gram_words, i)).alias("gn"), F.transform(index(), lambda i: _until(min_words, i)).alias("sn"))
-    hashed = lambda i, n: F.when(n.isNotNull(), F.xxhash64(F.slice("hash", i + 1, n)))
-    df = df.select(
-        "doc_id", "h", "gn", "sn", F.transform("gn", lambda n, i: hashed(i, n)).alias("gram"), F.transform("sn", lambda n, i: hashed(i, n)).alias("span"),
-    )
+    df = lines.select("doc_id", "h", "hash", F.transform(index(), lambda i: _until(gram_words, i)).alias("gn"), F.transform(index(), lambda i: _until(min_words, i)).alias("sn"))
+    grams = bound(F.struct("hash", "gn"), lambda v: F.transform(v["gn"], lambda n, i: F.when(n.isNotNull(), F.xxhash64(F.slice(v["hash"], i + 1, n)))))
+    df = apart(df.select("doc_id", "h", "gn", "sn", grams.alias("gram")))
+
     # Inside the span at i, the grams at i + k that end there too; the least, and of equals the last.  The arrays are bound
     # once for each row: a column that only a lambda names could otherwise be worked out anew for every element.
     def pick(v: Column) -> Column:
         inside = lambda i, n: F.filter(F.transform(F.slice(v["gram"], i + 1, n), lambda g, k: F.struct(g.alias("g"), (-(i + k)).alias("at"), (k + F.get(v["gn"], i + k)).alias("end"))), lambda x: x["end"] <= n)
-        spans = F.filter(F.transform(v["sn"], lambda n, i: F.struct(i.alias("i"), n.alias("n"))), lambda x: x["n"].isNotNull())
-        return F.transform(spans, lambda x: -F.array_min(inside(x["i"], x["n"]))["at"])
+        return F.transform(v["sn"], lambda n, i: F.when(n.isNotNull(), -F.array_min(inside(i, n))["at"]))
+
+    df = apart(df.select("doc_id", "h", "gram", "sn", bound(F.struct("gram", "gn", "sn"), pick).alias("picked")))
+    keys = bound(F.struct("picked", "gram"), lambda v: F.transform(F.array_distinct(F.array_compact(v["picked"])), lambda i: F.struct(F.get(v["gram"], i).alias("key"), i.alias("at"))))
+    return apart(df.select("doc_id", "h", F.sort_array(keys).alias("k"), "picked", "sn")).where(F.size("k") > 0)
+
 
-    best = bound(F.struct("gram", "gn", "sn"), pick)
-    df = df.select("doc_id", "h", "gram", "span", F.array_distinct(best).alias("picked"))
-    df = apart(df).where(F.size("picked") > 0)
-    chosen = bound(F.struct("picked", "gram", "span"), lambda v: F.transform(v["picked"], lambda i: F.struct(i.alias("at"), F.get(v["gram"], i).alias("gram"), F.get(v["span"], i).alias("span"))))
-    return df.select("doc_id", "h", chosen.alias("f"))
+def crowded_spans(prints: DataFrame, lines: DataFrame) -> DataFrame:
+    """``(doc_id, h, k)``: for fingerprints of three places or more, the spans that selected them, as keys at their first lines.
+
+    A span is the shortest from its first line, or the shortest to its last: together they cover every line of a run.
+    """
+    rows = prints.select("doc_id", "h", F.explode("k").alias("x")).select("doc_id", "h", "x.key", "x.at")
+    crowd = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").select("key")
+    places = rows.join(crowd, "key").groupBy(F.col("doc_id").alias("p_id"), F.col("h").alias("p_h")).agg(F.collect_set("at").alias("ats"))
+    source = lines.select(F.col("doc_id").alias("l_id"), F.col("h").alias("l_h"), "hash").dropDuplicates(["l_id", "l_h"])
+    df = prints.dropDuplicates(["doc_id", "h"]).join(places, F.expr("doc_id <=> p_id and h = p_h")).join(source, F.expr("doc_id <=> l_id and h = l_h"))
 
+    def spans(v: Column) -> Column:
+        starts = F.filter(F.transform(v["sn"], lambda n, i: F.struct(i.alias("i"), n.alias("n"))), lambda x: x["n"].isNotNull() & F.array_contains(v["ats"], F.get(v["picked"], x["i"])))
+        # From line i on: the lines up to where the span from the next line ends belong to no other start.
+        most = lambda x: F.greatest(x["n"], F.coalesce(F.get(v["sn"], x["i"] + 1), F.size(v["hash"]) - x["i"]))
+        return F.flatten(F.transform(starts, lambda x: F.transform(F.sequence(x["n"], most(x)), lambda m: F.struct(F.xxhash64(F.slice(v["hash"], x["i"] + 1, m)).alias("key"), x["i"].alias("at")))))
 
-def offsets(prints: DataFrame) -> DataFrame:
-    """``(doc_id, h, src_id, src_h, off)``: what is to be compared, line i of the document with line i - off of an earlier place."""
+    return df.select("doc_id", "h", F.sort_array(bound(F.struct("sn", "picked", "ats", "hash"), spans)).alias("k"))
+
+
+def offsets(listed: DataFrame) -> DataFrame:
+    """``(doc_id, h, src_id, src_h, off)``: what is to be compared, line i of the document with line i - off of an earlier place.
+
+    listed: ``(doc_id, h, k)`` with the keys and places of each document, sorted.
+    """
     place = F.struct("doc_id", "h", "at")
     # One row for each distinct key of a document, at its first place there.
-    key = lambda k, x: F.struct(k.alias("key"), x["at"].alias("at"))
-    grams = F.transform("f", lambda x: key(x["gram"], x))
-    spans = F.transform(F.filter("f", lambda x: x["span"].isNotNull()), lambda x: key(F.xxhash64(x["span"], F.lit(1)), x))
-    listed = prints.select("doc_id", "h", F.sort_array(F.concat(grams, spans)).alias("k"))
-    listed = saved(listed, "line-keys")
     first = F.filter("k", lambda x, i: (i == 0) | (x["key"] != F.get("k", i - 1)["key"]))
     rows = listed.select("doc_id", "h", F.explode(first).alias("x")).select("doc_id", "h", "x.key", "x.at")
     source = rows.groupBy("key").agg(F.min(place).alias("src"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
@@ -89,7 +104,9 @@ def offsets(prints: DataFrame) -> DataFrame:
 
 def repeated_runs(lines: DataFrame, gram_words: int = GRAM_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, h, runs)``: for each document the line numbers ``(first, last)`` of runs that occurred before."""
-    todo = offsets(fingerprints(lines, gram_words, min_words)).groupBy("doc_id", "h", "src_id", "src_h").agg(F.collect_set("off").alias("offs"))
+    prints = saved(fingerprints(lines, gram_words, min_words), "fingerprints")
+    crowded = saved(crowded_spans(prints, lines), "spans")
+    todo = offsets(prints).unionByName(offsets(crowded)).groupBy("doc_id", "h", "src_id", "src_h").agg(F.collect_set("off").alias("offs"))
     source = lines.select(F.col("doc_id").alias("s_id"), F.col("h").alias("s_h"), F.col("hash").alias("s_hash")).dropDuplicates(["s_id", "s_h"])
     own = lines.select(F.col("doc_id").alias("o_id"), F.col("h").alias("o_h"), "no", "hash", "words").dropDuplicates(["o_id", "o_h"])
     df = todo.join(source, F.expr("src_id <=> s_id and src_h = s_h")).select("doc_id", "h", "offs", "s_hash")
