@@ -13,6 +13,7 @@ from ..operators import graph as G
 from ..operators import knowledge as K
 from ..operators import record as R
 from ..operators import working as W
+from ..sinks.scratch import saved
 from ..sources import testdata as D
 from ..streaming import pulse as P
 
@@ -107,9 +108,10 @@ def assoc_degree(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, sf: str, direction: str):
-    events, entries = D.mem(spark, sf), K.entries(D.know_files(spark, sf))
+    """Roots, nodes and links.  The hops read nodes and links again and again, so that these are written once, as a store would have them."""
+    events, entries = saved(D.mem(spark, sf), "events"), saved(K.entries(D.know_files(spark, sf)), "entries")
     roots = events.select(F.col("id").alias("root"))
-    return roots, G.nodes(events, entries), G.edges(events, entries, direction)
+    return roots, saved(G.nodes(events, entries), "nodes"), saved(G.edges(events, entries, direction), "links")
 
 
 def _explore(direction: str, depth: int, dangling: bool = False):
