@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
+import math
 import os
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sinks.scratch import saved, shared_dir  # noqa: F401
+
 #: Word separators of every operator here: the space and the ASCII controls \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 A_TO_Z, a_to_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -32,33 +31,6 @@ def apart(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.array(F.struct(*df.columns))).alias("__row")).select("__row.*")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        own = tempfile.mkdtemp(prefix="palimpsest-")
-        atexit.register(shutil.rmtree, own, True)
-        spark.sparkContext.setCheckpointDir(own)
-        found = own
-    return found.rstrip("/")
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
-
-    A lost executor then costs a re-read, not a re-run of everything before.  The files go when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, max_rows: int) -> DataFrame:
     """``df``, with a broadcast hint if it has at most ``max_rows`` rows; else as it is, for Spark to shuffle."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
@@ -98,6 +70,4 @@ def frequent(counts: DataFrame, key: str, count: str, most: int, max_bytes: int
 
 
 def _bin(c: int) -> int:
-    import math
-
     return math.floor(math.log2(c) * 16)
