@@ -61,18 +61,21 @@ def report(classified: DataFrame, *by: str) -> DataFrame:
     )
 
 
+#: The lines of a report.
+REPORT = """Consolidation {run}complete:
+  Scope: {scope}
+  Events scanned: {events_scanned}
+  Unconsolidated (need LLM distillation): {unconsolidated}
+  Decay applied: {decayed}
+  Archived (score < {threshold:g}): {archived}
+  MEMORY_INDEX.md: {chars} chars ({state})"""
+
+
 def render_report(counts: dict, scope: str, index_chars: int, dry_run: bool, config: Config = Config()) -> str:
-    lines = [
-        f"Consolidation {'(DRY RUN) ' if dry_run else ''}complete:",
-        f"  Scope: {scope}",
-        f"  Events scanned: {counts['events_scanned']}",
-        f"  Unconsolidated (need LLM distillation): {counts['unconsolidated']}",
-        f"  Decay applied: {counts['decayed']}",
-        f"  Archived (score < {config.archive_threshold:g}): {counts['archived']}",
-        f"  MEMORY_INDEX.md: {index_chars} chars {'(preview)' if dry_run else '(regenerated)'}",
-    ]
+    run, state = ("(DRY RUN) ", "preview") if dry_run else ("", "regenerated")
+    text = REPORT.format(run=run, scope=scope, threshold=config.archive_threshold, chars=index_chars, state=state, **counts)
     if counts["unconsolidated"]:
-        lines += ["", f"{counts['unconsolidated']} events wait to be distilled into knowledge files and marked as consolidated."]
+        text += f"\n\n{counts['unconsolidated']} events wait to be distilled into knowledge files and marked as consolidated."
     if index_chars > config.index_max_chars:
-        lines += ["", f"The index is over its target of {config.index_max_chars} chars: merge knowledge files or archive old entries."]
-    return "\n".join(lines)
+        text += f"\n\nThe index is over its target of {config.index_max_chars} chars: merge knowledge files or archive old entries."
+    return text

@@ -83,13 +83,20 @@ def reinforce(events: DataFrame, visited: DataFrame) -> DataFrame:
     return df.withColumn("decay_score", F.when(F.col("reinforced"), F.lit(1.0)).otherwise(F.col("decay_score"))).drop("__id", "__met")
 
 
+#: The lines of a graph as text.
+GRAPH_NONE = "No entry found for ID: {}"
+GRAPH_HEAD = "Association graph from {} (depth: {}, direction: {}):"
+GRAPH_NODE, GRAPH_LINKS = "[{0.kind}] {0.id} (imp: {0.importance:g}, score: {0.score:g})", " → [{}]"
+GRAPH_FOOT = "Nodes visited: {} | Decay scores reinforced"
+
+
 def render(rows: list, root: str, depth: int, direction: str) -> str:
     """The graph as indented text; ``rows`` are those of :func:`described` for one root, in order."""
     if not rows:
-        return f"No entry found for ID: {root}"
-    lines = [f"Association graph from {root} (depth: {depth}, direction: {direction}):", ""]
+        return GRAPH_NONE.format(root)
+    blocks = [GRAPH_HEAD.format(root, depth, direction)]
     for r in rows:
         pad = "  " * r.depth
-        links = f" → [{', '.join(r.associations)}]" if r.associations else ""
-        lines += [f"{pad}[{r.kind}] {r.id} (imp: {r.importance:g}, score: {r.score:g}){links}", f"{pad}  {r.content}", ""]
-    return "\n".join([*lines, f"Nodes visited: {len(rows)} | Decay scores reinforced"])
+        links = GRAPH_LINKS.format(", ".join(r.associations)) if r.associations else ""
+        blocks.append(f"{pad}{GRAPH_NODE.format(r)}{links}\n{pad}  {r.content}")
+    return "\n\n".join([*blocks, GRAPH_FOOT.format(len(rows))])

@@ -20,6 +20,25 @@ SLOTS = 7
 #: Names and texts that a state can hold.
 OVERFLOW = "Pending Items (Overflow)"
 NO_GOAL, NO_FOCUS, DONE = "Not set", "None", "Done (Pending new goal)"
+#: What is said, and how a queue is written.
+SAID = {
+    "saved": "Focus updated.",
+    "completed": "Completed: {}",
+    "overflowed": "Overflowed {} items to scratchpad.md under [{}].",
+    "nothing pending": "No pending siblings to overflow.",
+    "noted": "Appended note to scratchpad.md [{}].",
+    "no overflow": "No overflow section found in scratchpad.md.",
+    "full": "Focus stack is already at or near limit (7). Cannot refill yet.",
+    "refilled": "Refilled {} items from scratchpad to focus stack. {} items remain in overflow.",
+    "plan needs": "Action 'plan' requires 'goal' and 'focus'.",
+    "push needs": "Action 'push' requires 'siblings' array.",
+    "append needs": "Action 'scratchpad_append' requires 'section' and 'content'.",
+    "unknown": "Unknown action: {}",
+}
+GOAL_LINE, TIME_LINE, PATH_HEAD, FOCUS_LINE, NEXT_HEAD = "**Project Goal:** {}", "**Last Updated:** {}", "**Path:**", "**🚀 FOCUS:** {}", "**Upcoming:**"
+PATH_ITEM, NEXT_ITEM = "  └─ {}", "  - {}"
+PATH_HIDDEN, NEXT_HIDDEN = "  └─ ... ({} earlier steps hidden)", "  - ... ({} later steps pending in backend queue)"
+STATUS_HEAD, STATUS_FOOT = "## Current Focus Stack", "*Backend Queue: {} items (Auto-truncating to 7 for MD frontend)*"
 ACTIONS = ("status", "plan", "push", "complete", "overflow", "scratchpad_append", "scratchpad_refill")
 
 
@@ -56,71 +75,69 @@ def step(state: Focus, a: Action) -> tuple[str, str | None]:
         return render_status(state), None
     if a.action == "plan":
         if not a.goal or not a.focus:
-            raise ValueError("Action 'plan' requires 'goal' and 'focus'.")
+            raise ValueError(SAID["plan needs"])
         state.goal, state.path, state.focus, state.pending = a.goal, list(a.path), a.focus, list(a.siblings)
-        said = "Focus updated."
+        said = SAID["saved"]
     elif a.action == "push":
         if not a.siblings:
-            raise ValueError("Action 'push' requires 'siblings' array.")
+            raise ValueError(SAID["push needs"])
         state.pending.extend(a.siblings)
-        said = "Focus updated."
+        said = SAID["saved"]
     elif a.action == "complete":
-        said = f"Completed: {state.focus}"
+        said = SAID["completed"].format(state.focus)
         state.focus = a.next_focus or (state.pending.pop(0) if state.pending else DONE)
     elif a.action == "overflow":
         if not state.pending:
-            return "No pending siblings to overflow.", None
+            return SAID["nothing pending"], None
         section = a.section or OVERFLOW
-        said = f"Overflowed {len(state.pending)} items to scratchpad.md under [{section}]."
+        said = SAID["overflowed"].format(len(state.pending), section)
         state.scratchpad[section] = state.pending + state.scratchpad.get(section, [])
         state.pending = []
     elif a.action == "scratchpad_append":
         if not a.section or not a.content:
-            raise ValueError("Action 'scratchpad_append' requires 'section' and 'content'.")
+            raise ValueError(SAID["append needs"])
         state.scratchpad[a.section] = [a.content, *state.scratchpad.get(a.section, [])]
-        return f"Appended note to scratchpad.md [{a.section}].", None
+        return SAID["noted"].format(a.section), None
     elif a.action == "scratchpad_refill":
         items = state.scratchpad.get(OVERFLOW)
         if not items:
-            return "No overflow section found in scratchpad.md.", None
+            return SAID["no overflow"], None
         room = max(0, SLOTS - state.used())
         if not room:
-            return f"Focus stack is already at or near limit ({SLOTS}). Cannot refill yet.", None
+            return SAID["full"], None
         moved, rest = items[:room], items[room:]
         state.pending.extend(moved)
         if rest:
             state.scratchpad[OVERFLOW] = rest
         else:
             del state.scratchpad[OVERFLOW]
-        said = f"Refilled {len(moved)} items from scratchpad to focus stack. {len(rest)} items remain in overflow."
+        said = SAID["refilled"].format(len(moved), len(rest))
     else:
-        raise ValueError(f"Unknown action: {a.action}")
+        raise ValueError(SAID["unknown"].format(a.action))
     state.updated = a.at or state.updated
     return said, a.insight if a.action == "complete" and a.insight else None
 
 
 def render_status(s: Focus) -> str:
-    return "\n".join(
-        ["## Current Focus Stack", "", f"**Project Goal:** {s.goal}", f"**Last Updated:** {s.updated}", "", "**Path:**", *(f"  └─ {p}" for p in s.path), "", f"**🚀 FOCUS:** {s.focus}", "", "**Upcoming:**"]
-        + [*(f"  - {p}" for p in s.pending), "", f"*Backend Queue: {s.used()} items (Auto-truncating to {SLOTS} for MD frontend)*"]
-    )
+    """The whole queue."""
+    head = [STATUS_HEAD, "", GOAL_LINE.format(s.goal), TIME_LINE.format(s.updated), ""]
+    queue = [PATH_HEAD, *map(PATH_ITEM.format, s.path), "", FOCUS_LINE.format(s.focus), "", NEXT_HEAD, *map(NEXT_ITEM.format, s.pending), ""]
+    return "\n".join([*head, *queue, STATUS_FOOT.format(s.used())])
 
 
 def render_view(s: Focus) -> str:
     """At most seven lines of the queue: the last steps of the path, the focus, the first of what is pending."""
-    shown = min(3, len(s.path))
-    room = SLOTS - 1 - shown
-    ahead = min(room, len(s.pending))
-    shown = min(len(s.path), shown + room - ahead)
-    lines = [f"**Project Goal:** {s.goal}", f"**Last Updated:** {s.updated}", ""]
+    behind = min(3, len(s.path))
+    ahead = min(SLOTS - 1 - behind, len(s.pending))
+    behind = min(len(s.path), SLOTS - 1 - ahead)  # what isn't needed ahead goes to the path
+    hidden, later = len(s.path) - behind, len(s.pending) - ahead
+    parts = [[GOAL_LINE.format(s.goal), TIME_LINE.format(s.updated)]]
     if s.path:
-        hidden = len(s.path) - shown
-        lines += ["**Path:**", *([f"  └─ ... ({hidden} earlier steps hidden)"] if hidden else []), *(f"  └─ {p}" for p in s.path[hidden:]), ""]
-    lines.append(f"**🚀 FOCUS:** {s.focus}")
+        parts.append([PATH_HEAD, *[PATH_HIDDEN.format(hidden)] * (hidden > 0), *map(PATH_ITEM.format, s.path[hidden:])])
+    parts.append([FOCUS_LINE.format(s.focus)])
     if s.pending:
-        later = len(s.pending) - ahead
-        lines += ["", "**Upcoming:**", *(f"  - {p}" for p in s.pending[:ahead]), *([f"  - ... ({later} later steps pending in backend queue)"] if later else [])]
-    return "\n".join(lines)
+        parts.append([NEXT_HEAD, *map(NEXT_ITEM.format, s.pending[:ahead]), *[NEXT_HIDDEN.format(later)] * (later > 0)])
+    return "\n\n".join("\n".join(p) for p in parts)
 
 
 def items_of(text: str) -> list[str]:
