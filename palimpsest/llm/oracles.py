@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .line_dedup import MIN_WORDS
 from .quality_ledger import ABUSE, RULES, SYMBOLS
 from .queries import URL_RULES
 from .url_reputation import SECOND_LEVEL, STRENGTH
@@ -71,6 +72,28 @@ def _op6() -> str:
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words<50 or 100*n_repeat_words>50*n_words as base_failed, fail_bits=0 as kept, fail_bits from b"""
 
 
+def _op7() -> str:
+    """By all shortest runs of 50 words, forwards and backwards: a line goes if one that covers it occurs at an earlier place.
+
+    A blank line goes with its neighbours, which is right as long as two repeated runs don't meet at one.
+    """
+    within = f"a.r=b.r and b.i between a.i and a.i+{MIN_WORDS - 1} and b.cum-a.cum+a.w>={MIN_WORDS}"
+    return rf"""with d as (select doc_id, row_number() over (order by doc_id) as r, text, string_split(text,chr(10)) as ls from documents),
+    l as (select r, unnest(ls) as line, generate_subscripts(ls,1) as no from d),
+    w as (select *, len(regexp_extract_all(line,'{WORD}')) as w from l),
+    c as (select *, row_number() over x as i, sum(w) over x as cum from w where w>0 window x as (partition by r order by no)),
+    span as (select a.r, a.i as a, min(b.i) as b from c a join c b on {within} group by a.r, a.i union select b.r, max(a.i), b.i from c a join c b on {within} group by b.r, b.i),
+    keyed as (select s.r, s.a, s.b, string_agg(line, chr(10) order by c.i) as key from span s join c on c.r=s.r and c.i between s.a and s.b group by s.r, s.a, s.b),
+    firsts as (select key, min((r, a)) as f from keyed group by key),
+    again as (select r, a, b from keyed join firsts using (key) where (r, a) > f),
+    gone as (select distinct c.r, c.i, c.no from again g join c on c.r=g.r and c.i between g.a and g.b),
+    blank as (select w.r, w.no from w join gone x on x.r=w.r and x.no<w.no join gone y on y.r=w.r and y.no>w.no and y.i=x.i+1 where w.w=0),
+    out as (select r, no from gone union select r, no from blank),
+    left_over as (select l.r, string_agg(line, chr(10) order by no) as text, count(*) as n from l anti join out using (r, no) group by l.r)
+    select doc_id, case when whole is not null then coalesce(k.text,'') end as text, cast(coalesce(len(ls),0) as int) as n_lines, cast(coalesce(len(ls),0)-coalesce(k.n,0) as int) as n_deleted
+    from (select doc_id, r, ls, text as whole from d) left join (select r, text, n from left_over) k using (r)"""
+
+
 def _op9() -> str:
     words = rf"regexp_extract_all(translate(coalesce(text,''),{ASCII}),'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     leads = ", ".join(f"lead(w,{k}) over x" for k in range(1, 8))
@@ -87,4 +110,4 @@ def _op9() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_reputation": _op1(), "op4_ngram_jaccard": _op4(), "op6_quality_ledger": _op6(), "op9_decontamination": _op9()}
+    return {"op1_url_reputation": _op1(), "op4_ngram_jaccard": _op4(), "op6_quality_ledger": _op6(), "op7_line_dedup": _op7(), "op9_decontamination": _op9()}
