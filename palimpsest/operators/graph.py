@@ -9,17 +9,26 @@ from ..functions import exprs as X
 from ..schema import DIRECTIONS
 
 
-def nodes(events: DataFrame, knowledge: DataFrame | None = None, order: str = "ord") -> DataFrame:
-    """``(id, kind, content, importance, associations, ord)``: events by ids ``evt_``, entries by ids ``ke_``; of equal ids the first."""
-    shape = lambda df, kind, prefix: df.where(F.col("id").startswith(prefix)).select(
-        "id", F.lit(kind).alias("kind"), "content", F.col("importance").cast("double").alias("importance"), F.coalesce("associations", F.array().cast("array<string>")).alias("associations"), F.col(order).alias("ord")
-    )
+FIELDS = ("kind", "content", "importance", "associations")
+
+
+def nodes(events: DataFrame, knowledge: DataFrame | None = None, order: str = "ord", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """``(id, *fields, ord)``: events by ids ``evt_``, entries by ids ``ke_``; of equal ids the first.
+
+    fields: those of FIELDS that are wanted; contents that nobody asks for are neither read nor shuffled.
+    """
+
+    def shape(df: DataFrame, kind: str, prefix: str) -> DataFrame:
+        of = {"kind": F.lit(kind), "content": F.col("content"), "importance": F.col("importance").cast("double"), "associations": F.coalesce("associations", F.array().cast("array<string>"))}
+        return df.where(F.col("id").startswith(prefix)).select("id", *(of[f].alias(f) for f in fields), F.col(order).alias("ord"))
+
     every = shape(events, "event", "evt_")
     if knowledge is not None:
         every = every.unionByName(shape(knowledge, "knowledge", "ke_"))
-    rest = [c for c in every.columns if c not in ("id", "ord")]
-    first = every.groupBy("id").agg(F.min_by(F.struct(*rest), "ord").alias("x"), F.min("ord").alias("ord"))
-    return first.select("id", *(f"x.{c}" for c in rest), "ord")
+    if not fields:
+        return every.groupBy("id").agg(F.min("ord").alias("ord"))
+    first = every.groupBy("id").agg(F.min_by(F.struct(*fields), "ord").alias("x"), F.min("ord").alias("ord"))
+    return first.select("id", *(f"x.{c}" for c in fields), "ord")
 
 
 def edges(events: DataFrame, knowledge: DataFrame | None = None, direction: str = "both", order: str = "ord") -> DataFrame:
@@ -29,7 +38,7 @@ def edges(events: DataFrame, knowledge: DataFrame | None = None, direction: str
     """
     if direction not in DIRECTIONS:
         raise ValueError(f"unknown direction: {direction}")
-    given = nodes(events, knowledge, order)
+    given = nodes(events, knowledge, order, ("associations",))
     out = given.select(F.col("id").alias("src"), F.posexplode("associations").alias("pos", "dst")).select("src", "dst", F.lit(0).alias("dir"), F.col("pos").cast("long").alias("pos"))
     if direction == "forward":
         return out

@@ -108,10 +108,12 @@ def assoc_degree(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, sf: str, direction: str):
-    """Roots, nodes and links.  The hops read nodes and links again and again, so that these are written once, as a store would have them."""
-    events, entries = saved(D.mem(spark, sf), "events"), saved(K.entries(D.know_files(spark, sf)), "entries")
-    roots = events.select(F.col("id").alias("root"))
-    return roots, saved(G.nodes(events, entries), "nodes"), saved(G.edges(events, entries, direction), "links")
+    """Roots, ids of nodes and links.  The hops read ids and links again and again, so that these are written once, as a store would
+    have them, without the contents."""
+    events = saved(D.mem(spark, sf).select("id", "associations", "ord"), "events")
+    entries = saved(K.entries(D.know_files(spark, sf)).select("id", "associations", "ord"), "entries")
+    ids, links = G.nodes(events, entries, fields=()), G.edges(events, entries, direction)
+    return events.select(F.col("id").alias("root")), saved(ids, "ids"), saved(links, "links")
 
 
 def _explore(direction: str, depth: int, dangling: bool = False):
@@ -127,8 +129,9 @@ def explore_ordered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def explore_scored_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    roots, nodes, edges = _graph(spark, sf, "both")
-    return G.described(G.explore(roots, nodes, edges, 1), nodes).select("root", "id", "depth", "kind", "importance", F.size("associations").cast("long").alias("n_links"), "score", F.length("content").cast("long").alias("n_chars"))
+    roots, ids, links = _graph(spark, sf, "both")
+    nodes = G.nodes(D.mem(spark, sf), K.entries(D.know_files(spark, sf)))
+    return G.described(G.explore(roots, ids, links, 1), nodes).select("root", "id", "depth", "kind", "importance", F.size("associations").cast("long").alias("n_links"), "score", F.length("content").cast("long").alias("n_chars"))
 
 
 def explore_backward_equals_both(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,8 +140,7 @@ def explore_backward_equals_both(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reinforced_events(spark: SparkSession, sf: str) -> DataFrame:
-    roots, nodes, edges = _graph(spark, sf, "forward")
-    visited = G.explore(roots, nodes, edges, 1)
+    visited = G.explore(*_graph(spark, sf, "forward"), 1)
     return G.reinforce(D.mem_ids(spark, sf), visited).where("reinforced").select("event_id", "decay_score")
 
 
