@@ -28,7 +28,7 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("opt
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 #: Parts of a class or id that name what isn't the article.
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|adsense|banners?|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|disclaimer|footers?|gdpr|hidden|login|mast-?head|menus?|modal|nav|navbar|navigation|"
+    r"(?:^|[\s_-])(?<!\bno-)(?<!\bhas-)(?<!\bwith-)(?:ads?|adverts?|advertis\w*|adsense|banners?|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|disclaimer|footers?|gdpr|hidden|login|mast-?head|menus?|modal|nav|navbar|navigation|"
     r"newsletter|notices?|outbrain|overlay|pagination|pager|paywall|popups?|promo\w*|recommend\w*|related|replies|respond|share|sharing|sidebars?|signup|skip|social|sponsor\w*|subscribe|taboola|toolbar|topbar|widgets?)"
     r"(?:$|[\s_-])|(?:^|\s)(?:page|site|top|global)-?header(?:$|\s)",
     re.IGNORECASE,
@@ -78,6 +78,7 @@ def _is_out(tag: str, rest: str, parent: Element) -> bool:
 
 
 def parse(page: str) -> Element:
+    """The tree of a page, with what isn't part of an article marked as out."""
     root = Element("#root", None, False)
     stack, top, at, n = [root], root, 0, len(page)
     open_tags: dict[str, int] = {}

@@ -392,6 +392,8 @@ PAGES = {
     "<table><tr><td>a<td>b<tr><td>c</table>": "a\n\nb\n\nc",
     "<div><p>x<!-- y <p>z --></p><style>p{}</style></div><p attr='un": "x",
     "<p>a&lt;b&gt;&#233;&eacute;</p>": "a<b>éé",
+    '<div class="layout has-sidebar"><p>The text, long enough, of a page.</p><div class="left-sidebar"><p>other</p></div></div>': "The text, long enough, of a page.",
+    '<article></article><div class="ad"><p>Buy, buy, buy.</p></div><nav>Home</nav>': "",
 }
 
 
