@@ -17,10 +17,10 @@ OTHERS = ("lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the newest policy keeps and no base rule fails."""
-    done = quality_ledger.ledger(docs, keep=("text", *OTHERS))
+    """Documents that the policy with toxic terms, learnt from the labels, keeps and no base rule fails."""
+    done = quality_ledger.ledger(docs, keep=("text", *OTHERS), terms=quality_ledger.toxic_terms(docs, table(spark, sf_dir, "labels")))
     bits = F.col("fail_bits")
-    return done.where(~quality_ledger.base_failed(bits) & quality_ledger.POLICIES[-1].keeps(bits)).select(*COLUMNS)
+    return done.where(~quality_ledger.base_failed(bits) & quality_ledger.LABELLED.keeps(bits)).select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

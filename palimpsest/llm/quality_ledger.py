@@ -5,7 +5,9 @@ policy is a mask over those bits with a version, so that policies can be changed
 reading a text again: :func:`apply_policies` applies any number of them, :func:`ablations` says what each rule alone costs, from
 counts by bit pattern.
 
-All of it is DataFrame functions.  The words of a text are handled inside its row: nothing is exploded or shuffled.
+All of it is DataFrame functions.  The words of a text are handled inside its row: nothing is exploded or shuffled.  The one
+exception is :func:`toxic_terms`, which learns the terms of toxic texts in each language from labels: there the words of labelled
+texts are counted by a shuffle.
 """
 
 from __future__ import annotations
@@ -15,12 +17,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart
+from .common import apart, saved, small
 
 #: What is counted as a symbol, and terms of abuse.
 SYMBOLS = r"[#*$%&|<>]"
 ABUSE = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 SPACES = " \t\n\x0b\x0c\r"
+#: What makes a word a toxic term of a language: the least number of its toxic texts with the word, their least share, and how many
+#: times the share of clean texts that is.  The least share bounds the number of terms, whatever the corpus.
+TERM_TEXTS, TERM_SHARE, TERM_RATIO = 4, 0.1, 20
 
 
 @dataclass(frozen=True)
@@ -41,6 +46,8 @@ RULES = (
     Rule(5, "capitals", "100 * n_capitals > 35 * word_chars"),
     Rule(6, "abuse", "n_abuse >= 2 and 500 * n_abuse > n_words"),
 )
+#: Holds only where terms are given to :func:`ledger`.
+TOXIC = Rule(7, "toxic_terms", "n_toxic_terms >= 2")
 #: The rules that fail a document by contract, whatever the policy.
 BASE = ("few_words", "repeated_windows")
 
@@ -54,7 +61,7 @@ class Policy:
     tolerance: int = 0
 
     def mask(self) -> int:
-        bits = {r.name: r.bit for r in RULES}
+        bits = {r.name: r.bit for r in (*RULES, TOXIC)}
         return sum(1 << bits[n] for n in self.rules)
 
     def keeps(self, bits: Column) -> Column:
@@ -62,9 +69,36 @@ class Policy:
 
 
 POLICIES = (Policy("v1", BASE), Policy("v2", tuple(r.name for r in RULES)))
+#: For ledgers with toxic terms.
+LABELLED = Policy("v3", (*POLICIES[-1].rules, TOXIC.name))
 
 
-def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def _terms(text: Column) -> Column:
+    """The different words of a text, in lower case: letters and digits of any script."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+")), "")
+
+
+def toxic_terms(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """``(lang, terms)`` for each language that has any: the words that are frequent in its toxic texts and rare in its clean ones.
+
+    labels: ``(doc_id, toxic)``.  An id is toxic if any of its labels is; ids and labels that are null say nothing.  Equal texts
+    count once, as toxic if one of them is.  A null language is one more language.
+    """
+    known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("text is not null")
+    texts = texts.join(small(known, 1 << 20), "__id").withColumn("h", F.xxhash64("text"))
+    n, n_toxic = F.count("*"), F.sum(F.col("toxic").cast("long"))
+    of_text = lambda df, *keys: df.groupBy(*keys, "h").agg(F.max("toxic").alias("toxic")).groupBy(*keys)
+    every = of_text(texts, "lang").agg(n_toxic.alias("toxic"), (n - n_toxic).alias("clean"))
+    words = of_text(texts.select("lang", "h", "toxic", F.explode(_terms(F.col("text"))).alias("word")), "lang", "word").agg(n_toxic.alias("t"), (n - n_toxic).alias("c")).where(F.col("t") >= TERM_TEXTS)
+    # Half a text more than seen, so that a word that no clean text has needs evidence too.
+    found = words.alias("w").join(F.broadcast(every).alias("e"), F.col("w.lang").eqNullSafe(F.col("e.lang"))).where(
+        (F.col("t") >= TERM_SHARE * F.col("toxic")) & (F.col("t") * F.col("clean") >= TERM_RATIO * (F.col("c") + 0.5) * F.col("toxic"))
+    ).select("w.lang", "word")
+    return saved(found.groupBy("lang").agg(F.sort_array(F.collect_list("word")).alias("terms")), "terms")
+
+
+def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), rules: tuple[Rule, ...] = RULES, terms: DataFrame | None = None, lang: str = "lang") -> DataFrame:
     """``(doc_id, *keep, <measurements>, fail_bits)`` for each row of ``docs``.
 
     Words are ``[^\\x20\\x09-\\x0D]+``.  Measurements: n_words; word_chars (code points in words); n_symbols; n_lines (of those
@@ -72,10 +106,19 @@ def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tu
     found twice or more in the text, the first included); n_capitals (A-Z); n_abuse (terms of abuse).
     A null or empty text has 0 everywhere.  Repeated rows and null ids stay as they are; an empty table gives an empty result.
     keep: other columns of ``docs`` to carry; the rest is not read, so its names can't clash.
+    terms: what :func:`toxic_terms` has found.  Then there is one more measurement, n_toxic_terms (different terms of the document's
+    language), and one more rule, ``TOXIC``.
     """
     given = [F.col(doc_id).cast("long").alias("doc_id"), *(F.col(k).alias(f"__kept_{k}") for k in keep)]
     through = ["doc_id", *(f"__kept_{k}" for k in keep)]
+    if terms is not None:
+        given.append(F.col(lang).alias("__lang"))
     df = docs.select(*given, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    if terms is not None:
+        known = small(terms.select(F.col("lang").alias("__of"), F.col("terms").alias("__terms")), 1 << 12)
+        n_terms = F.coalesce(F.size(F.array_intersect(_terms(F.col("__text")), "__terms")), F.lit(0)).cast("long")
+        df = df.join(known, F.col("__lang").eqNullSafe(F.col("__of")), "left").select(*through, "__text", F.when(F.col("__terms").isNull(), F.lit(0)).otherwise(n_terms).cast("long").alias("n_toxic_terms"))
+        through, rules = [*through, "n_toxic_terms"], (*rules, TOXIC)
     trimmed = F.trim(F.col("__text"), F.lit(SPACES))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
     lines = F.filter(F.split("__text", "\n"), lambda s: F.trim(s, F.lit(SPACES)) != "")

@@ -48,6 +48,14 @@ def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger with the terms of toxic texts in each language, learnt from the labels.  Kept is as above, by the policy that has them."""
+    docs = table(spark, sf_dir, "documents")
+    done = quality_ledger.ledger(docs, terms=quality_ledger.toxic_terms(docs, table(spark, sf_dir, "labels")))
+    failed = quality_ledger.base_failed(F.col("fail_bits"))
+    return done.select("doc_id", "n_words", "n_abuse", "n_toxic_terms", failed.alias("base_failed"), (~failed & quality_ledger.LABELLED.keeps(F.col("fail_bits"))).alias("kept"), "fail_bits")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
@@ -75,7 +83,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_reputation, op2_html_text, op3_brown_lm, op4_ngram_jaccard, op5_token_counts, op6_quality_ledger, op7_line_dedup, op8_personal_data, op9_decontamination, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_url_reputation, op2_html_text, op3_brown_lm, op4_ngram_jaccard, op5_token_counts, op6_quality_ledger, op6_toxic_terms, op7_line_dedup, op8_personal_data, op9_decontamination, op10_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
