@@ -2,8 +2,10 @@
 
 The page is read into a tree of elements in one pass, forgiving what isn't closed.  Every block of text gives points for itself,
 its commas and its length to the elements above it, in full to the nearest container and less to those further up; a container's
-points are discounted by the share of its text that lies in links.  The best container is kept, with those of its siblings that
-score well too; menus, forms, notices and the like are left out wherever they stand, by their tag, role or name.
+points are discounted by the share of its text that lies in links.  The best container says where the text is: in an article or
+main, the outermost one is kept whole, with other articles and those siblings that score well too; else all of the page is kept but
+containers elsewhere whose text is mostly links.  Menus, forms, notices and the like are left out wherever they stand, by their tag,
+role or name.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ MARKUP = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?])")
 REST = re.compile(r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 COMMA = re.compile("[,，、،]")
+#: Blocks that hold a text of their own rather than other blocks.
+LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 tr hr dt dd".split())
 #: How many levels up points reach.
 LEVELS = 6
 
@@ -225,7 +229,7 @@ def _blocks(root: Element, score: bool = False) -> list[str]:
 
 
 def main_text(page: str | None) -> str:
-    """The text of the best container and its good siblings: blocks joined by an empty line; '' if there is none."""
+    """The text of the article around the best container, or of the page: blocks joined by an empty line; '' if there is none."""
     if not page:
         return ""
     root = parse(page)
@@ -242,23 +246,49 @@ def main_text(page: str | None) -> str:
             e.parent.linked += e.linked
     best, most = None, 0.0
     for e in order:
-        if e.tag in BLOCK and e.tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "hr", "dt", "dd") and e.chars or e is root and e.chars:
+        if e.tag in BLOCK and e.tag not in LEAVES and e.chars or e is root and e.chars:
             value = e.score * (1 - e.linked / e.chars) * (1.25 if e.tag in ("article", "main") else 1)
             if value > most:
                 best, most = e, value
     if best is None:
         return ""
-    kept = [best]
-    if best.parent is not None:
-        kept = []
-        for s in best.parent.kids:
-            if s is best:
-                kept.append(s)
-            elif s.__class__ is not str and not s.out and s.chars:
-                density = s.linked / s.chars
-                paragraph = s.tag in ("p", "blockquote", "pre") and density < 0.25 and s.chars > 80
-                if paragraph or s.tag in BLOCK and density < 0.5 and s.score * (1 - density) >= max(5, 0.2 * most):
-                    kept.append(s)
+    path, top = set(), None
+    up: Element | None = best
+    while up is not None:
+        path.add(up)
+        top = up if up.tag in ("article", "main") else top
+        up = up.parent
+    if top is None:
+        # From the leaves up, so that what stands beside a list of links stays.
+        inside = {best}
+        for e in order:
+            if e.parent in inside:
+                inside.add(e)
+        lost: dict[Element, list[int]] = {}
+        for e in reversed(order):
+            chars, linked = lost.pop(e, (0, 0))
+            left = e.chars - chars
+            if e not in path and e not in inside and e.tag in BLOCK and e.tag not in LEAVES and left and e.linked - linked >= 0.5 * left:
+                e.out, chars, linked = True, e.chars, e.linked
+            if chars and e.parent is not None:
+                sums = lost.setdefault(e.parent, [0, 0])
+                sums[0] += chars
+                sums[1] += linked
+        return "\n\n".join(_blocks(root))
+    kept, todo = [], [root]
+    while todo:
+        e = todo.pop()
+        good = e is top
+        if e not in path and e.chars:
+            density = e.linked / e.chars
+            good = e.tag in ("article", "main") and density < 0.5
+            if e.parent is top.parent and not good:
+                paragraph = e.tag in ("p", "blockquote", "pre") and density < 0.25 and e.chars > 80
+                good = paragraph or e.tag in BLOCK and density < 0.5 and e.score * (1 - density) >= max(5, 0.2 * most)
+        if good:
+            kept.append(e)
+        else:
+            todo += [k for k in reversed(e.kids) if k.__class__ is not str and not k.out]
     return "\n\n".join(b for e in kept for b in _blocks(e))
 
 

@@ -419,6 +419,20 @@ def test_html(page):
     assert html_text.main_text(page) == PAGES[page]
 
 
+def test_html_keeps_whole_articles():
+    """Titles, leads, short sections and wrapped text stay, whichever container scores best."""
+    long = "A sentence of the text, with commas, as long as any, and longer, than it should be. " * 5
+    body = "".join(f"<p>{long}{i}</p>" for i in range(4))
+    of = lambda page: html_text.main_text(page).split("\n\n")
+    text = [f"{long}{i}" for i in range(4)]
+    links = "<div>" + "".join(f"<p><a href=/{i}>Elsewhere {i}</a></p>" for i in range(9)) + "</div>"
+    assert of(f"<nav>n</nav><article><h1>Title</h1><p>Short lead.</p><div>{body}</div></article><footer>f</footer>") == ["Title", "Short lead.", *text]
+    assert of(f"<main><h1>Title</h1><section>{body}</section><section><h2>Two</h2><p>Short.</p><ul><li>x</ul></section></main><p>no</p>") == ["Title", *text, "Two", "Short.", "x"]
+    assert of(f"<article><p>First.</p></article><div><article>{body}</article></div><article><p>Last.</p></article>") == ["First.", *text, "Last."]
+    assert of(f"<body>{links}<div><h1>Title</h1><p>Short lead.</p><div><div>{body}</div></div></div><div><div><h2>Two</h2><p>Short.</p></div>{links}</div></body>") == ["Title", "Short lead.", *text, "Two", "Short."]
+    assert of(f"<body>Bare words.<div>{body}</div>More <b>words</b>.<div class=related>r</div></body>") == ["Bare words.", *text, "More words."]
+
+
 def test_html_hostile_and_frame(spark):
     deep = "<div>" * 20_000 + "x" + "</b>" * 10
     assert html_text.main_text(deep) == "x" and html_text.main_text("<" * 5000) and html_text.main_text('<a "' * 3000) == ""
