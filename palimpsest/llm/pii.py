@@ -96,7 +96,7 @@ class Finder:
                     if 8 <= sum(c.isdigit() for c in m[0]) <= 15:
                         add("phone", at, m.end())
             elif anchor == "://":
-                if at >= done["login"] and (m := LOGIN.match(text, at + 3, at + 259)):
+                if at >= done["login"] and (m := LOGIN.match(text, at + 3)):
                     add("login", at + 3, m.end() - 1)
             elif (kind := CUES[anchor]) == "aws":
                 if at >= done["secret"] and (m := AWS.match(text, at)):
@@ -105,8 +105,15 @@ class Finder:
                 if at >= done["secret"] and (m := SECRET.match(text, at + n)) and any(c.isdigit() for c in m[1]):
                     add("secret", m.start(1), m.end(1))
             elif kind == "iban":
-                if at >= done["iban"] and (m := IBAN.search(text, at + n, at + n + 48)) and self.iban(m[0].replace(" ", "")):
-                    add("iban", m.start(), m.end())
+                if at >= done["iban"] and (m := IBAN.search(text, at + n, at + n + 48)):
+                    m = IBAN.match(text, m.start())  # its end may lie beyond
+                    # Capitals and digits of the next words may have been taken for its end: it is tried before each space too.
+                    ends = [m.end(), *(k for k in range(m.end() - 1, m.start(), -1) if text[k] == " ")]
+                    for end in ends:
+                        value = text[m.start() : end].replace(" ", "")
+                        if len(value) >= 15 and self.iban(value):
+                            add("iban", m.start(), end)
+                            break
             elif at >= done["account"] and not low[at - 1 : at].isalpha() and (m := ACCOUNT.match(low, at + n)) and sum(c.isdigit() for c in m[1]) >= 6:
                 add("account", m.start(1), m.end(1))
         return [(k, *s) for k in KINDS for s in found[k]]

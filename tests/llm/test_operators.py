@@ -371,6 +371,18 @@ def test_personal_data_added(spark):
     assert pii.find_personal_data(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("after", ["", " BIC COBADEFF", " I sent", " A B C 12", "\nBIC X", " AND THE NEXT WORDS GO ON IN CAPITALS"])
+@pytest.mark.parametrize("iban", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO9386011117947"])
+def test_iban_before_capitals(iban, after):
+    text = f"My IBAN: {iban}{after}"
+    assert [text[a:b] for kind, a, b in pii.Finder().spans(text) if kind == "iban"] == [iban]
+
+
+def test_long_login():
+    text = f"see https://joe:{'p' * 400}@h.org/"
+    assert [text[a:b] for kind, a, b in pii.Finder().spans(text) if kind == "login"] == ["joe:" + "p" * 400]
+
+
 # 1
 
 
