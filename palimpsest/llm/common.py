@@ -50,6 +50,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
         return os.path.join("/opt/tokenizers", name)
 
 
+def first_row() -> int:
+    """The number of a partition's first row: rows numbered from there on differ over the whole table.  For use in a Python task."""
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId() << 40
+
+
 def frequent(counts: DataFrame, key: str, count: str, most: int, max_bytes: int = 200) -> tuple[int, DataFrame]:
     """A threshold on ``count`` that at most ``most`` rows reach, and those rows (keys of up to ``max_bytes`` only).
 

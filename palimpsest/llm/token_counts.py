@@ -9,11 +9,10 @@ from __future__ import annotations
 from collections import Counter
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frequent, saved, tokenizer_path
+from .common import first_row, frequent, saved, tokenizer_path
 from .word_bpe import PreTokenizer, loaded
 
 #: The most pre-tokens that the broadcast dictionary may hold (of up to 200 bytes each).
@@ -41,12 +40,11 @@ def _count_pre_tokens(path: str):
 
 def _count_pieces(path: str):
     def run(batches):
-        library = loaded(PreTokenizer, path).library
+        pieces = loaded(PreTokenizer, path).pieces
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
-                got = library.encode_batch_fast(part.column(0).to_pylist(), add_special_tokens=False)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x.ids) for x in got], pa.int32())], ["piece", "n", "pieces"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(pieces, part.column(0).to_pylist()), pa.int32())], ["piece", "n", "pieces"])
 
     return run
 
@@ -61,14 +59,14 @@ def pre_token_table(docs: DataFrame, path: str | None = None, text: str = "text"
 def _frequencies(path: str, common):
     def run(batches):
         pre, known = loaded(PreTokenizer, path), common.value
+        row = first_row()
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 ids, texts = part.column(0), part.column(1).to_pylist()
-                rows: list[list] = [[], [], [], [], []]
+                rows: list[list] = [[], [], [], []]
                 for t in texts:
                     t = t or ""
-                    raw = t.encode("utf-8")
                     freq = Counter(pre.split(t))
                     n, rare, times = 0, [], []
                     for p, f in freq.items():
@@ -77,10 +75,11 @@ def _frequencies(path: str, common):
                         else:
                             rare.append(p)
                             times.append(f)
-                    for col, x in zip(rows, (xxhash.xxh3_64_intdigest(raw) - (1 << 63), len(raw), n, rare, times), strict=True):
+                    for col, x in zip(rows, (len(t.encode("utf-8")), n, rare, times), strict=True):
                         col.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, rows, kinds)], ["doc_id", "h", "n_bytes", "n_common", "rare", "times"])
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(texts)), pa.int64()), ids, *map(pa.array, rows, kinds)], ["row", "doc_id", "n_bytes", "n_common", "rare", "times"])
+                row += len(texts)
 
     return run
 
@@ -89,8 +88,10 @@ def token_counts(docs: DataFrame, path: str | None = None, dictionary: int = DIC
     """``(doc_id, n_bytes, n_tokens)`` for each row of ``docs``, with the whole text counted.
 
     A null text counts as empty (0 bytes, 0 tokens).  A null ``doc_id`` is kept.  Rows that repeat come out as often as they
-    went in.  Special strings in a text count as one token each, as in the library.  Only the two named columns are read, so
-    that others may have any name.  An empty table gives an empty result.
+    went in, each with a row number of its own on the way, so that however many equal rows never meet in one group.  (The number
+    is the row's place in its partition: ``docs`` has to be read from a table, or made by a plan that a retry repeats.)  Special
+    strings in a text count as one token each, as in the library.  Only the two named columns are read, so that others may have
+    any name.  An empty table gives an empty result.
     """
     path = path or tokenizer_path()
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -98,17 +99,16 @@ def token_counts(docs: DataFrame, path: str | None = None, dictionary: int = DIC
     least, top = frequent(pieces, "piece", "n", dictionary)
     common = docs.sparkSession.sparkContext.broadcast({r.piece: r.pieces for r in top.collect()})
     rest = pieces.where((F.col("n") < least) | (F.octet_length("piece") > 200)).select("piece", "pieces")
-    freq = docs.mapInArrow(_frequencies(path, common), "doc_id long, h long, n_bytes long, n_common long, rare array<string>, times array<int>")
-    rows = freq.select("doc_id", "h", "n_bytes", "n_common", F.posexplode_outer(F.arrays_zip("rare", "times")).alias("at", "x")).select(
-        "doc_id", "h", "n_bytes", "n_common", F.coalesce("at", F.lit(0)).alias("at"), F.col("x.times").alias("times"),
+    freq = docs.mapInArrow(_frequencies(path, common), "row long, doc_id long, n_bytes long, n_common long, rare array<string>, times array<int>")
+    rows = freq.select("row", "doc_id", "n_bytes", "n_common", F.posexplode_outer(F.arrays_zip("rare", "times")).alias("at", "x"))
+    first = F.coalesce(F.col("at"), F.lit(0)) == 0
+    rows = rows.select(
+        # What belongs to the document goes with its first row alone.
+        "row", *(F.when(first, F.col(c)).alias(c) for c in ("doc_id", "n_bytes", "n_common")), F.col("x.times").alias("times"),
         # A document without rare pre-tokens keeps one row; its key has a space, which no pre-token has, and spreads over the tasks.
-        F.coalesce("x.rare", F.concat(F.lit(" "), F.col("h").cast("string"))).alias("piece"),
+        F.coalesce("x.rare", F.concat(F.lit(" "), F.col("row").cast("string"))).alias("piece"),
     )
-    # Equal rows of (doc_id, text) meet here: `copies` is their number, and each adds the same sum.
-    summed = rows.join(rest, "piece", "left").groupBy("doc_id", "h").agg(
-        F.max("n_bytes").alias("n_bytes"), F.max("n_common").alias("n_common"),
-        F.sum(F.coalesce(F.col("pieces") * F.col("times"), F.lit(0)).cast("long")).alias("n_rare"), F.sum((F.col("at") == 0).cast("long")).alias("copies"),
+    summed = rows.join(rest, "piece", "left").groupBy("row").agg(
+        *(F.max(c).alias(c) for c in ("doc_id", "n_bytes", "n_common")), F.sum(F.coalesce(F.col("pieces") * F.col("times"), F.lit(0)).cast("long")).alias("n_rare")
     )
-    return summed.select(
-        "doc_id", "n_bytes", (F.col("n_common") + F.expr("n_rare div copies")).alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
-    ).drop("copy")
+    return summed.select("doc_id", "n_bytes", (F.col("n_common") + F.col("n_rare")).alias("n_tokens"))

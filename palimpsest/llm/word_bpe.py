@@ -38,8 +38,10 @@ class PreTokenizer:
         self.library.no_padding()
         self.library.no_truncation()
         pattern = next(x["pattern"]["Regex"] for x in self.spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        # For plain characters: the same classes, spelled out for the faster of the two libraries.
-        of = lambda kind: "".join(re.escape(chr(c)) for c in (*range(0x250), *range(0x2010, 0x2060)) if unicodedata.category(chr(c))[0] == kind and not chr(c).isascii())
+        # For plain characters and all that lower() makes of them (which may lie elsewhere, as that of Ə): the same classes, spelled
+        # out for the faster of the two libraries.
+        plain = {x for c in (*range(0x250), *range(0x2010, 0x2060)) for x in chr(c) + chr(c).lower() if not x.isascii()}
+        of = lambda kind: "".join(re.escape(x) for x in sorted(plain) if unicodedata.category(x)[0] == kind)
         spelled = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{WHITE}a-z0-9{of('L')}{of('N')}]").replace(r"\p{L}", f"a-z{of('L')}").replace(r"\p{N}", f"0-9{of('N')}")
         self.find_plain = re.compile(spelled).findall
         letters = pattern.replace(r"[^\s\p{L}\p{N}]", "[^\t-\r a-z0-9]").replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")
@@ -48,6 +50,7 @@ class PreTokenizer:
         longest = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         self.to_byte = {ord(c): b for b, c in byte_chars().items()}
+        self.to_char = byte_chars()
 
     def plain(self, text: str) -> list[str]:
         """Pre-tokens of a text without special strings."""
@@ -58,6 +61,10 @@ class PreTokenizer:
         pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [bytes(self.to_byte[ord(c)] for c in p).decode("utf-8") for p, _ in pieces]
 
+    def pieces(self, pre_token: str) -> int:
+        """How many tokens the library's merges make of a pre-token, which isn't normalised or split again."""
+        return len(self.library.model.tokenize("".join(map(self.to_char.__getitem__, pre_token.encode("utf-8")))))
+
     def split(self, text: str) -> list:
         if self.cut is None or "<|" not in text:
             return self.plain(text)

@@ -30,7 +30,7 @@ def frame(spark, rows):
 @pytest.fixture(scope="module")
 def docs(sf):
     rows = duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet' order by doc_id").fetchall()
-    odd = [None, "", "   \n\t ", "a", "A  b", "Ünï cödé 中文字 ́e İ Σ ß 😀", "<|endoftext|>x <|startoftext|> <|ENDOFTEXT|>", "it's we'll DON'T '' !'s", "x" * 3000, "ab " * 2000, "\x00\x1c\x85\xa0 a\u2028b", "tab\tnew\r\nline\x0bv\x0cf"]
+    odd = [None, "", "   \n\t ", "a", "A  b", "Ünï cödé 中文字 ́e İ Σ ß 😀", "<|endoftext|>x <|startoftext|> <|ENDOFTEXT|>", "it's we'll DON'T '' !'s", "x" * 3000, "ab " * 2000, "\x00\x1c\x85\xa0 a\u2028b", "\u018fli S\u018fN \u0130\u0301x", "tab\tnew\r\nline\x0bv\x0cf"]
     return rows + [(5_000_000 + i, t) for i, t in enumerate(odd)] + [(None, "null id " * 30), (None, None), rows[0], rows[0]]
 
 
@@ -75,6 +75,23 @@ def test_codec_verifies(library):
     assert all(codec.sound[t] for t in tokens)
 
 
+def test_bpe_letters(library):
+    """Every code point, alone and inside a word, words in capitals whose lower case lies far off, and strings of mixed scripts."""
+    chars = [chr(c) for c in range(1 << 16 | 1 << 20) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"{c} a{c}b" for c in chars[k : k + 128]) for k in range(0, len(chars), 128)]
+    texts += ["\u018fli", "S\u018fN", "\u0181AURE", "\u018aan \u0198asa \u01b3an", "\u0190ve \u0186k\u0254", "\u0130\u0301x", "I\u0307\u0301"]
+    rng = random.Random(5)
+    blocks = [(0x20, 0x7F), (0x80, 0x250), (0x250, 0x370), (0x370, 0x530), (0x590, 0x700), (0x900, 0x980), (0x1E00, 0x2070), (0x2C60, 0x2C80), (0x3040, 0x30FF), (0xAC00, 0xAC50), (0x1F600, 0x1F640)]
+    for _ in range(20_000):
+        mine = rng.sample(blocks, rng.randint(1, 3))
+        texts.append("".join(chr(rng.randrange(*rng.choice(mine))) for _ in range(rng.randint(1, 12))))
+    codec = bpe_codec.Codec(tokenizer_path())
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    for t, ids, got in zip(texts, want, codec.encode_batch(texts), strict=True):
+        assert ids == got, t
+        assert sum(1 if p.__class__ is int else codec.pre.pieces(p) for p in codec.pre.split(t)) == len(ids), t
+
+
 @pytest.mark.parametrize("dictionary", [1 << 17, 40, 0])
 def test_token_counts(df, docs, library, dictionary):
     want = Counter((i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in docs)
