@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..schema import DIRECTIONS
+from ..sinks.scratch import saved
+from .numbering import numbered
 
 
 FIELDS = ("kind", "content", "importance", "associations")
@@ -47,36 +51,47 @@ def edges(events: DataFrame, knowledge: DataFrame | None = None, direction: str
     return out.unionByName(back.select("src", "dst", F.lit(1).alias("dir"), "pos"))
 
 
-def explore(roots: DataFrame, node_table: DataFrame, edge_table: DataFrame, depth: int = 2, emit_dangling: bool = False) -> DataFrame:
-    """``(root, id, depth, ord)`` of all nodes within ``depth`` links of each root, in the order a queue would meet them.
+def explore_all(roots: DataFrame, node_table: DataFrame, edge_table: DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Two tables ``(root, id, depth, at)`` of what lies within ``depth`` links of each root: nodes, and ids that no node has.
 
-    roots: ``(root)``.  A node counts once for each root, where it is met first.  An id that no node has is visited but neither
-    returned nor followed (``emit_dangling`` returns those instead, for tests and reports).  The hops are unrolled into one plan
-    of joins on the node id; all roots go through it together.
+    roots: ``(root)``.  A node counts once for each root, where it is met first.  An id that no node has is visited but not
+    followed.  ``at`` is the way there, a ``(dir, pos)`` for each link: among nodes of one depth it sorts as a queue would meet
+    them, so that nothing has to be numbered on the way.  All roots go through a hop together, by joins on the node id; each hop
+    is written once, and the next reads the hops before it instead of planning them again.
     """
-    ids = node_table.select("id")
-    seen = roots.select("root", F.col("root").alias("id")).distinct()
-    front = seen.select("root", "id", F.lit(0).alias("depth"), F.lit(1).cast("long").alias("ord"))
-    found = front.join(ids, "id", "left_semi")
-    dangling = front.join(ids, "id", "left_anti")
-    out, loose, level = found, dangling, found
+    ids = node_table.select("id", F.lit(True).alias("known"))
+
+    def written(df: DataFrame, hop: int) -> DataFrame:
+        known = F.coalesce("known", F.lit(False)).alias("known")
+        return saved(df.join(ids, "id", "left").select("root", "id", F.lit(hop).alias("depth"), "at", known), f"hop{hop}")
+
+    start = F.array().cast("array<struct<dir:int,pos:bigint>>")
+    hops = [written(roots.select("root", F.col("root").alias("id"), start.alias("at")).distinct(), 0)]
     for hop in range(1, depth + 1):
-        step = level.select("root", F.col("id").alias("src"), "ord").join(edge_table, "src")
-        met = step.groupBy("root", F.col("dst").alias("id")).agg(F.min(F.struct("ord", "dir", "pos")).alias("at"))
-        new = met.join(seen, ["root", "id"], "left_anti")
-        place = F.row_number().over(Window.partitionBy("root").orderBy("at")).cast("long")
-        new = new.select("root", "id", F.lit(hop).alias("depth"), place.alias("ord"))
-        level = new.join(ids, "id", "left_semi").select("root", "id", "depth", "ord")
-        loose = loose.unionByName(new.join(ids, "id", "left_anti").select("root", "id", "depth", "ord"))
-        seen = seen.unionByName(new.select("root", "id"))
-        out = out.unionByName(level)
-    return (loose if emit_dangling else out).select("root", "id", "depth", "ord")
+        step = hops[-1].where("known").select("root", F.col("id").alias("src"), "at").join(edge_table, "src")
+        way = F.concat("at", F.array(F.struct(F.col("dir").cast("int").alias("dir"), F.col("pos").cast("long").alias("pos"))))
+        met = step.groupBy("root", F.col("dst").alias("id")).agg(F.min(way).alias("at"))
+        for before in hops:
+            met = met.join(before.select("root", "id"), ["root", "id"], "left_anti")
+        hops.append(written(met, hop))
+    every = reduce(DataFrame.unionByName, hops)
+    return every.where("known").drop("known"), every.where("not known").drop("known")
+
+
+def explore(roots: DataFrame, node_table: DataFrame, edge_table: DataFrame, depth: int = 2, emit_dangling: bool = False) -> DataFrame:
+    """The nodes of :func:`explore_all`, or with ``emit_dangling`` the ids that no node has."""
+    return explore_all(roots, node_table, edge_table, depth)[emit_dangling]
+
+
+def ordered(found: DataFrame) -> DataFrame:
+    """With ``ord``: the place of each node in its level, from 1 for each (root, depth)."""
+    return numbered(found, ("root", "depth"), ("at",), "ord")
 
 
 def described(found: DataFrame, node_table: DataFrame, search: float = X.DEFAULT_SEARCH) -> DataFrame:
-    """``(root, id, depth, ord, kind, content, importance, associations, score)``: contents cut at 300 characters, scored."""
+    """``(root, id, depth, at, kind, content, importance, associations, score)``: contents cut at 300 characters, scored."""
     df = found.join(node_table.drop("ord"), "id")
-    return df.select("root", "id", "depth", "ord", "kind", X.shortened("content").alias("content"), "importance", "associations", X.compute_score("importance", F.size("associations"), search).alias("score"))
+    return df.select("root", "id", "depth", "at", "kind", X.shortened("content").alias("content"), "importance", "associations", X.compute_score("importance", F.size("associations"), search).alias("score"))
 
 
 def ranked(scored: DataFrame, *tie: str, score: str = "score") -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..sinks.scratch import saved
+from .numbering import numbered
 
 #: What an automatic record is given.
 AUTO_TYPE, AUTO_IMPORTANCE, AUTO_TAG, AUTO_CHARS = "insight", 0.6, "auto-recorded", 500
@@ -16,10 +18,17 @@ def next_sequence(lines: DataFrame, day: str = "day") -> DataFrame:
     return lines.groupBy(day).agg((F.count("*") + 1).cast("long").alias("next_seq"))
 
 
+def next_in_files(spark: SparkSession, folder) -> DataFrame:
+    """``(file, next_seq)`` for each event file that has a line: one more than its lines up to the last that isn't blank."""
+    lines = spark.read.text(f"{folder}/*.jsonl").select(F.col("_metadata.file_name").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos")).alias("at"), "value")
+    lines = saved(lines.select("file", "at", (X.trimmed("value") != "").alias("said")), "lines")
+    last = lines.where("said").groupBy("file").agg(F.max("at").alias("last"))
+    return next_sequence(lines.join(last, "file").where(F.col("at") <= F.col("last")), "file")
+
+
 def assign_ids(new: DataFrame, existing: DataFrame | None = None, day: str = "day", order: tuple[str, ...] = ("ts",)) -> DataFrame:
-    """Add ``seq`` and ``id``: numbers go on where each day of ``existing`` ends, in the given order."""
-    seq = F.row_number().over(Window.partitionBy(day).orderBy(*order)).cast("long")
-    df = new.withColumn("seq", seq)
+    """Add ``seq`` and ``id``: numbers go on where each day of ``existing`` ends, in the given order, which has to tell rows apart."""
+    df = numbered(new, (day,), order, "seq")
     if existing is not None:
         base = existing.groupBy(F.col(day).alias("__day")).agg(F.count("*").alias("__n"))
         df = df.join(base, F.col(day) == F.col("__day"), "left").withColumn("seq", F.col("seq") + F.coalesce("__n", F.lit(0))).drop("__day", "__n")

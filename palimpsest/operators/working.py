@@ -20,6 +20,8 @@ SLOTS = 7
 #: Names and texts that a state can hold.
 OVERFLOW = "Pending Items (Overflow)"
 NO_GOAL, NO_FOCUS, DONE = "Not set", "None", "Done (Pending new goal)"
+REFILL_GOAL, REFILL_FOCUS = "Restored", "Refilling..."
+PAD_HEAD, SECTION_HEAD, NOTE, ITEM = "# Scratchpad", "## {}", "- [{}] {}", "- {}"
 #: What is said, and how a queue is written.
 SAID = {
     "saved": "Focus updated.",
@@ -28,6 +30,7 @@ SAID = {
     "nothing pending": "No pending siblings to overflow.",
     "noted": "Appended note to scratchpad.md [{}].",
     "no overflow": "No overflow section found in scratchpad.md.",
+    "empty": "Overflow section is empty.",
     "full": "Focus stack is already at or near limit (7). Cannot refill yet.",
     "refilled": "Refilled {} items from scratchpad to focus stack. {} items remain in overflow.",
     "plan needs": "Action 'plan' requires 'goal' and 'focus'.",
@@ -101,7 +104,7 @@ def step(state: Focus, a: Action) -> tuple[str, str | None]:
     elif a.action == "scratchpad_refill":
         items = state.scratchpad.get(OVERFLOW)
         if not items:
-            return SAID["no overflow"], None
+            return SAID["no overflow" if items is None else "empty"], None
         room = max(0, SLOTS - state.used())
         if not room:
             return SAID["full"], None
@@ -142,8 +145,77 @@ def render_view(s: Focus) -> str:
 
 def items_of(text: str) -> list[str]:
     """Items of a list in Markdown, without bullets and clock times."""
-    found = (re.sub(r"^[-*]\s*(\[\d{2}:\d{2}\])?\s*", "", line).strip() for line in text.split("\n"))
-    return [x for x in found if x]
+    return [x for x in map(_item, text.split("\n")) if x]
+
+
+def _item(line: str) -> str:
+    return re.sub(r"^[-*]\s*(\[\d{2}:\d{2}\])?\s*", "", line).strip()
+
+
+def items(text: Column | str) -> Column:
+    """:func:`items_of` as an expression."""
+    lines = F.split(text, "\n")
+    return F.filter(F.transform(lines, lambda x: X.trimmed(F.regexp_replace(x, r"^[-*]\s*(\[\d{2}:\d{2}\])?\s*", ""))), lambda x: x != "")
+
+
+def noted(pads: DataFrame, clock: str) -> DataFrame:
+    """``(key, text)`` from ``(key, text, section, content)``: each scratchpad with a note in a section; null texts are empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = [with_note(t or "", s, c, clock) for t, s, c in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(new, pa.string())], ["key", "text"])
+
+    return pads.select(F.col("key").cast("long").alias("key"), "text", "section", "content").mapInArrow(run, "key long, text string")
+
+
+def sections(pad: str) -> dict[str, list[str]]:
+    """The items of each section of a scratchpad.  A section goes from its ``## `` line to the next heading of any level; what stands
+    below a heading of another level belongs to none.  Of two sections of one name the first counts."""
+    out: dict[str, list[str]] = {}
+    lines = pad.split("\n")
+    for i, line in enumerate(lines):
+        if line.startswith("## "):
+            out.setdefault(line[3:].strip(), items_of("\n".join(lines[i + 1 : _section_end(lines, i)])))
+    return out
+
+
+def _section_end(lines: list[str], head: int) -> int:
+    return next((k for k in range(head + 1, len(lines)) if re.match(r"#{1,6} ", lines[k])), len(lines))
+
+
+def _section_at(lines: list[str], section: str) -> int | None:
+    return next((k for k, line in enumerate(lines) if line.startswith("## ") and line[3:].strip() == section), None)
+
+
+def with_note(pad: str, section: str, content: str, clock: str) -> str:
+    """The scratchpad with a note behind the head of a section, which is added at the end if it isn't there; all else stays as it is."""
+    note = NOTE.format(clock, content)
+    lines = pad.split("\n")
+    at = _section_at(lines, section)
+    if at is None:
+        return f"{pad.rstrip() or PAD_HEAD}\n\n{SECTION_HEAD.format(section)}\n{note}\n"
+    text = "\n".join([*lines[: at + 1], note, *lines[at + 1 :]])
+    return text if text.endswith("\n") else text + "\n"
+
+
+def with_overflow(pad: str, section: str, items: list[str], clock: str) -> str:
+    """The scratchpad with the items of a queue in a section, in their order, behind a line with the time."""
+    return with_note(pad, section, "\n" + "\n".join(map(ITEM.format, items)), clock)
+
+
+def without_items(pad: str, section: str, n: int) -> str:
+    """The scratchpad without the first ``n`` items of a section (and the lines with nothing but a time before them), or without the
+    section if no item is left; all else stays as it is."""
+    lines = pad.split("\n")
+    at = _section_at(lines, section)
+    if at is None:
+        return pad
+    end = _section_end(lines, at)
+    found = [k for k in range(at + 1, end) if _item(lines[k])]
+    if len(found) <= n:
+        return "\n".join([*lines[:at], *lines[end:]]).rstrip() + "\n"
+    return "\n".join([*lines[: at + 1], *(x for x in lines[at + 1 : found[n]] if not x.strip()), *lines[found[n] :]])
 
 
 def focus_view(stacks: DataFrame) -> DataFrame:

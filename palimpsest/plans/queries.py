@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,8 +14,11 @@ from ..operators import knowledge as K
 from ..operators import record as R
 from ..operators import working as W
 from ..sinks.scratch import saved
+from ..sinks.store import write_files, write_json
 from ..sources import testdata as D
+from ..sources.workspace import Paths, read_events
 from ..streaming import pulse as P
+from ..tools import MemoryWorkspace
 
 TODAY = date.fromisoformat(D.TODAY)
 #: The trigger words occur in no test conversation, so that one query adds two that do.
@@ -125,23 +128,27 @@ def _explore(direction: str, depth: int, dangling: bool = False):
 
 def explore_ordered(spark: SparkSession, sf: str) -> DataFrame:
     """With the place of each node in its level: by the parent's place, outgoing links first, then by position."""
-    return G.explore(*_graph(spark, sf, "both"), 1).select("root", "id", "depth", "ord")
+    return G.ordered(G.explore(*_graph(spark, sf, "both"), 2)).select("root", "id", "depth", "ord")
 
 
 def explore_scored_nodes(spark: SparkSession, sf: str) -> DataFrame:
     roots, ids, links = _graph(spark, sf, "both")
     nodes = G.nodes(D.mem(spark, sf), K.entries(D.know_files(spark, sf)))
-    return G.described(G.explore(roots, ids, links, 1), nodes).select("root", "id", "depth", "kind", "importance", F.size("associations").cast("long").alias("n_links"), "score", F.length("content").cast("long").alias("n_chars"))
+    return G.described(G.explore(roots, ids, links, 2), nodes).select("root", "id", "depth", "kind", "importance", F.size("associations").cast("long").alias("n_links"), "score", F.length("content").cast("long").alias("n_chars"))
 
 
-def explore_backward_equals_both(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = (G.explore(*_graph(spark, sf, d), 1).select("root", "id", "depth") for d in ("backward", "both"))
-    return a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("n_different"))
+def explore_visited(spark: SparkSession, sf: str) -> DataFrame:
+    """How many nodes each exploration visits."""
+    return G.explore(*_graph(spark, sf, "both"), 2).groupBy("root").agg(F.count("*").alias("n_visited"))
 
 
 def reinforced_events(spark: SparkSession, sf: str) -> DataFrame:
-    visited = G.explore(*_graph(spark, sf, "forward"), 1)
-    return G.reinforce(D.mem_ids(spark, sf), visited).where("reinforced").select("event_id", "decay_score")
+    """What explorations from every correction reinforce."""
+    events = saved(D.mem(spark, sf), "events")
+    entries = saved(K.entries(D.know_files(spark, sf)).select("id", "associations", "ord"), "entries")
+    ids, links = saved(G.nodes(events, entries, fields=()), "ids"), saved(G.edges(events, entries, "both"), "links")
+    found, dangling = G.explore_all(events.where("type = 'correction'").select(F.col("id").alias("root")), ids, links, 2)
+    return G.reinforce(events, found.unionByName(dangling)).where("reinforced").select("event_id", "decay_score")
 
 
 def knowledge_resolve(spark: SparkSession, sf: str) -> DataFrame:
@@ -205,6 +212,109 @@ def pulse_ticks_batch(spark: SparkSession, sf: str) -> DataFrame:
     return P.notices(D.trace(spark, sf))
 
 
+def _workspace(spark: SparkSession, sf: str, broken: bool = False) -> MemoryWorkspace:
+    ws = MemoryWorkspace(spark, D.new_workspace(spark))
+    D.event_files(spark, sf, ws.at.events, broken)
+    return ws
+
+
+def _scanned(lenient: bool):
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        df = read_events(spark, _workspace(spark, sf, broken=True).at.events, lenient)
+        return df.select("id", "day", "timestamp", "type", "content", "importance", joined("tags"), joined("associations"), "consolidated", "decay_score")
+
+    return query
+
+
+def workspace_telemetry(spark: SparkSession, sf: str) -> DataFrame:
+    """Unconsolidated events, line by line over files of which some hold lines that aren't JSON."""
+    ws = _workspace(spark, sf, broken=True)
+    return spark.createDataFrame([ws.telemetry()], "unconsolidated long, used long")
+
+
+def workspace_next_seq(spark: SparkSession, sf: str) -> DataFrame:
+    """The next number of each day's file: blank lines between its lines count, those at its end don't."""
+    return R.next_in_files(spark, _workspace(spark, sf, broken=True).at.events).select("file", "next_seq")
+
+
+def _consolidated(scope: str):
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        """A whole run on files: what the days and the archive hold afterwards."""
+        ws = _workspace(spark, sf)
+        write_json(ws.at.focus_stack, {"last_updated": D.REFERENCE.replace(" ", "T") + "Z"})
+        ws.consolidate(datetime.fromisoformat(D.TODAY + "T12:00:00+00:00"), scope)
+        of = lambda folder, place: read_events(spark, folder).select(F.lit(place).alias("place"), "file", "id", "decay_score", F.get_json_object("_raw", "$.more").cast("long").alias("more"))
+        return of(ws.at.events, "events").unionByName(of(ws.at.archive, "archive"))
+
+    return query
+
+
+def workspace_index_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of the index file that a consolidation writes, from knowledge files on disk."""
+    ws = MemoryWorkspace(spark, D.new_workspace(spark))
+    write_files(D.know_files(spark, sf).select("file", F.lit(0).alias("ord"), F.col("content").alias("line")), ws.at.knowledge)
+    ws.consolidate(datetime.fromisoformat(D.TODAY + "T12:00:00+00:00"), "full")
+    return spark.read.text(str(ws.at.index)).select(F.col("value").alias("line"))
+
+
+def index_length(spark: SparkSession, sf: str) -> DataFrame:
+    """How many characters the index has."""
+    return K.index_lines(K.index_rows(D.know_files(spark, sf))).agg((F.sum(F.length("line")) + F.count("*") - 1).alias("index_chars"))
+
+
+def path_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """Every place of a workspace."""
+    return spark.createDataFrame(Paths("ws").catalog("2024-01-05"), "name string, path string")
+
+
+def tool_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Tool calls by whether they use memory."""
+    name = F.concat(F.when(F.col("event_id") % 3 == 0, "memory_").when(F.col("event_id") % 3 == 1, "my_memory_").otherwise(""), F.col("event_type"))
+    calls = D.table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 10 != 0, name).alias("tool"))
+    return calls.select("event_id", P.kind_of_tool(F.col("tool")).alias("kind"))
+
+
+def age_of_text_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Ages of events whose times are text, some of which can't be read: those have none, and are kept."""
+    text = F.when(F.col("event_id") % 10 == 0, "garbage").when(F.col("event_id") % 10 == 1, "").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    df = D.mem_base(spark, sf).withColumn("ts", F.try_to_timestamp(text))
+    return C.classify(df, D.reference()).select("event_id", "age", "action")
+
+
+def bullet_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts read as lists of items."""
+    line = lambda k, c: F.concat(F.lit(k), F.col(c))
+    pad = F.concat_ws("\n", line("- [10:20] ", "source"), line("* ", "lang"), F.lit("- [09:15]"), F.lit("-"), F.col("text"))
+    return D.table(spark, sf, "documents").select("doc_id", F.array_join(W.items(pad), "|").alias("items"))
+
+
+def scratchpad_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts as scratchpads, each with a note in a section: the first that it has, or a new one."""
+    docs = D.table(spark, sf, "documents")
+    found = F.regexp_extract(F.concat(F.lit("\n"), F.col("text")), r"\n## ([^\n]*)", 1)
+    section = F.when(F.trim(found) != "", F.trim(found)).otherwise("Notes")
+    return W.noted(docs.select(F.col("doc_id").alias("key"), "text", section.alias("section"), F.concat(F.lit("seen "), F.col("doc_id").cast("string")).alias("content")), "10:20").select(F.col("key").alias("doc_id"), "text")
+
+
+def record_bulk(spark: SparkSession, sf: str) -> DataFrame:
+    """Events recorded at once: errors come after what their day already has; what isn't given has its default."""
+    m = D.mem_base(spark, sf)
+    new = m.where("type = 'error'").select("ts", "type", F.col("props").alias("content"), F.when(F.col("event_id") % 2 == 0, F.col("importance")).alias("importance"))
+    done = R.new_events(new, m.where("type <> 'error'").select("day"))
+    return done.select("id", "timestamp", "type", "content", "importance", joined("tags"), joined("associations"), "consolidated", "decay_score")
+
+
+def prompt_context(spark: SparkSession, sf: str) -> DataFrame:
+    """What each prompt of a trace is told; a session is new at its first event."""
+    t = D.trace(spark, sf)
+    t = t.join(t.groupBy("session_id").agg(F.min("seq").alias("first")), "session_id").select("session_id", "seq", "kind", (F.col("seq") == F.col("first")).alias("new_session"))
+    t = saved(t, "trace")
+    prompts = t.where("kind = 'prompt'").select("session_id", "seq", F.col("session_id").alias("workspace"), "new_session")
+    stacks = D.stacks(spark, sf).select("workspace", F.concat(F.lit("Focus: "), F.col("current_focus")).alias("view"), X.stack_usage("current_path", "pending_siblings").alias("used"))
+    e = D.table(spark, sf, "events").groupBy(F.col("user_id").alias("workspace")).agg(F.count_if(F.col("event_id") % 4 == 0).alias("unconsolidated"))
+    return P.context(prompts, P.notices(t), stacks, e)
+
+
 def derived_by_type_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """An extension: counts and mean scores by kind and day, with subtotals."""
     df = C.classify(D.mem_base(spark, sf), D.reference()).rollup("type", "day")
@@ -224,11 +334,13 @@ def sql_functions(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict:
     named = (
         mem_events_scan, telemetry_unconsolidated, age_days, decay_scores, decay_compounded_two_runs, score_default_search, score_with_search, rank_topk_per_type, consolidate_classify, consolidate_kept,
-        consolidate_archived, consolidate_report, consolidate_report_by_day, archive_union, edges_exploded, assoc_degree, explore_ordered, explore_scored_nodes, explore_backward_equals_both, reinforced_events,
+        consolidate_archived, consolidate_report, consolidate_report_by_day, archive_union, edges_exploded, assoc_degree, explore_ordered, explore_scored_nodes, explore_visited, reinforced_events,
         knowledge_resolve, knowledge_confidence, knowledge_assoc_parse, knowledge_index_rows, knowledge_index_render, daily_log_render, next_event_seq, last_turns, new_session_flag, auto_record_candidates,
         auto_record_more_words, stack_usage, focus_view_7, working_fold, pulse_ticks_batch, derived_by_type_rollup, sql_functions,
+        workspace_telemetry, workspace_next_seq, workspace_index_file, index_length, path_catalog, tool_kinds, age_of_text_times, bullet_items, scratchpad_notes, record_bulk, prompt_context,
     )
     out = {f.__name__: f for f in named}
+    out |= {"jsonl_strict_scan": _scanned(False), "jsonl_lenient_scan": _scanned(True)} | {f"workspace_consolidate_{s}": _consolidated(s) for s in ("day", "full")}
     out |= {f"scope_{s}": _scope(s) for s in ("session", "day", "full")}
     out |= {f"explore_forward_d{d}": _explore("forward", d) for d in (1, 2, 3)} | {"explore_both_d2": _explore("both", 2), "explore_dangling": _explore("forward", 2, True)}
     return out

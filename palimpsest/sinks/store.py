@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
-import shutil
 import uuid
 from collections.abc import Iterable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,96 @@ def write_event_lines(path: Path, lines: Iterable[str]) -> None:
     write_text(path, "".join(f"{x}\n" for x in lines))
 
 
+def _lines(path: Path) -> list[str]:
+    try:
+        return [x for x in path.read_text(encoding="utf-8").split("\n") if x.strip()]
+    except OSError:
+        return []
+
+
+def _digest(path: Path) -> str:
+    return hashlib.sha256(path.read_bytes()).hexdigest() if path.is_file() else ""
+
+
+def move_lines(day: Path, kept: list[str], archive: Path, moved: list[str]) -> None:
+    """Replace a day by what is kept of it, with what goes at the end of its archive, equal lines and all.
+
+    The archive is written first, so that nothing is lost in between; a note beside it tells how long it was and what the day held,
+    so that a run that breaks off is undone by :func:`settle_moves` before the next and no line is archived twice.
+    """
+    if moved:
+        note = archive.with_name(f".{archive.name}.move")
+        old = _lines(archive)
+        write_json(note, {"lines": len(old), "day": _digest(day)})
+        write_event_lines(archive, [*old, *moved])
+        write_event_lines(day, kept)
+        note.unlink()
+    else:
+        write_event_lines(day, kept)
+
+
+def settle_moves(events: Path, archive: Path) -> None:
+    """Undo moves that broke off: where the day is still as it was, its archive is cut to the length it had."""
+    for note in archive.glob(".*.move") if archive.is_dir() else ():
+        name, was = note.name[1 : -len(".move")], json.loads(note.read_text(encoding="utf-8"))
+        if _digest(events / name) == was["day"]:
+            write_event_lines(archive / name, _lines(archive / name)[: was["lines"]])
+        note.unlink()
+
+
+def write_files(lines: DataFrame, folder: Path) -> int:
+    """Write ``(file, ord, line)`` as text files, the lines of each in order, every file by one task; returns how many."""
+    folder = str(folder)
+
+    def run(batches):
+        name, f, done = None, None, []
+        for b in batches:
+            for file, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if file != name:
+                    if f is not None:
+                        f.close()
+                    name, f = file, Path(folder, file).open("w", encoding="utf-8")
+                    done.append(file)
+                f.write(line + "\n")
+        if f is not None:
+            f.close()
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["file"])
+
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    return lines.repartition("file").sortWithinPartitions("file", "ord").select("file", "line").mapInArrow(run, "file string").count()
+
+
+def rewrite_days(rows: DataFrame, events: Path, archive: Path) -> int:
+    """Write the day files that ``rows`` names: ``(file, block, pos, _raw, new_score, gone)``, with all lines of each; returns how many.
+
+    A line with a new score gets it and keeps all else; those that are gone move to the archive.  A file is one task's work and
+    goes by as its rows come in order, none by way of the driver.  The rows must not come from the files themselves.
+    """
+    events, archive = str(events), str(archive)
+
+    def run(batches):
+        name, kept, moved, done = None, [], [], []
+
+        def write() -> None:
+            if name is not None:
+                move_lines(Path(events, name), kept, Path(archive, name), moved)
+                done.append(name)
+
+        for b in batches:
+            for r in b.to_pylist():
+                if r["file"] != name:
+                    write()
+                    name, kept, moved = r["file"], [], []
+                if r["gone"]:
+                    moved.append(r["_raw"])
+                else:
+                    kept.append(r["_raw"] if r["new_score"] is None else json.dumps(json.loads(r["_raw"]) | {"decay_score": r["new_score"]}, ensure_ascii=False))
+        write()
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["file"])
+
+    return rows.repartition("file").sortWithinPartitions("file", "block", "pos").mapInArrow(run, "file string").count()
+
+
 def write_days(events: DataFrame, table: str, mode: str = "append") -> None:
     """Append to a Parquet table partitioned by ``day``."""
     events.write.mode(mode).partitionBy("day").parquet(table)
@@ -52,10 +143,12 @@ def replace_days(events: DataFrame, table: str, days: list[str]) -> None:
     staging = f"{table.rstrip('/')}/_staging-{uuid.uuid4().hex}"
     events.where(F.col("day").cast("string").isin(*days)).write.partitionBy("day").parquet(staging)
     fs = fs_path(table).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for day in days:
-        fs.delete(fs_path(f"{table}/day={day}"), True)
-        if fs.exists(fs_path(f"{staging}/day={day}")):
-            fs.rename(fs_path(f"{staging}/day={day}"), fs_path(f"{table}/day={day}"))
+    for day in days:  # out of the way, in, and only then deleted: at any time the day is there or beside the table
+        at, old, new = fs_path(f"{table}/day={day}"), fs_path(f"{staging}/_old-{day}"), fs_path(f"{staging}/day={day}")
+        if fs.exists(at):
+            fs.rename(at, old)
+        if fs.exists(new):
+            fs.rename(new, at)
     fs.delete(fs_path(staging), True)
     spark.catalog.refreshByPath(table)
 
@@ -71,7 +164,3 @@ def archive_days(events: DataFrame, archive: str, run_id: str) -> bool:
     events.withColumn("run", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "run").parquet(archive)
     fs.create(mark).close()
     return True
-
-
-def remove(path: Path) -> None:
-    shutil.rmtree(path, ignore_errors=True)

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import atexit
+import os
+import shutil
+import uuid
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..operators.numbering import numbered
+from ..sinks.scratch import shared_dir
+from ..sinks.store import write_files
 
 #: The time that ages are measured to, and what "today" is for scopes.
 REFERENCE = "2024-03-15 00:00:00"
@@ -37,8 +46,7 @@ def mem_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mem_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With ``seq`` and ``id``, numbered by day."""
-    seq = F.row_number().over(Window.partitionBy("day").orderBy("event_id")).cast("long")
-    return mem_base(spark, sf_dir).withColumn("seq", seq).withColumn("id", X.event_id("day", "seq"))
+    return numbered(mem_base(spark, sf_dir), ("day",), ("event_id",)).withColumn("id", X.event_id("day", "seq"))
 
 
 def mem(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,3 +94,28 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("workspace"), F.col("event_id").alias("seq"), name.alias("action"), F.concat(F.lit("goal "), n).alias("goal"), F.concat(F.lit("focus "), n).alias("focus"),
         F.array(F.concat(F.lit("a"), n), F.concat(F.lit("b"), n)).alias("siblings"),
     )
+
+
+def new_workspace(spark: SparkSession) -> str:
+    """A folder for a workspace below the shared one, which has to be a mounted file system; it goes when the application ends."""
+    scheme, _, path = shared_dir(spark).rpartition("://")
+    if scheme not in ("", "file"):
+        raise ValueError("a workspace lies on a mounted file system")
+    at = f"{path.removeprefix('file:')}/palimpsest/workspace-{uuid.uuid4().hex}"
+    os.makedirs(at)
+    atexit.register(shutil.rmtree, at, True)
+    return at
+
+
+def event_files(spark: SparkSession, sf_dir: str, folder: str, broken: bool = False) -> int:
+    """All events as JSONL, a file for each day.  broken: with blank lines, and lines that aren't JSON on every seventh day of a month."""
+    m = mem(spark, sf_dir)
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp")
+    event = F.to_json(F.struct("id", stamp, "type", "content", "tags", "importance", "associations", "consolidated", "decay_score", F.col("event_id").alias("more")))
+    lines = m.select(F.concat(F.col("day").cast("string"), F.lit(".jsonl")).alias("file"), "event_id", F.dayofmonth("day").alias("d"), event.alias("line"))
+    extra = F.array(F.struct(F.lit(0).alias("k"), F.col("line").alias("line")))
+    if broken:
+        blank = F.when(F.col("event_id") % 10 == 0, F.struct(F.lit(1).alias("k"), F.lit("  ").alias("line")))
+        bad = F.when((F.col("event_id") % 50 == 0) & (F.col("d") % 7 == 0), F.struct(F.lit(2).alias("k"), F.lit("{bad").alias("line")))
+        extra = F.array_compact(F.concat(extra, F.array(blank, bad)))
+    return write_files(lines.select("file", "event_id", F.explode(extra).alias("x")).select("file", F.struct("event_id", "x.k").alias("ord"), "x.line"), Path(folder))

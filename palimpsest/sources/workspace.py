@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from datetime import date, timedelta
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import EVENT
+from ..schema import EVENT, SCOPES
 
 
 @dataclass(frozen=True)
@@ -53,10 +54,39 @@ class Paths:
     def knowledge(self) -> Path:
         return self._at("memory", "knowledge")
 
+    @property
+    def skills_verified(self) -> Path:
+        return self._at("memory", "skills", "verified")
+
+    @property
+    def skills_drafts(self) -> Path:
+        return self._at("memory", "skills", "drafts")
+
+    @property
+    def skills_registry(self) -> Path:
+        return self._at("memory", "skills", "_registry.json")
+
+    @property
+    def dot_memory(self) -> Path:
+        return self._at(".memory")
+
+    @property
+    def events_schema(self) -> Path:
+        return self._at(".memory", "events", "_schema.json")
+
+    @property
+    def scripts(self) -> Path:
+        return self._at(".memory", "scripts")
+
     @property
     def index(self) -> Path:
         return self._at("MEMORY_INDEX.md")
 
+    def catalog(self, day: str) -> list[tuple[str, str]]:
+        """``(name, path)`` of every place, with the files of one day."""
+        fixed = [(k, str(getattr(self, k))) for k, v in vars(Paths).items() if isinstance(v, property)]
+        return [*fixed, ("day_events", str(self.day_events(day))), ("day_log", str(self.day_log(day)))]
+
     def day_events(self, day: str) -> Path:
         return self.events / f"{day}.jsonl"
 
@@ -78,33 +108,49 @@ def read_text(path: Path, fallback: str = "") -> str:
         return fallback
 
 
-def event_lines(spark: SparkSession, folder: Path | str) -> DataFrame:
-    """``(file, day, pos, value, parsed)``: non-blank lines of the ``*.jsonl`` files of a folder; ``parsed`` is null if it isn't JSON.
+def event_files(folder: Path | str) -> list[str]:
+    """The names of a folder's ``*.jsonl`` files, in order; those that begin with ``.`` or ``_`` aren't events."""
+    return sorted(p.name for p in Path(folder).glob("[!._]*.jsonl"))
+
+
+def files_in_scope(folder: Path | str, scope: str, today: date) -> list[str]:
+    """The event files that a consolidation looks at: ``session``: that of today; ``day``: names (without the ending) from seven days ago
+    on, compared as text, so that other names sort as they are spelled; ``full``: all."""
+    if scope not in SCOPES:
+        raise ValueError(f"unknown scope: {scope}")
+    least = (today - timedelta(days=7)).isoformat()
+    return [f for f in event_files(folder) if scope == "full" or scope == "session" and f == f"{today.isoformat()}.jsonl" or scope == "day" and f.removesuffix(".jsonl") >= least]
+
+
+def event_lines(spark: SparkSession, folder: Path | str, names: list[str] | None = None) -> DataFrame:
+    """``(file, day, block, pos, value, parsed)``: non-blank lines of the ``*.jsonl`` files of a folder; ``parsed`` is null if it isn't JSON.
 
-    The day is the file's name, kept as text since files may be named otherwise; a filter on it leaves other files unread where
-    it can be answered from the path.
+    The day is the file's name, kept as text since files may be named otherwise.  (block, pos) is the order of a file's lines:
+    the part of the file that a task has read, and the place in that task.  names: only these files are read.
     """
-    if not any(Path(folder).glob("[!._]*.jsonl")):
-        return spark.createDataFrame([], "file string, day string, pos long, value string, parsed variant")
-    # A file's rows come in order inside a partition, which is what `pos` keeps.
-    lines = spark.read.text(f"{folder}/*.jsonl").select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("pos"), "value").where(~F.col("value").rlike(r"^\s*$"))
-    return lines.select("file", F.regexp_replace("file", r"\.jsonl$", "").alias("day"), "pos", "value", F.try_parse_json("value").alias("parsed"))
+    found = event_files(folder) if names is None else names
+    if not found:
+        return spark.createDataFrame([], "file string, day string, block long, pos long, value string, parsed variant")
+    at = f"{folder}/*.jsonl" if names is None else [f"{folder}/{f}" for f in found]
+    lines = spark.read.text(at).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"), "value")
+    lines = lines.where(~F.col("value").rlike(r"^\s*$"))
+    return lines.select("file", F.regexp_replace("file", r"\.jsonl$", "").alias("day"), "block", "pos", "value", F.try_parse_json("value").alias("parsed"))
 
 
 def _typed(lines: DataFrame) -> DataFrame:
     get = lambda f: F.try_variant_get("parsed", f"$.{f.name}", f.dataType.simpleString()).alias(f.name)
-    return lines.select(*(get(f) for f in EVENT.fields), "file", "day", "pos", F.col("value").alias("_raw"))
+    return lines.select(*(get(f) for f in EVENT.fields), "file", "day", "block", "pos", F.col("value").alias("_raw"))
 
 
-def read_events(spark: SparkSession, folder: Path | str, lenient: bool = False) -> DataFrame:
-    """Events with ``file``, ``day``, ``pos`` and ``_raw`` (the line as it was, so that unknown keys survive a rewrite).
+def read_events(spark: SparkSession, folder: Path | str, lenient: bool = False, names: list[str] | None = None) -> DataFrame:
+    """Events with ``file``, ``day``, ``block``, ``pos`` and ``_raw`` (the line as it was, so that unknown keys survive a rewrite).
 
     strict: a file with any line that isn't JSON gives nothing; lenient: only such lines don't.  A field of another type is null.
     """
-    lines = event_lines(spark, folder)
+    lines = event_lines(spark, folder, names)
     if not lenient:
         bad = lines.where(F.col("parsed").isNull()).select("file").distinct()
-        lines = lines.join(F.broadcast(bad), "file", "left_anti")  # one row for each file of a folder at most
+        lines = lines.join(bad, "file", "left_anti")
     return _typed(lines.where(F.col("parsed").isNotNull()))
 
 

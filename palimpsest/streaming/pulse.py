@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
+
 LIMIT = 5
 KINDS = ("tool", "mem", "prompt")
 
@@ -76,16 +78,68 @@ def stream_notices(stream: DataFrame, limit: int = LIMIT, ttl_ms: int = 30 * 86_
     return stream.groupBy("session_id").transformWithStateInPandas(Pulse(), "session_id string, seq long, ticks long", "Append", "ProcessingTime")
 
 
+#: What a prompt is told.
+FOCUS_HEAD = "## 🎯 Active Focus\n"
+TELEMETRY = "> 📊 **System Health Telemetry:**\n> - Unconsolidated Events: {} (If > 3, consider calling `memory_consolidate`)\n> - Active Focus Stack: {}/7 slots filled"
+INDEX = "> 📁 **Available Memory Index (Partial):**\n> - `memory/knowledge/user-prefs.md` (User preferences & coding style)\n> - `memory/knowledge/architecture.md` (System design decisions)\n> - `memory/YYYY-MM-DD.md` (Recent historical events)"
+WAKE = "> New session: check what is known before going on.\n"
+OVERLOAD = "> {} tool calls without using memory: record what was found.\n"
+CONTEXT_HEAD, CONTEXT_FOOT = "<!-- Memory Context (Live) -->\n", "\n<!-- End Memory Context -->"
+
+
+def _filled(template: str, *values: Column) -> Column:
+    parts = template.split("{}")
+    return F.concat(*(x for pair in zip(map(F.lit, parts), (*values, F.lit("")), strict=True) for x in pair))
+
+
 def context(prompts: DataFrame, fired: DataFrame, stacks: DataFrame, telemetry: DataFrame) -> DataFrame:
     """``(session_id, seq, context)`` of each prompt: focus, wake-up of a new session or overload, null if there is nothing to say.
 
+    A wake-up and an overload tell the state of the memory and where its index begins.
     prompts: ``(session_id, seq, workspace, new_session)``; stacks: ``(workspace, view, used)``; telemetry: ``(workspace, unconsolidated)``.
     """
     df = prompts.join(fired, ["session_id", "seq"], "left").join(stacks, "workspace", "left").join(telemetry, "workspace", "left")
-    health = F.concat(F.lit("> Unconsolidated events: "), F.coalesce("unconsolidated", F.lit(0)).cast("string"), F.lit("\n> Focus stack: "), F.coalesce("used", F.lit(0)).cast("string"), F.lit("/7 slots filled"))
-    focus = F.when(F.coalesce(F.trim("view"), F.lit("")) != "", F.concat(F.lit("## Active Focus\n"), F.trim("view")))
-    wake = F.when(F.col("new_session"), F.concat(F.lit("> New session: check what is known before going on.\n"), health))
-    over = F.when(~F.col("new_session") & F.col("ticks").isNotNull(), F.concat(F.lit("> "), F.col("ticks").cast("string"), F.lit(" tool calls without using memory: record what was found.\n"), health))
-    sections = F.filter(F.array(focus, wake, over), lambda s: s.isNotNull())
-    text = F.concat(F.lit("<!-- Memory Context (Live) -->\n"), F.array_join(sections, "\n\n"), F.lit("\n<!-- End Memory Context -->"))
-    return df.select("session_id", "seq", F.when(F.size(sections) > 0, text).alias("context"))
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("string")
+    health = F.concat(_filled(TELEMETRY, number("unconsolidated"), number("used")), F.lit("\n>\n" + INDEX))
+    focus = F.when(F.coalesce(F.trim("view"), F.lit("")) != "", F.concat(F.lit(FOCUS_HEAD), F.trim("view")))
+    wake = F.when(F.col("new_session"), F.concat(F.lit(WAKE), health))
+    over = F.when(~F.col("new_session") & F.col("ticks").isNotNull(), F.concat(_filled(OVERLOAD, F.col("ticks").cast("string")), health))
+    told = F.filter(F.array(focus, wake, over), lambda s: s.isNotNull())
+    text = F.concat(F.lit(CONTEXT_HEAD), F.array_join(told, "\n\n"), F.lit(CONTEXT_FOOT))
+    return df.select("session_id", "seq", F.when(F.size(told) > 0, text).alias("context"))
+
+
+def stream_auto_records(stream: DataFrame, words: tuple[str, ...] = X.TRIGGERS, ttl_ms: int = 30 * 86_400_000) -> DataFrame:
+    """Automatic records over a stream ``(session_id, seq, role, text)``: ``(session_id, seq, content)``.
+
+    A row of role ``end`` closes an exchange; it is recorded if the last message of either side has one of the words.  Those two
+    messages are the keyed state of a session.
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    from ..operators.record import AUTO_CHARS
+
+    state = StructType([StructField("user", StringType()), StructField("assistant", StringType())])
+
+    class Exchange(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.last = handle.getValueState("last", state, ttlDurationMs=ttl_ms)
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+            every = pd.concat(list(rows)).sort_values("seq", kind="stable")
+            said, out = dict(zip(("user", "assistant"), self.last.get() if self.last.exists() else (None, None), strict=True)), []
+            for seq, role, text in zip(every["seq"], every["role"], every["text"], strict=True):
+                if role in said:
+                    said[role] = text
+                elif role == "end" and any(x is not None for x in said.values()):
+                    user, assistant = (x or "" for x in said.values())
+                    if any(w in f"{user}\n{assistant}".lower() for w in words):
+                        out.append((key[0], int(seq), f"User: {user[:AUTO_CHARS]}\nAsst: {assistant[:AUTO_CHARS]}"))
+            self.last.update((said["user"], said["assistant"]))
+            yield pd.DataFrame(out, columns=["session_id", "seq", "content"])
+
+        def close(self) -> None:
+            pass
+
+    return stream.groupBy("session_id").transformWithStateInPandas(Exchange(), "session_id string, seq long, content string", "Append", "ProcessingTime")

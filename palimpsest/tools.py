@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 from datetime import date, datetime, timezone
 
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions import exprs as X
@@ -17,9 +17,15 @@ from .operators import graph as G
 from .operators import knowledge as K
 from .operators import record as R
 from .operators import working as W
+from .operators.numbering import numbered
 from .schema import EVENT, EVENT_TYPES, Config
 from .sinks import store
-from .sources.workspace import Paths, event_lines, read_events, read_json, read_knowledge, read_text
+from .sinks.scratch import saved
+from .sources.workspace import Paths, event_lines, files_in_scope, read_events, read_json, read_knowledge, read_text
+
+
+#: The focus queue as it stands where an event comes first.
+FIRST_STACK = {"project_goal": "Checking system...", "current_path": [], "current_focus": "Initializing", "pending_siblings": []}
 
 
 def iso(now: datetime) -> str:
@@ -45,93 +51,87 @@ class MemoryWorkspace:
             "associations": list(associations), "consolidated": False, "decay_score": 1.0,
         }
         store.append_line(path, json.dumps(event, ensure_ascii=False))
-        stack = read_json(self.at.focus_stack, {"project_goal": "Checking system...", "current_path": [], "current_focus": "Initializing", "pending_siblings": []})
+        stack = read_json(self.at.focus_stack, FIRST_STACK)
         store.write_json(self.at.focus_stack, stack | {"last_updated": iso(now)})
         rows = self.spark.createDataFrame([event], EVENT).withColumn("ts", F.to_timestamp("timestamp"))
         store.append_line(self.at.day_log(day), rows.select(R.log_entry().alias("x")).first().x)
         return event
 
     def events(self, lenient: bool = False):
-        """All live events; ``ord`` is their order by file and line."""
-        df = read_events(self.spark, self.at.events, lenient)
-        order = F.row_number().over(Window.orderBy("file", "pos"))  # a workspace folder is small
-        return df.withColumns({"ts": F.try_to_timestamp("timestamp"), "ord": order})
+        """All live events, written once so that a file that is replaced isn't read again; ``ord`` is their order by file and line."""
+        df = read_events(self.spark, self.at.events, lenient).withColumn("ts", F.try_to_timestamp("timestamp"))
+        return numbered(df, (), ("file", "block", "pos"), "ord")
 
     def explore(self, entry_id: str, depth: int = 2, direction: str = "both", rank: bool = False) -> tuple[list, str]:
         """The nodes around an entry, in the order they are met (or by score), and the same as text; visited events are reinforced."""
-        events, entries = self.events().cache(), K.entries(read_knowledge(self.spark, self.at.knowledge))
+        events, entries = self.events(), K.entries(read_knowledge(self.spark, self.at.knowledge))
         nodes, edges = G.nodes(events, entries), G.edges(events, entries, direction)
         roots = self.spark.createDataFrame([(entry_id,)], "root string")
-        found = G.explore(roots, nodes, edges, depth)
-        rows = sorted(G.described(found, nodes).collect(), key=lambda r: (r.depth, r.ord))
-        seen = found.unionByName(G.explore(roots, nodes, edges, depth, emit_dangling=True))
-        changed = G.reinforce(events, seen).where("reinforced").select("file", "pos").collect()
-        self._rewrite(events, {(r.file, r.pos): 1.0 for r in changed})
-        events.unpersist()
+        found, dangling = G.explore_all(roots, nodes, edges, depth)
+        rows = sorted(G.described(found, nodes).collect(), key=lambda r: (r.depth, r.at))  # the answer
+        changed = G.reinforce(events, found.unionByName(dangling)).withColumn("new_score", F.when(F.col("reinforced"), F.lit(1.0)))
+        self._rewrite(changed.withColumn("gone", F.lit(False)))
         text = G.render(rows, entry_id, depth, direction)
         return sorted(rows, key=lambda r: -r.score) if rank else rows, text
 
     def consolidate(self, now: datetime, scope: str = "session", dry_run: bool = False) -> tuple[dict, str]:
-        """Decay and archive the events in scope and write the index; returns the counts and the report."""
+        """Decay and archive the events in scope and write the index; returns the counts and the report.
+
+        The scope is answered from the names of the files: those out of it aren't opened.
+        """
         last = read_json(self.at.focus_stack, {}).get("last_updated")
         reference = F.to_timestamp(F.lit(last or iso(now)))
-        events = self.events().withColumn("day", F.coalesce(F.expr("try_cast(day as date)"), F.lit(date(9999, 1, 1))))
-        chosen = C.classify(C.in_scope(events, scope, date.fromisoformat(iso(now)[:10])), reference, self.config).cache()
+        store.settle_moves(self.at.events, self.at.archive)
+        names = files_in_scope(self.at.events, scope, date.fromisoformat(iso(now)[:10]))
+        events = read_events(self.spark, self.at.events, names=names).withColumn("ts", F.try_to_timestamp("timestamp"))
+        chosen = saved(C.classify(events, reference, self.config), "chosen")
         counts = C.report(chosen).first().asDict()
         files = read_knowledge(self.spark, self.at.knowledge)
         index = K.render_index(K.index_rows(files)) if self.at.knowledge.is_dir() else "\n".join((*K.INDEX_HEAD, K.INDEX_EMPTY))
         if not dry_run:
-            moved = chosen.where("action = 'archived'").select("file", "pos", "_raw").orderBy("file", "pos").collect()
-            scores = {(r.file, r.pos): r.computed_score for r in chosen.where("action = 'decayed'").select("file", "pos", "computed_score").collect()}
-            by_file: dict[str, list[str]] = {}
-            for r in moved:
-                by_file.setdefault(r.file, []).append(r._raw)
-            for file, lines in by_file.items():  # first into the archive, then out of the day: nothing is lost in between
-                old = [x for x in read_text(self.at.archive / file).split("\n") if x.strip()]
-                store.write_event_lines(self.at.archive / file, [*old, *(x for x in lines if x not in old)])
-            self._rewrite(chosen, scores, {(r.file, r.pos) for r in moved})
+            self._rewrite(chosen.withColumns({"new_score": F.when(F.col("action") == "decayed", F.col("computed_score")), "gone": F.col("action") == "archived"}))
             store.write_text(self.at.index, index)
-        chosen.unpersist()
         counts |= {"index_chars": len(index), "index_regenerated": not dry_run}
         return counts, C.render_report(counts, scope, len(index), dry_run, self.config)
 
-    def _rewrite(self, events, scores: dict, gone: set = frozenset()) -> None:
-        """Write the files in which a score changes or an event goes; keys that the schema doesn't know are kept."""
-        touched = sorted({f for f, _ in scores} | {f for f, _ in gone})
-        if not touched:
-            return
-        lines: dict[str, list[str]] = {f: [] for f in touched}
-        for r in events.where(F.col("file").isin(*touched)).select("file", "pos", "_raw").orderBy("file", "pos").collect():
-            if (r.file, r.pos) in gone:
-                continue
-            new = scores.get((r.file, r.pos))
-            lines[r.file].append(r._raw if new is None else json.dumps(json.loads(r._raw) | {"decay_score": new}, ensure_ascii=False))
-        for f in touched:
-            store.write_event_lines(self.at.events / f, lines[f])
+    def _rewrite(self, events) -> None:
+        """Write the files in which a score changes or an event goes, each by one task; keys that the schema doesn't know are kept."""
+        events = saved(events.select("file", "block", "pos", "_raw", "new_score", "gone"), "rewrite")
+        touched = events.where(F.col("new_score").isNotNull() | F.col("gone")).select("file").distinct()
+        store.rewrite_days(events.join(touched, "file", "left_semi"), self.at.events, self.at.archive)
 
     # Working memory
 
-    def _stack(self) -> W.Focus:
+    def _stack(self, pad: str = "", goal: str = W.NO_GOAL, focus: str = W.NO_FOCUS) -> W.Focus:
         s = read_json(self.at.focus_stack, {})
-        pad: dict[str, list[str]] = {}
-        for part in read_text(self.at.scratchpad).split("\n## ")[1:]:
-            name, _, body = part.partition("\n")
-            pad[name.strip()] = W.items_of(body)
-        return W.Focus(s.get("project_goal", W.NO_GOAL), list(s.get("current_path") or []), s.get("current_focus", W.NO_FOCUS), list(s.get("pending_siblings") or []), s.get("last_updated", ""), pad)
+        return W.Focus(s.get("project_goal", goal), list(s.get("current_path") or []), s.get("current_focus", focus), list(s.get("pending_siblings") or []), s.get("last_updated", ""), W.sections(pad))
 
     def work(self, action: str, now: datetime, **given) -> str:
-        """One action on the focus queue; files are written for those that change something.  ValueError if it can't be done."""
-        state = self._stack()
-        before = json.dumps([vars(state)], default=str)
+        """One action on the focus queue; files are written for those that change something.  ValueError if it can't be done.
+
+        In the scratchpad only the section concerned changes, and it is written only if it does; keys of the queue's file that
+        aren't known here stay.
+        """
+        pad, clock = read_text(self.at.scratchpad), iso(now)[11:16]
+        state = self._stack(pad, *((W.REFILL_GOAL, W.REFILL_FOCUS) if action == "scratchpad_refill" else ()))
+        before, pending = json.dumps([vars(state)], default=str), list(state.pending)
         listed = {k: tuple(v) if k in ("path", "siblings") else v for k, v in given.items()}
         said, insight = W.step(state, W.Action(action, at=iso(now), **listed))
         if insight:
             self.record(insight, "insight", now, importance=0.6)
         if action != "status" and json.dumps([vars(state)], default=str) != before:
-            store.write_json(self.at.focus_stack, {"project_goal": state.goal, "current_path": state.path, "current_focus": state.focus, "pending_siblings": state.pending, "last_updated": state.updated})
-            store.write_text(self.at.focus_view, W.render_view(state))
-            pad = ["# Scratchpad", *(f"\n## {name}\n" + "\n".join(f"- {x}" for x in items) for name, items in state.scratchpad.items())]
-            store.write_text(self.at.scratchpad, "\n".join(pad) + "\n")
+            if action != "scratchpad_append":
+                known = {"project_goal": state.goal, "current_path": state.path, "current_focus": state.focus, "pending_siblings": state.pending, "last_updated": state.updated}
+                store.write_json(self.at.focus_stack, read_json(self.at.focus_stack, {}) | known)
+                store.write_text(self.at.focus_view, W.render_view(state))
+            if action == "overflow":
+                new = W.with_overflow(pad, given.get("section") or W.OVERFLOW, pending, clock)
+            elif action == "scratchpad_append":
+                new = W.with_note(pad, given["section"], given["content"], clock)
+            else:
+                new = W.without_items(pad, W.OVERFLOW, len(state.pending) - len(pending)) if action == "scratchpad_refill" else pad
+            if new != pad:
+                store.write_text(self.at.scratchpad, new)
         return said if action in ("status", "overflow", "scratchpad_append", "scratchpad_refill") else f"{said}\n\n{W.render_status(state)}"
 
     # Hooks

@@ -12,10 +12,11 @@ from palimpsest.operators import graph as G
 from palimpsest.operators import knowledge as K
 from palimpsest.operators import record as R
 from palimpsest.operators import working as W
+from palimpsest.operators.numbering import numbered
 from palimpsest.schema import Config
 from palimpsest.sinks import store
 from palimpsest.sources import testdata as D
-from palimpsest.sources.workspace import read_events
+from palimpsest.sources.workspace import files_in_scope, read_events
 from palimpsest.streaming import pulse as P
 from palimpsest.tools import MemoryWorkspace
 
@@ -116,11 +117,26 @@ def test_explore_against_plain_bfs(spark, seed):
         got, loose = G.explore(roots, n, g, 2).collect(), G.explore(roots, n, g, 2, emit_dangling=True).collect()
         for root in [*ids, "evt_none"]:
             expect, seen = bfs(nodes, evts, root, 2, direction)
-            mine = sorted((r for r in got if r.root == root), key=lambda r: (r.depth, r.ord))
+            mine = sorted((r for r in got if r.root == root), key=lambda r: (r.depth, r.at))
             assert [(r.id, r.depth) for r in mine] == expect, (direction, root)
             assert {r.id for r in mine} | {r.id for r in loose if r.root == root} == seen
     with pytest.raises(ValueError):
         G.edges(e, k, "up")
+    both, back = (set(map(tuple, G.explore(roots, G.nodes(e, k), G.edges(e, k, d), 1).select("root", "id", "depth").collect())) for d in ("both", "backward"))
+    assert both == back  # links are followed both ways by either
+    places = G.ordered(G.explore(roots, G.nodes(e, k), G.edges(e, k, "both"), 2)).collect()
+    assert all(sorted(r.ord for r in places if (r.root, r.depth) == key) == list(range(1, 1 + sum((r.root, r.depth) == key for r in places))) for key in {(r.root, r.depth) for r in places})
+
+
+def test_numbered(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), i, rng.random()) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, x long, y double").repartition(5)
+    place: dict = {}
+    for g, x, _ in sorted(rows, key=lambda r: r[1]):
+        place[x] = 1 + sum(1 for h, z, _ in rows if h == g and z < x)
+    assert {r.x: r.seq for r in numbered(df, ("g",), ("x",)).collect()} == place
+    assert {r.x: r.n for r in numbered(df, (), ("x",), "n").collect()} == {i: i + 1 for i in range(500)} and numbered(df.limit(0), ("g",), ("x",)).count() == 0
 
 
 def test_reinforce(spark):
@@ -235,7 +251,7 @@ def test_context(spark):
     stacks = spark.createDataFrame([(1, "view", 3)], "workspace long, view string, used int")
     tele = spark.createDataFrame([(1, 4)], "workspace long, unconsolidated long")
     got = {r.session_id: r.context for r in P.context(p, fired, stacks, tele).collect()}
-    assert "## Active Focus\nview" in got["a"] and "New session" in got["a"] and "6 tool calls" in got["b"] and got["c"] is None
+    assert "Active Focus\nview" in got["a"] and "Memory Index" in got["a"] and "Memory Index" in got["b"] and "New session" in got["a"] and "6 tool calls" in got["b"] and got["c"] is None
 
 
 def write_day(ws, day, lines):
@@ -299,6 +315,64 @@ def test_workspace_working(spark, tmp_path):
     assert said["content"] == "User: please remember\nthis\nAsst: ok" and said["tags"] == ["auto-recorded"] and ws.agent_end([{"role": "user", "content": "hi"}], NOW) is None
 
 
+def test_scratchpad_keeps_the_rest(spark, tmp_path):
+    ws = MemoryWorkspace(spark, tmp_path)
+    pad = "preamble\n\n# Scratchpad\nprose\n\n## Notes\n- [10:20] first\nsome *prose*\n### sub\n- x\n\n## Other\n* y\n"
+    ws.at.active.mkdir(parents=True)
+    ws.at.scratchpad.write_text(pad, encoding="utf-8")
+    ws.at.focus_stack.write_text(json.dumps({"project_goal": "G", "current_path": ["p"], "current_focus": "F", "pending_siblings": [], "last_updated": "", "mine": {"a": 1}}))
+    stamp = ws.at.scratchpad.stat().st_mtime_ns
+    ws.work("push", NOW, siblings=[f"s{i}" for i in range(9)])
+    assert ws.at.scratchpad.read_text() == pad and ws.at.scratchpad.stat().st_mtime_ns == stamp and json.loads(ws.at.focus_stack.read_text())["mine"] == {"a": 1}
+    ws.work("scratchpad_append", NOW, section="Notes", content="second")
+    with_note = pad.replace("## Notes\n", f"## Notes\n- [{NOW:%H:%M}] second\n")
+    assert ws.at.scratchpad.read_text() == with_note
+    ws.work("overflow", NOW)
+    items = [f"- s{i}" for i in range(9)]
+    assert ws.at.scratchpad.read_text() == with_note + f"\n## {W.OVERFLOW}\n- [{NOW:%H:%M}] \n" + "\n".join(items) + "\n"
+    assert "Refilled 5 items" in ws.work("scratchpad_refill", NOW) and json.loads(ws.at.focus_stack.read_text())["pending_siblings"] == [f"s{i}" for i in range(5)]
+    assert ws.at.scratchpad.read_text() == with_note + f"\n## {W.OVERFLOW}\n" + "\n".join(items[5:]) + "\n"
+    ws.work("plan", NOW, goal="H", focus="F")
+    assert "Refilled 4 items" in ws.work("scratchpad_refill", NOW) and ws.at.scratchpad.read_text() == with_note
+    assert ws.work("scratchpad_refill", NOW) == "No overflow section found in scratchpad.md."
+    assert W.with_note("", "A", "b", "01:02") == "# Scratchpad\n\n## A\n- [01:02] b\n" and W.without_items("## A\n", "B", 1) == "## A\n"
+
+
+def test_archive_keeps_equal_lines_and_survives_a_break(tmp_path):
+    day, archive = tmp_path / "d.jsonl", tmp_path / "a" / "d.jsonl"
+    store.write_event_lines(day, ["x", "x", "y"])
+    store.move_lines(day, ["y"], archive, ["x", "x"])
+    assert archive.read_text() == "x\nx\n" and day.read_text() == "y\n"
+    store.write_event_lines(day, ["x", "y"])
+    store.write_json(archive.with_name(".d.jsonl.move"), {"lines": 2, "day": store._digest(day)})
+    store.write_event_lines(archive, ["x", "x", "x"])  # a run that broke off before the day was written
+    store.settle_moves(tmp_path, tmp_path / "a")
+    assert archive.read_text() == "x\nx\n" and not list((tmp_path / "a").glob(".*"))
+    store.write_json(archive.with_name(".d.jsonl.move"), {"lines": 2, "day": store._digest(day)})
+    store.write_event_lines(archive, ["x", "x", "x"])
+    store.write_event_lines(day, ["y"])  # and one that broke off after it
+    store.settle_moves(tmp_path, tmp_path / "a")
+    assert archive.read_text() == "x\nx\nx\n"
+
+
+def test_scope_of_files(tmp_path):
+    for f in ("2026-03-02", "2026-03-03", "2026-03-10", "2026-03-11", "notes", "0"):
+        (tmp_path / f"{f}.jsonl").write_text("")
+    got = {s: [f.removesuffix(".jsonl") for f in files_in_scope(tmp_path, s, date(2026, 3, 10))] for s in ("session", "day", "full")}
+    assert got == {"session": ["2026-03-10"], "day": ["2026-03-03", "2026-03-10", "2026-03-11", "notes"], "full": ["0", "2026-03-02", "2026-03-03", "2026-03-10", "2026-03-11", "notes"]}
+
+
+def test_auto_record_stream(spark, tmp_path):
+    schema = "session_id string, seq long, role string, text string"
+    rows = [("a", 1, "user", "I PREFER tabs"), ("a", 2, "assistant", "ok"), ("a", 3, "end", None), ("b", 1, "user", "hello"), ("b", 2, "end", None), ("a", 4, "user", "fine"), ("a", 5, "end", None), ("c", 1, "end", None), ("b", 3, "assistant", "decided"), ("b", 4, "end", None)]
+    for k in range(0, len(rows), 5):
+        spark.createDataFrame(rows[k : k + 5], schema).write.parquet(str(tmp_path / f"in/{k:03d}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 10).parquet(str(tmp_path / "in/*"))
+    q = P.stream_auto_records(stream).writeStream.format("memory").queryName("exchanges").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("exchanges").collect())) == [("a", 3, "User: I PREFER tabs\nAsst: ok"), ("b", 4, "User: hello\nAsst: decided")]
+
+
 def test_day_tables(spark, tmp_path):
     table, archive = str(tmp_path / "t"), str(tmp_path / "a")
     df = spark.createDataFrame([(1, date(2026, 1, 1)), (2, date(2026, 1, 2)), (3, date(2026, 1, 3))], "x int, day date")
