@@ -31,9 +31,29 @@ def apart(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.array(F.struct(*df.columns))).alias("__row")).select("__row.*")
 
 
-def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df``, with a broadcast hint if it has at most ``max_rows`` rows; else as it is, for Spark to shuffle."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+#: The most bytes that a broadcast table may have.
+BROADCAST_BYTES = 16_000_000
+
+
+def small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, with a broadcast hint if what it holds is counted to take at most ``max_bytes``; else as it is, for Spark to shuffle."""
+    return F.broadcast(df) if (df.select(F.sum(_bytes(df))).first()[0] or 0) <= max_bytes else df
+
+
+def _bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: strings and arrays by what they hold, 16 for each column and element besides."""
+
+    def of(c: Column, kind) -> Column:
+        name = kind.typeName()
+        if name in ("string", "binary"):
+            return F.coalesce(F.octet_length(c), F.lit(0)).cast("long") + 16
+        if name == "array":
+            return F.coalesce(F.aggregate(c, F.lit(16).cast("long"), lambda a, x: a + of(x, kind.elementType)), F.lit(16).cast("long"))
+        if name == "struct":
+            return sum((of(c[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("long"))
+        return F.lit(16).cast("long")
+
+    return sum((of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0).cast("long"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

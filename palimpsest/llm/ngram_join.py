@@ -330,7 +330,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     # About REFERENCES members of each large group, by their hash, give its reference set.
     wanted = inside.join(blocks.where(F.col("size") >= large), "comp").where(F.pmod(F.xxhash64("sid", F.lit(1)), F.greatest(F.lit(1), F.floor(F.col("size") / REFERENCES))) == 0)
     wanted = saved(wanted.select("sid", "comp", F.col("doc_id").alias("rep")), "references")
-    made = docs.join(small(wanted.select("sid", "rep"), 500_000), F.expr("doc_id <=> rep")).select("sid", "text", F.lit(None).cast("binary").alias("ref")).mapInArrow(_sets(words), "sid binary, data binary, r long, lack long")
+    made = docs.join(small(wanted.select("sid", "rep")), F.expr("doc_id <=> rep")).select("sid", "text", F.lit(None).cast("binary").alias("ref")).mapInArrow(_sets(words), "sid binary, data binary, r long, lack long")
     refs = saved(made.join(wanted.select("sid", "comp"), "sid").groupBy("comp").applyInArrow(_reference, "comp binary, ref binary"), "references")
     if refs.agg(F.coalesce(F.sum(F.octet_length("ref")), F.lit(0))).first()[0] <= REFERENCE_BYTES:
         refs = F.broadcast(refs)

@@ -109,5 +109,17 @@ def _op9() -> str:
     from d left join cov using (r) left join it using (r)"""
 
 
+def _op9_proximity() -> str:
+    words = rf"regexp_extract_all(translate(coalesce(text,''),{ASCII}),'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""with d as (select row_number() over () as r, doc_id, {words} as ws from (select distinct doc_id, text from documents)), dt as (select r, unnest(ws) as w, generate_subscripts(ws,1) as i from (select r, ws from d)),
+    all_words as (select unnest({words}) as w from documents), b as (select cast(item_id as varchar) as item, {words} as ws from benchmark where item_id is not null), own as (select distinct item, unnest(ws) as w from b),
+    n as (select w, count(*) as n from all_words semi join own using (w) group by w),
+    ranked as (select item, w, row_number() over (partition by item order by n, w) as k, least(3, count(*) over (partition by item)) as c from own join n using (w)),
+    rare as (select item, w, k, least(2, c) as least from ranked where k<=3 and c>1),
+    at as (select r, i, item, k, least from dt join rare using (w)),
+    near as (select p.r, p.item, p.i, p.least, count(distinct q.k) as n from at p join at q on p.r=q.r and p.item=q.item and abs(p.i-q.i)<=20 group by p.r, p.item, p.i, p.least)
+    select doc_id, item, max(n) as n_terms from near join d using (r) where n>=least group by r, doc_id, item"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_reputation": _op1(), "op4_ngram_jaccard": _op4(), "op6_quality_ledger": _op6(), "op7_line_dedup": _op7(), "op9_decontamination": _op9()}
+    return {"op1_url_reputation": _op1(), "op4_ngram_jaccard": _op4(), "op6_quality_ledger": _op6(), "op7_line_dedup": _op7(), "op9_decontamination": _op9(), "op9_proximity": _op9_proximity()}

@@ -86,7 +86,7 @@ def toxic_terms(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     texts = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("text is not null")
-    texts = texts.join(small(known, 1 << 20), "__id").withColumn("h", F.xxhash64("text"))
+    texts = texts.join(small(known), "__id").withColumn("h", F.xxhash64("text"))
     n, n_toxic = F.count("*"), F.sum(F.col("toxic").cast("long"))
     of_text = lambda df, *keys: df.groupBy(*keys, "h").agg(F.max("toxic").alias("toxic")).groupBy(*keys)
     every = of_text(texts, "lang").agg(n_toxic.alias("toxic"), (n - n_toxic).alias("clean"))
@@ -115,7 +115,7 @@ def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tu
         given.append(F.col(lang).alias("__lang"))
     df = docs.select(*given, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     if terms is not None:
-        known = small(terms.select(F.col("lang").alias("__of"), F.col("terms").alias("__terms")), 1 << 12)
+        known = small(terms.select(F.col("lang").alias("__of"), F.col("terms").alias("__terms")))
         n_terms = F.coalesce(F.size(F.array_intersect(_terms(F.col("__text")), "__terms")), F.lit(0)).cast("long")
         df = df.join(known, F.col("__lang").eqNullSafe(F.col("__of")), "left").select(*through, "__text", F.when(F.col("__terms").isNull(), F.lit(0)).otherwise(n_terms).cast("long").alias("n_toxic_terms"))
         through, rules = [*through, "n_toxic_terms"], (*rules, TOXIC)

@@ -75,6 +75,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", n.alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n >= 2).alias("contaminated"))
 
 
+def op9_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which two of the three rarest terms of an item lie within 20 words."""
+    return decontamination.proximity_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe_codec.round_trip(table(spark, sf_dir, "documents"))
     return done.select(
@@ -83,7 +88,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_reputation, op2_html_text, op3_brown_lm, op4_ngram_jaccard, op5_token_counts, op6_quality_ledger, op6_toxic_terms, op7_line_dedup, op8_personal_data, op9_decontamination, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_url_reputation, op2_html_text, op3_brown_lm, op4_ngram_jaccard, op5_token_counts, op6_quality_ledger, op6_toxic_terms, op7_line_dedup, op8_personal_data, op9_decontamination, op9_proximity, op10_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -347,9 +347,39 @@ def test_decontamination(spark, df, docs, sf):
     assert got == want and sum(1 for k in want if k[2]) > 5
     assert {r.n_hit for r in decontamination.decontaminate(every, bench.limit(0), keep=("h",)).collect()} == {0}
     assert decontamination.decontaminate(every.limit(0), bench).count() == 0
-    near = spark.createDataFrame([(1, "alpha x x x beta"), (2, "alpha " + "x " * 30 + "beta"), (3, "beta alpha"), (4, None)], "doc_id long, text string")
-    item = spark.createDataFrame([(7, "Alpha, beta!"), (None, "x x")], "item_id long, text string")
-    assert {(r.doc_id, r.item, r.gap) for r in decontamination.proximity_matches(near, item, slop=4).collect()} == {(1, "7", 4), (3, "7", 1)}
+    odd = spark.createDataFrame([(i, t, 1, 2) for i, t in docs[:20]], "doc_id long, text string, words int, tid int")
+    assert decontamination.decontaminate(odd, bench).count() == 20
+
+
+def test_index_is_intersected(spark):
+    """A window is a candidate where all its anchors stand in their places, and no longer if a list lacks one of them."""
+    item = "rare1 common common rare2 common common rare3 common"
+    docs = [(1, "common " * 9 + item + " common"), (2, "rare1 common common rare2 common common common common"), (3, "rare1 common rare2 common rare3"), (4, item), (4, item), (None, item)] + [(10 + k, "common " * 50) for k in range(3)]
+    bench = [(7, item), (8, "far away, it ends with nothing that any document has"), (9, " ".join("w%d" % k for k in range(150)))]
+    docs.append((20, "x " + " ".join("w%d" % k for k in range(150)) + " y " + " ".join("w%d" % k for k in range(40, 70))))
+    df = decontamination._keyed(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")
+    known = decontamination.benchmark_items(spark.createDataFrame(bench, "item_id long, text string"))
+    counts = decontamination.term_counts(df, known.select(F.explode("words").alias("term")).distinct())
+    windows = decontamination.anchored_windows(known, counts)
+    assert windows.count() == 1 + 143 and {a.term for a in windows.where("words[0] = 'rare1'").first().anchors} == {"rare1", "rare2", "rare3"}
+    index = decontamination.postings(df, windows.select(F.explode("anchors.term").alias("term")).distinct())
+    found = lambda index: Counter((r.doc_id, r.begin, len(r.ats)) for r in decontamination.candidates(index, windows).collect())
+    assert found(index) == Counter([(1, 9, 1), (4, 0, 1), (None, 0, 1), (20, 1, 143), (20, 112, 23)])
+    for term in ("rare1", "rare2", "rare3"):
+        assert found(index.where(F.col("term") != term)) == Counter([(20, 1, 143), (20, 112, 23)])
+    assert found(index.where("not (term = 'rare2' and doc_id = 1)")) == Counter([(4, 0, 1), (None, 0, 1), (20, 1, 143), (20, 112, 23)])
+    # A window at every offset of a long item, also where groups of bits meet, and none that only the anchors share.
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontamination.decontaminate(spark.createDataFrame([*docs, (21, "rare1 a b rare2 c d rare3 e")], "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got[20] == (180, ["9"]) and got[21] == (0, []) and got[1] == (8, ["7"]) and got[2] == (0, [])
+
+
+def test_proximity(spark):
+    docs = [(1, "alpha x x x beta"), (2, "alpha " + "x " * 30 + "beta"), (3, "beta alpha"), (4, None), (5, "x " * 19 + "alpha x x x x beta alpha"), (5, "x " * 19 + "alpha x x x x beta alpha")]
+    items = [(7, "Alpha, beta!"), (None, "x x"), (8, "alpha beta"), (9, "alpha"), (10, "alpha unseen")]
+    near = spark.createDataFrame(docs, "doc_id long, text string")
+    got = decontamination.proximity_matches(near, spark.createDataFrame(items, "item_id long, text string"), slop=4).collect()
+    assert Counter(map(tuple, got)) == Counter([(i, k, 2) for i in (1, 3, 5) for k in "78"])
+    assert decontamination.proximity_matches(near.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
 # 8
