@@ -116,8 +116,8 @@ def _op9_proximity() -> str:
     n as (select w, count(*) as n from all_words semi join own using (w) group by w),
     ranked as (select item, w, row_number() over (partition by item order by n, w) as k, least(3, count(*) over (partition by item)) as c from own join n using (w)),
     rare as (select item, w, k, least(2, c) as least from ranked where k<=3 and c>1),
-    at as (select r, i, item, k, least from dt join rare using (w)),
-    near as (select p.r, p.item, p.i, p.least, count(distinct q.k) as n from at p join at q on p.r=q.r and p.item=q.item and abs(p.i-q.i)<=20 group by p.r, p.item, p.i, p.least)
+    spots as (select r, i, item, k, least from dt join rare using (w)),
+    near as (select p.r, p.item, p.i, p.least, count(distinct q.k) as n from spots p join spots q on p.r=q.r and p.item=q.item and abs(p.i-q.i)<=20 group by p.r, p.item, p.i, p.least)
     select doc_id, item, max(n) as n_terms from near join d using (r) where n>=least group by r, doc_id, item"""
 
 
