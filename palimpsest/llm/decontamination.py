@@ -23,8 +23,8 @@ from .common import apart, bound, lower_ascii, saved, small
 
 #: Words of a window.
 WINDOW = 8
-#: How many of a window's terms are looked for in the index.
-ANCHORS = 3
+#: How many of a window's terms are looked for in the index, and of an item's for proximity.
+ANCHORS, NEAR_TERMS = 2, 3
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -96,7 +96,7 @@ def candidates(index: DataFrame, windows: DataFrame, size: int = WINDOW) -> Data
 
 
 def proximity_matches(
-    docs: DataFrame, items: DataFrame, slop: int = 20, terms: int = ANCHORS, least: int = 2, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text"
+    docs: DataFrame, items: DataFrame, slop: int = 20, terms: int = NEAR_TERMS, least: int = 2, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
     """``(doc_id, item, n_terms)``: documents in which ``least`` or more of the rarest ``terms`` distinct terms of an item lie within
     ``slop`` words of one of them, with the most that do.

@@ -360,7 +360,7 @@ def test_index_is_intersected(spark):
     df = decontamination._keyed(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")
     known = decontamination.benchmark_items(spark.createDataFrame(bench, "item_id long, text string"))
     counts = decontamination.term_counts(df, known.select(F.explode("words").alias("term")).distinct())
-    windows = decontamination.anchored_windows(known, counts)
+    windows = decontamination.anchored_windows(known, counts, how_many=3)
     assert windows.count() == 1 + 143 and {a.term for a in windows.where("words[0] = 'rare1'").first().anchors} == {"rare1", "rare2", "rare3"}
     index = decontamination.postings(df, windows.select(F.explode("anchors.term").alias("term")).distinct())
     found = lambda index: Counter((r.doc_id, r.begin, len(r.ats)) for r in decontamination.candidates(index, windows).collect())
