@@ -3,16 +3,14 @@
 1. Every document becomes its set of five-word shingles (64-bit hashes), and from it a set id (128 bits) and band hashes.  The
    numbers of bands and rows follow from the target recall at the threshold.
 2. Documents of one set are one representative from here on, with its number of copies.
-3. A shuffle on band hashes gives each bucket; its members are tied to its least one (a star, never all pairs), and components
-   of those ties are the candidate groups.
-4. Representatives of a group are compared with each other on their full sets.  A group over ``CELL`` members, or with more than
-   ``CELL_SHINGLES`` shingles, is cut into blocks, and each pair of blocks is one task's work, of bounded memory.  A task gives
-   one row for each member (its links, and the least member that its links reach), not a row for each pair.
-   In a large group sets are sent as what they lack of, and have beyond, a reference set R that its members resemble; then
+3. A shuffle on band hashes gives each bucket; buckets of the same members are one.  Each member is compared with its bucket's
+   least one on the full sets (a star, never all pairs), and components of the links found are the first classes.
+4. In buckets whose members are now in several classes, those outside the largest are compared with all of the bucket, in blocks:
+   what a star can't see.  Components over all links are the classes.  Texts that only share a band by chance stay apart.
+5. Links are counted inside classes, of all pairs, also those that no band brings together.  A class, like a bucket, is cut into
+   blocks, and each pair of blocks is one task's work, of bounded memory, which gives one row for each member, not for each pair.
+   In a large class sets are sent as what they lack of, and have beyond, a reference set R that its members resemble; then
    |A and B| = |R| - |lack A| - |lack B| + |lack A and lack B| + |more A and more B|, exactly, whatever R is.
-5. Components over those rows are the classes.
-
-The comparison covers all pairs of a group, also those that no band brings together, so no link inside a group is lost.
 """
 
 from __future__ import annotations
@@ -22,7 +20,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, small
@@ -32,10 +30,10 @@ from .word_bpe import loaded
 WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.999
-#: The most members of a block, and about the most shingles.
-CELL, CELL_SHINGLES = 16_384, 8_000_000
-#: Groups of so many members get a reference set, made of about REFERENCES of them; the sets are broadcast up to REFERENCE_BYTES.
-LARGE, REFERENCES, REFERENCE_BYTES = 512, 32, 16_000_000
+#: Members of a block: a twentieth of the group between these bounds; and about the most shingles.
+BLOCK, CELL_SHINGLES = (128, 4096), 8_000_000
+#: Classes of so many members get a reference set, made of about REFERENCES of them.
+LARGE, REFERENCES = 512, 32
 #: The side of a tile of pairs that a task holds at once.
 TILE = 2048
 
@@ -112,45 +110,62 @@ def _sketch(words: int, bands: int, rows: int):
         shingler, hasher = loaded(Shingler, words), loaded(Hasher, bands, rows)
         for b in batches:
             sid, n, keys = [], [], []
-            for text in b.column(1):
+            for text in b.column(2):
                 s = shingler(text.as_py())
                 sid.append(_set_id(s) if len(s) else None)
                 n.append(len(s))
                 keys.append(hasher(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sid, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "sid", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sid, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "h", "sid", "n", "bands"])
         shingler.seen.clear()  # an idle worker holds no words
 
     return run
 
 
 def _sets(words: int):
-    """Full sets from texts, for those texts that have the set id asked for: as they are, or against a reference set."""
+    """``(sid, data)`` from ``(sid, text)``: the full sets."""
 
     def run(batches):
         shingler = loaded(Shingler, words)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                out: list[list] = [[], [], [], []]
-                for sid, text, ref in zip(*part.columns, strict=True):
-                    s, ref = shingler(text.as_py()), ref.as_py()
-                    if _set_id(s) != sid.as_py():
-                        continue  # another text of the same id
-                    r = lack = 0
-                    if ref is not None:
-                        r = len(ref) // 8
-                        ref = np.frombuffer(ref, np.uint64)
-                        missing = np.setdiff1d(ref, s, assume_unique=True)
-                        lack = len(missing)
-                        s = np.concatenate((np.setdiff1d(s, ref, assume_unique=True) & ~np.uint64(1), missing | np.uint64(1)))
-                    for col, v in zip(out, (sid.as_py(), s.tobytes(), r, lack), strict=True):
-                        col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, (pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["sid", "data", "r", "lack"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingler(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], ["sid", "data"])
         shingler.seen.clear()
 
     return run
 
 
+def _linked(per_mille: int):
+    """Of ``(a, b, x, y)`` those ``(a, b)`` whose sets x and y are similar enough."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both * 1000 >= per_mille * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _against(batches):
+    """``(sid, data, r, lack)`` from ``(sid, data, ref)``: a set as it is, or against a reference set of size r, of which it lacks so many."""
+    for b in batches:
+        out: list[list] = [[], [], []]
+        for data, ref in zip(b.column(1), b.column(2), strict=True):
+            s, r, lack = np.frombuffer(data.as_buffer(), np.uint64), 0, 0
+            if ref.is_valid:
+                ref = np.frombuffer(ref.as_buffer(), np.uint64)
+                missing = np.setdiff1d(ref, s, assume_unique=True)
+                r, lack = len(ref), len(missing)
+                s = np.concatenate((np.setdiff1d(s, ref, assume_unique=True) & ~np.uint64(1), missing | np.uint64(1)))
+            for col, v in zip(out, (s.tobytes(), r, lack), strict=True):
+                col.append(v)
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, k) for v, k in zip(out, (pa.binary(), pa.int64(), pa.int64()), strict=True))], ["sid", "data", "r", "lack"])
+
+
 def _reference(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """The shingles that at least half of some members have."""
     found, n = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("data")]), return_counts=True)
@@ -306,7 +321,63 @@ def compare(sets: list[np.ndarray], n: np.ndarray, r: np.ndarray, lack: np.ndarr
     return links, out
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS, doc_id: str = "doc_id", text: str = "text", cell: int = CELL, large: int = LARGE) -> DataFrame:
+def _blocks(count: Column, shingles: Column) -> Column:
+    """Into how many blocks so many members with so many shingles are cut."""
+    return F.greatest(F.ceil(count / F.greatest(F.lit(BLOCK[0]), F.least(F.lit(BLOCK[1]), F.ceil(count / 20)))), F.ceil(shingles / CELL_SHINGLES), F.lit(1)).cast("int")
+
+
+def _compared(rows: DataFrame, group: str, threshold: float) -> DataFrame:
+    """``(sid, links, root)`` for ``(group, at, sid, copies, n, block, data, r, lack)``: at has the pairs ``(i, j)`` of blocks that a row is in."""
+    cells = rows.withColumn("at", F.explode("at")).select(F.col(group).alias("of"), "at.i", "at.j", "sid", "copies", "n", "block", "data", "r", "lack")
+    return cells.groupBy("of", "i", "j").applyInArrow(_compare(threshold), "sid binary, links long, root binary")
+
+
+def _pairs_with(blocks: Column, own: Column) -> Column:
+    return F.transform(blocks, lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
+
+
+def _beyond_stars(tied: DataFrame, first: DataFrame, full: DataFrame, sets: DataFrame, threshold: float) -> DataFrame | None:
+    """``(a, b)``: links between members of a bucket that are in different classes by stars alone; None if no bucket has such."""
+    placed = saved(tied.select("key", "sid").join(first.withColumnRenamed("v", "sid"), "sid"), "placed")
+    mixed = saved(placed.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("key"), "mixed")
+    if mixed.isEmpty():
+        return None
+    placed = saved(placed.join(mixed, "key").join(sets.select("sid", "n"), "sid"), "placed")
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    parts = saved(parts.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("big"), F.max("m").alias("m"), F.max_by("s", F.struct("m", "root")).alias("s"), F.sum("m").alias("all_m"), F.sum("s").alias("all_s")), "parts")
+    cut = parts.select("key", "big", _blocks(F.col("m"), F.col("s")).alias("gb"), _blocks(F.col("all_m") - F.col("m"), F.col("all_s") - F.col("s")).alias("go"))
+    other = F.col("root") != F.col("big")
+    h = F.xxhash64("sid")
+    rows = placed.join(cut, "key").select("key", "sid", "n", other.alias("other"), "go", "gb", F.when(other, F.pmod(h, F.col("go"))).otherwise(F.col("go") + F.pmod(h, F.col("gb"))).cast("int").alias("block"))
+    # Blocks 0..go-1 hold the members outside the largest class: they meet all blocks, the others meet only them.
+    last = F.when(F.col("other"), F.col("go") + F.col("gb") - 1).otherwise(F.col("go") - 1)
+    rows = rows.select("key", "sid", "n", "block", _pairs_with(F.sequence(F.lit(0), last), F.col("block")).alias("at"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("lack"))
+    found = _compared(rows.join(full, "sid"), "key", threshold)
+    return saved(found.where("sid <> root").select(F.col("sid").alias("a"), F.col("root").alias("b")).distinct(), "more-links")
+
+
+def _counted(classes: DataFrame, full: DataFrame, threshold: float, large: int) -> DataFrame:
+    """``(sid, links)`` from ``(sid, comp, copies, n)``: how many rows each set is linked to in its class, copies counted."""
+    sizes = saved(classes.groupBy("comp").agg(F.count("*").alias("size"), F.sum("n").alias("s")).where("size > 1"), "sizes")
+    members = saved(classes.join(sizes, "comp"), "members")
+    # A class of two has the one link that made it.
+    one = F.struct("sid", "copies")
+    two = members.where("size = 2").groupBy("comp").agg(F.min(one).alias("x"), F.max(one).alias("y"))
+    pairs = two.select(F.explode(F.array(F.struct("x.sid", F.col("y.copies").alias("links")), F.struct("y.sid", F.col("x.copies").alias("links")))).alias("p")).select("p.sid", "p.links")
+    more = members.where("size > 2")
+    # About REFERENCES members of each large class, by their hash, give its reference set.
+    wanted = more.where((F.col("size") >= large) & (F.pmod(F.xxhash64("sid", F.lit(1)), F.greatest(F.lit(1), F.floor(F.col("size") / REFERENCES))) == 0))
+    refs = saved(wanted.select("sid", "comp").join(full, "sid").groupBy("comp").applyInArrow(_reference, "comp binary, ref binary"), "references")
+    asked = more.select("sid", "comp").join(full, "sid").join(small(refs), "comp", "left").select("sid", "data", "ref")
+    sent = asked.mapInArrow(_against, "sid binary, data binary, r long, lack long")
+    g = _blocks(F.col("size"), F.col("s"))
+    block = F.pmod(F.xxhash64("sid"), g).cast("int")
+    rows = more.select("comp", "sid", "copies", "n", block.alias("block"), _pairs_with(F.sequence(F.lit(0), g - 1), block).alias("at"))
+    found = _compared(rows.join(sent, "sid"), "comp", threshold).groupBy("sid").agg(F.sum("links").alias("links"))
+    return pairs.unionByName(found)
+
+
+def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS, doc_id: str = "doc_id", text: str = "text", large: int = LARGE) -> DataFrame:
     """``(doc_id, class_id, n_links)``, one row for each row of ``docs``.
 
     Documents are linked if the Jaccard similarity of their word shingles is ``threshold`` or more; words are
@@ -316,36 +387,40 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     null id.  Repeated rows are copies.  Other columns aren't read.  An empty table gives an empty result.
     """
     bands, rows = choose_bands(threshold, recall)
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    per_mille = round(threshold * 1000)
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()  # ids may be anything that has an order
-    sketches = saved(docs.mapInArrow(_sketch(words, bands, rows), f"doc_id {kind}, sid binary, n long, bands array<long>"), "sketches")
+    sketches = saved(docs.mapInArrow(_sketch(words, bands, rows), f"doc_id {kind}, h long, sid binary, n long, bands array<long>"), "sketches")
     # bands are the same for all rows of a set; max() serves to take one of them.
-    sets = saved(sketches.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("bands").alias("bands")), "sets")
-    members = sets.select("sid", F.explode("bands").alias("key"))
-    centre = members.groupBy("key").agg(F.min("sid").alias("b"), F.count("*").alias("size")).where("size > 1").select("key", "b")
-    ties = members.join(centre, "key").select(F.col("sid").alias("a"), "b")
-    groups = saved(components(ties).withColumnRenamed("v", "sid").withColumnRenamed("root", "comp"), "groups")
-    inside = saved(groups.join(sets.select("sid", "doc_id", "copies", "n"), "sid"), "members")
-    blocks = saved(inside.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / cell), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias("g"), F.count("*").alias("size")), "groups")
-    # About REFERENCES members of each large group, by their hash, give its reference set.
-    wanted = inside.join(blocks.where(F.col("size") >= large), "comp").where(F.pmod(F.xxhash64("sid", F.lit(1)), F.greatest(F.lit(1), F.floor(F.col("size") / REFERENCES))) == 0)
-    wanted = saved(wanted.select("sid", "comp", F.col("doc_id").alias("rep")), "references")
-    made = docs.join(small(wanted.select("sid", "rep")), F.expr("doc_id <=> rep")).select("sid", "text", F.lit(None).cast("binary").alias("ref")).mapInArrow(_sets(words), "sid binary, data binary, r long, lack long")
-    refs = saved(made.join(wanted.select("sid", "comp"), "sid").groupBy("comp").applyInArrow(_reference, "comp binary, ref binary"), "references")
-    if refs.agg(F.coalesce(F.sum(F.octet_length("ref")), F.lit(0))).first()[0] <= REFERENCE_BYTES:
-        refs = F.broadcast(refs)
+    some = sketches.where("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("bands").alias("bands"))
+    sets = saved(some.select("sid", "rep.doc_id", "rep.h", "copies", "n", "bands"), "sets")
+    members = sets.select("sid", "n", F.explode("bands").alias("key"))
+    met = members.groupBy("key").agg(F.min(F.struct("sid", "n")).alias("c"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(7))).alias("y")).where("size > 1")
+    # Written, so that the join may split what a frequent key brings into one task.
+    buckets = saved(met.groupBy("size", "x", "y").agg(F.min("key").alias("key"), F.min("c").alias("c")).select("key", "c"), "buckets")
+    tied = saved(members.join(buckets, "key").select("key", "sid", "n", F.col("c.sid").alias("b"), F.col("c.n").alias("nb")), "tied")
+
+    needed = tied.select("sid").distinct().join(sets.select("sid", F.col("doc_id").alias("rep"), F.col("h").alias("rep_h")), "sid")
+    if not sketches.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        docs = docs.dropDuplicates(["doc_id", "h"])
     # Texts meet the members by a shuffle at every size: a broadcast that only small inputs get would hide what large ones cost.
-    asked = docs.join(inside.select("sid", "comp", F.col("doc_id").alias("rep")).hint("merge"), F.expr("doc_id <=> rep")).join(refs, "comp", "left")
-    full = asked.select("sid", "text", "ref").mapInArrow(_sets(words), "sid binary, data binary, r long, lack long")
-    placed = inside.join(blocks, "comp").select("sid", "comp", "copies", "n", "g", F.pmod(F.xxhash64("sid"), F.col("g")).cast("int").alias("block"))
-    at = F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))).alias("at")
-    cells = full.join(placed, "sid").select("sid", "comp", "copies", "n", "block", "data", "r", "lack", at).select("sid", "comp", "copies", "n", "block", "data", "r", "lack", "at.i", "at.j")
-    found = saved(cells.groupBy("comp", "i", "j").applyInArrow(_compare(threshold), "sid binary, links long, root binary"), "links")
-    classes = components(found.select(F.col("sid").alias("a"), F.col("root").alias("b")))
-    totals = found.groupBy("sid").agg(F.sum("links").alias("links"))
-    known = sets.select("sid", "doc_id", "copies").join(totals, "sid", "left").join(classes.withColumnRenamed("v", "sid"), "sid", "left").select("sid", "doc_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "sid").alias("root"))
-    known = saved(known, "classes")
-    ids = known.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    asked = docs.join(needed.hint("merge"), F.expr("doc_id <=> rep and h = rep_h"))
+    full = saved(asked.select("sid", "text").mapInArrow(_sets(words), "sid binary, data binary"), "full")
+
+    enough = F.least("n", "nb") * 1000 >= F.greatest("n", "nb") * per_mille
+    ties = tied.where((F.col("sid") != F.col("b")) & enough).select(F.col("sid").alias("a"), "b").distinct()
+    sided = ties.join(full.select(F.col("sid").alias("a"), F.col("data").alias("x")), "a").join(full.select(F.col("sid").alias("b"), F.col("data").alias("y")), "b").select("a", "b", "x", "y")
+    links = saved(sided.mapInArrow(_linked(per_mille), "a binary, b binary"), "links")
+    alone = tied.select(F.col("sid").alias("a"), F.col("sid").alias("b")).distinct()
+    first = components(links.unionByName(alone))
+    more = _beyond_stars(tied, first, full, sets, threshold)
+    classes = first if more is None else components(links.unionByName(alone).unionByName(more))
+    classes = saved(classes.select(F.col("v").alias("sid"), F.col("root").alias("comp")).join(sets.select("sid", "copies", "n"), "sid"), "classes")
+
+    totals = _counted(classes, full, threshold, large)
+    known = sets.select("sid", "doc_id", "copies").join(totals, "sid", "left").join(classes.select("sid", "comp"), "sid", "left")
+    known = saved(known.select("sid", "doc_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("comp", "sid").alias("root")), "classes")
+    ids = saved(known.groupBy("root").agg(F.min("doc_id").alias("class_id")), "ids")
     by_set = known.join(ids, "root").select("sid", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     out = sketches.select("doc_id", "sid").join(by_set, "sid", "left")
     return out.select("doc_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -266,8 +266,9 @@ def jaccard(rows):
     return Counter((i, min(least[root(k)], default=None), n[k]) for k, (i, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("cell,large,tile", [(16384, 512, 2048), (40, 20, 16), (16384, 10, 16)])
-def test_jaccard_classes(spark, docs, cell, large, tile, monkeypatch):
+@pytest.mark.parametrize("block,large,tile", [((128, 4096), 512, 2048), ((7, 40), 20, 16), ((1000, 4096), 10, 16)])
+def test_jaccard_classes(spark, docs, block, large, tile, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     monkeypatch.setattr(ngram_join, "TILE", tile)  # in this process; workers fork with it as it is in the module
     rng = random.Random(3)
     base = ["w%d" % rng.randint(0, 999) for _ in range(150)]
@@ -277,12 +278,33 @@ def test_jaccard_classes(spark, docs, cell, large, tile, monkeypatch):
         for _ in range(rng.randint(0, 7)):
             w[rng.randrange(150)] = "z%d" % rng.randint(0, 9)
         rows.append((6_000_000 + i, " ".join(w)))
-    got = ngram_join.jaccard_classes(frame(spark, rows), cell=cell, large=large)
+    got = ngram_join.jaccard_classes(frame(spark, rows), large=large)
     want = jaccard(rows)
     # Wordless documents are their own class.
     assert counted(got.collect()) == want
 
 
+def test_jaccard_beyond_stars(spark, monkeypatch):
+    """Sets in one bucket of which the least is like none of the others: links among the others are found, and only real ones."""
+    rng = random.Random(8)
+    word = lambda: "w%d" % rng.randint(0, 10**9)
+    common = [word() for _ in range(40)]
+    rows = []
+    for i in range(60):
+        if i % 3 == 0:
+            own = [word() for _ in range(160)]
+        w = common + own
+        if i % 3:
+            w[rng.randrange(60, 200)] = word()
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(ngram_join, "choose_bands", lambda *a: (3, 1))  # many ties by chance, at a fifth of the similarity
+    for block in ((128, 4096), (3, 5)):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        assert counted(ngram_join.jaccard_classes(frame(spark, rows)).collect()) == jaccard(rows)
+    nulls = [(None, " ".join(common[k:] + [word()])) for k in range(0, 30, 10)] + [(None, "a b")] * 5 + [(None, None)] * 3
+    assert counted(ngram_join.jaccard_classes(frame(spark, nulls)).collect()) == jaccard(nulls)
+
+
 def test_jaccard_tiles_and_bands():
     import numpy as np
 
