@@ -537,37 +537,91 @@ def test_html_on_pages(sf):
 
 @pytest.mark.parametrize("dictionary", [brown_lm.DICTIONARY, 300])
 def test_brown(spark, df, docs, dictionary):
-    model = brown_lm.train(df.where(~brown_lm.held_out(F.col("doc_id"))), dictionary=dictionary, clustered=min(dictionary, 2000), core=200, n_classes=12)
+    model = brown_lm.train(df.where(~brown_lm.held_out(F.col("doc_id"))), dictionary=dictionary, core=200, n_classes=12)
     got = brown_lm.score(df, model).collect()
     counts, ends = Counter(), 0
     words = lambda t: SPLIT.findall((t or "").translate(LOWER))
-    for i, t in docs:
-        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
-            counts.update(words(t))
-            ends += 1
+    mine = [t for i, t in docs if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    for t in mine:
+        counts.update(words(t))
+        ends += 1
     n, v = sum(counts.values()) + ends, len(counts) + 1
+    # A class model in plain Python, which takes from the trained one the class of each word and nothing else.
+    border = int(model.classes[-1])
+    cls = {w.decode(): int(c) for w, c in zip(model.words, model.classes, strict=False)} | {r.word: r.cls for r in model.rest.collect()}
+    assert set(cls) == set(counts) and len(model.words) <= dictionary + 200
+    residual = lambda w: border - brown_lm.RESIDUAL + brown_lm._residual(w.encode())
+    assert all(c < border - brown_lm.RESIDUAL or c == residual(w) for w, c in cls.items()) and all(cls[w] == residual(w) for w in counts if counts[w] < brown_lm.LEAST)
+    assert sum(n for w, n in counts.items() if cls[w] < border - brown_lm.RESIDUAL) > 0.9 * sum(n for n in counts.values() if n >= brown_lm.LEAST)
+    pairs, of_class, types = Counter(), Counter(), Counter(cls.values())
+    for t in mine:
+        c = [border, *(cls[w] for w in words(t)), border]
+        pairs.update(zip(c, c[1:], strict=False))
+    for w, k in counts.items():
+        of_class[cls[w]] += k
+    rows = Counter()
+    for (a, _), k in pairs.items():
+        rows[a] += k
+
+    def score(t):
+        w = words(t)
+        c = [border, *(cls.get(x, residual(x)) for x in w), border]
+        out = sum(math.log10((pairs[p] + 0.5) / (rows[p[0]] + 0.5 * (border + 1))) for p in zip(c, c[1:], strict=False))
+        for x, k in zip(w, c[1:], strict=False):
+            out += math.log10((counts[x] + 1) / (of_class[k] + types[k] + 1)) if k >= border - brown_lm.RESIDUAL else math.log10(counts[x] / of_class[k])
+        return out
+
     want = Counter()
     for i, t in docs:
         w = words(t)
-        want[i, len(w) + 1, sum(counts[x] > 0 for x in w) + 1, n, round(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w) + math.log10((ends + 1) / (n + v + 1)), 5)] += 1
-    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == want
+        base = sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w) + math.log10((ends + 1) / (n + v + 1))
+        want[i, len(w) + 1, sum(counts[x] > 0 for x in w) + 1, n, round(base, 5), round(score(t), 4)] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 4)) for r in got) == want
     assert sum(r.score for r in got) > sum(r.base_score for r in got) and all(r.score < 0 for r in got)
-    # The probabilities of all words in all classes, one unseen word for each residual class, add up to 1 after any class.
-    k = len(model.residual)
-    border = model.classes[-1]
-    mass = Counter()
-    for i, e in enumerate(model.emissions):
-        mass[int(model.classes[i])] += 10**e
-    known = set(model.words)
-    for word, c in counts.items():
-        if (b := word.encode()) not in known:
-            mass[border - k + brown_lm._residual(b)] += 10 ** (math.log10(c + 1) - model.residual[brown_lm._residual(b)])
-    for c in range(k):
-        mass[border - k + c] += 10 ** -model.residual[c]
-    assert all(abs(m - 1) < 1e-9 for m in mass.values())
     assert abs((10**model.transitions).sum(1) - 1).max() < 1e-9
 
 
+def test_brown_gains():
+    """The gain of a move is what the likelihood of class bigrams gains."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    m, k = 14, 4
+    bigrams = rng.integers(0, 9, (m, m)) * (rng.random((m, m)) < 0.5)
+    np.fill_diagonal(bigrams, 0)
+    cls = rng.integers(0, k, m)
+
+    def matrix(c):
+        g = np.zeros((k, k))
+        for a in range(m):
+            for b in range(m):
+                g[c[a], c[b]] += bigrams[a, b]
+        return g
+
+    likely = lambda c: sum(brown_lm._f(x).sum() * s for x, s in ((matrix(c), 1), (matrix(c).sum(0), -1), (matrix(c).sum(1), -1)))
+    for w in range(m):
+        context = np.array([[np.bincount(cls, bigrams[:, w], k), np.bincount(cls, bigrams[w], k)]])
+        got = brown_lm.gains(context, cls[w : w + 1], matrix(cls), k)[0]
+        moved = [likely(np.where(np.arange(m) == w, c, cls)) for c in range(k)]
+        for c in range(k):
+            # Exact but for the cell in which a class meets itself, which both sides change.
+            if not context[0, 0, c] * context[0, 1, c] and not context[0, 0, cls[w]] * context[0, 1, cls[w]]:
+                assert abs((got[c] - got[cls[w]]) - (moved[c] - moved[cls[w]])) < 1e-6
+
+
+def test_brown_clusters_all_words(spark):
+    """Words of two kinds that follow each other: the rounds separate them, in the dictionary and beyond it, and each makes classes tell more."""
+    rng = random.Random(6)
+    name = lambda kind: "%s%d" % (kind, min(int(rng.expovariate(0.06)), 90))
+    texts = [" ".join(name("ab"[k % 2]) for k in range(rng.randint(20, 60))) for _ in range(400)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    model = brown_lm.train(docs, dictionary=60, core=12, n_classes=2)
+    cls = {w.decode(): int(c) for w, c in zip(model.words, model.classes, strict=False)} | {r.word: r.cls for r in model.rest.where(f"n >= {brown_lm.LEAST}").collect()}
+    assert len(model.words) < 100 < len(cls)
+    sides = {kind: Counter(c for w, c in cls.items() if w[0] == kind) for kind in "ab"}
+    assert all(max(s.values()) > 0.95 * sum(s.values()) for s in sides.values()) and sides["a"].most_common(1)[0][0] != sides["b"].most_common(1)[0][0]
+
+
 def test_brown_empty(spark, df):
     model = brown_lm.train(df.limit(0))
     got = brown_lm.score(df, model).collect()
