@@ -233,22 +233,26 @@ def _decode(path: str):
     return run
 
 
+def _kind(df: DataFrame) -> str:
+    return df.schema["doc_id"].dataType.simpleString()
+
+
 def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, ids)`` for each row: the whole text as token ids.
 
     A null text is empty and gives no ids.  A null ``doc_id`` and repeated rows are kept as they are.  Special strings become
     their ids.  Only the two named columns are read, so that others may have any name; an empty table gives an empty result.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return docs.mapInArrow(_encode(path or tokenizer_path(), False), "doc_id long, ids array<int>")
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return docs.mapInArrow(_encode(path or tokenizer_path(), False), f"doc_id {_kind(docs)}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``(doc_id, decoded)`` from ``(doc_id, ids)``; null or empty ids decode to the empty string."""
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(_decode(path or tokenizer_path()), "doc_id long, decoded string")
+    return encoded.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInArrow(_decode(path or tokenizer_path()), f"doc_id {_kind(encoded)}, decoded string")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, ids, decoded)``: :func:`encode` followed by :func:`decode` of the ids, in one pass over the rows."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return docs.mapInArrow(_encode(path or tokenizer_path(), True), "doc_id long, ids array<int>, decoded string")
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return docs.mapInArrow(_encode(path or tokenizer_path(), True), f"doc_id {_kind(docs)}, ids array<int>, decoded string")

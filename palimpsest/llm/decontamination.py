@@ -37,7 +37,7 @@ def words_of(text: Column) -> Column:
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``(doc_id, h, text)``.  The hash keeps apart rows of one id with different texts; rows equal in both have equal results."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
 
 
 def benchmark_items(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -148,7 +148,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, doc_id:
     """
     found = matches(docs, items, size, doc_id, text, item_id, item_text).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("at").alias("__at"))
     kept = [F.col(k).alias(f"__kept_{k}") for k in keep]
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *kept, F.xxhash64(text).alias("__text_h"), F.col(text).alias("__text"))
+    own = docs.select(F.col(doc_id).alias("doc_id"), *kept, F.xxhash64(text).alias("__text_h"), F.col(text).alias("__text"))
     kept = [f"__kept_{k}" for k in keep]
 
     # Candidates are compared where the words are; most documents have none.

@@ -307,5 +307,5 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
     A null, empty or textless page has the text ''.  Null ids and urls and repeated rows stay as they are.  Only the three named
     columns are read, so that others may have any name; an empty table gives an empty result.
     """
-    given = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"))
-    return given.mapInArrow(_extract, "page_id long, url string, text string")
+    given = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"))
+    return given.mapInArrow(_extract, f"page_id {given.schema['page_id'].dataType.simpleString()}, url string, text string")

@@ -6,7 +6,7 @@ forward only, so the work is in proportion to the text.
 
 Kinds: ``email``, ``ip``, ``card``, ``phone`` (spans as the leftmost non-overlapping matches of fixed grammars), and, found
 besides, ``secret`` (keys, tokens and passwords behind a cue), ``login`` (user and password inside a URL), ``iban`` (by its
-check digits) and ``account`` (a number behind an account cue).
+country's length and its check digits) and ``account`` (a number behind an account cue).  All are found whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -29,10 +29,14 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOGIN = re.compile(r"[^\s/?#@:]+:[^\s/?#@]+@")
 SECRET = re.compile(r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_.~-]{8,})")
 AWS = re.compile(r"AKIA[A-Z0-9]{16}(?![A-Z0-9])")
-IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
-ACCOUNT = re.compile(r"(?: (?:number|no|nr|num))?[.:#]{0,2} {0,2}([0-9][0-9 -]{4,22}[0-9])")
+ACCOUNT = re.compile(r"(?: (?:number|no|nr|num))?[.:#]{0,2} {0,2}([0-9]+(?:[ -][0-9]+)*)")
+#: How many characters the international account numbers of a country have.
+IBAN_CHARS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 "
+    "LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+)
 #: Cues, in lower case, and what follows each.
-CUES = {"password": "secret", "passwd": "secret", "token": "secret", "api_key": "secret", "apikey": "secret", "secret": "secret", "akia": "aws", "iban": "iban", "account": "account", "acct": "account", "konto": "account", "compte": "account", "cuenta": "account"}
+CUES = {"password": "secret", "passwd": "secret", "token": "secret", "api_key": "secret", "apikey": "secret", "secret": "secret", "akia": "aws", "account": "account", "acct": "account", "konto": "account", "compte": "account", "cuenta": "account"}
 KINDS = ("email", "ip", "card", "phone", "secret", "login", "iban", "account")
 BASE = KINDS[:4]
 
@@ -55,6 +59,7 @@ class Finder:
         self.anchors.make_automaton()
         # What makes a scan needless: none of the anchors is there.
         self.any = re.compile(r"[@+0-9]|://|" + "|".join(CUES), re.IGNORECASE).search
+        self.iban_chars = {x[:2]: int(x[2:]) for x in IBAN_CHARS.split()}
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         """All spans, by kind as in KINDS, then by start."""
@@ -79,6 +84,8 @@ class Finder:
                         done["ip"] = m.end()
                         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
                             add("ip", at, m.end())
+                    if at - 2 >= done["iban"] and (n_chars := self.iban_chars.get(text[at - 2 : at])) and (end := self.iban_end(text, at - 2, n_chars)):
+                        add("iban", at - 2, end)
                     if at >= done["card"] and (m := CARD.match(text, at)):
                         done["card"] = m.end()
                         digits = m[0].replace(" ", "").replace("-", "")
@@ -104,23 +111,26 @@ class Finder:
             elif kind == "secret":
                 if at >= done["secret"] and (m := SECRET.match(text, at + n)) and any(c.isdigit() for c in m[1]):
                     add("secret", m.start(1), m.end(1))
-            elif kind == "iban":
-                if at >= done["iban"] and (m := IBAN.search(text, at + n, at + n + 48)):
-                    m = IBAN.match(text, m.start())  # its end may lie beyond
-                    # Capitals and digits of the next words may have been taken for its end: it is tried before each space too.
-                    ends = [m.end(), *(k for k in range(m.end() - 1, m.start(), -1) if text[k] == " ")]
-                    for end in ends:
-                        value = text[m.start() : end].replace(" ", "")
-                        if len(value) >= 15 and self.iban(value):
-                            add("iban", m.start(), end)
-                            break
             elif at >= done["account"] and not low[at - 1 : at].isalpha() and (m := ACCOUNT.match(low, at + n)) and sum(c.isdigit() for c in m[1]) >= 6:
                 add("account", m.start(1), m.end(1))
         return [(k, *s) for k in KINDS for s in found[k]]
 
     @staticmethod
-    def iban(value: str) -> bool:
-        return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
+    def iban_end(text: str, start: int, n_chars: int) -> int:
+        """Where the account number of so many characters that begins at ``start`` ends, if there is one: capitals and digits, with single
+        spaces between, no letter or digit right before or behind, and the check digits hold; else 0."""
+        if start and text[start - 1].isalnum():
+            return 0
+        value, at = "", start
+        while len(value) < n_chars:
+            if at + 1 < len(text) and text[at] == " " and value:
+                at += 1
+            if at >= len(text) or not (text[at].isascii() and (text[at].isdigit() or text[at].isupper())):
+                return 0
+            value += text[at]
+            at += 1
+        good = value[2:4].isdigit() and (at == len(text) or not text[at].isalnum())
+        return at if good and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1 else 0
 
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -141,5 +151,6 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     A null or empty text has no spans (an empty array).  Null ids and repeated rows stay as they are.  Only the two named
     columns are read, so that others may have any name; an empty table gives an empty result.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return docs.mapInArrow(_find, "doc_id long, spans array<struct<kind:string,start:int,stop:int>>")
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(_find, f"doc_id {kind}, spans array<struct<kind:string,start:int,stop:int>>")

@@ -109,7 +109,7 @@ def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tu
     terms: what :func:`toxic_terms` has found.  Then there is one more measurement, n_toxic_terms (different terms of the document's
     language), and one more rule, ``TOXIC``.
     """
-    given = [F.col(doc_id).cast("long").alias("doc_id"), *(F.col(k).alias(f"__kept_{k}") for k in keep)]
+    given = [F.col(doc_id).alias("doc_id"), *(F.col(k).alias(f"__kept_{k}") for k in keep)]
     through = ["doc_id", *(f"__kept_{k}" for k in keep)]
     if terms is not None:
         given.append(F.col(lang).alias("__lang"))

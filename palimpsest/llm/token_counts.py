@@ -94,12 +94,12 @@ def token_counts(docs: DataFrame, path: str | None = None, dictionary: int = DIC
     any name.  An empty table gives an empty result.
     """
     path = path or tokenizer_path()
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     pieces = saved(pre_token_table(docs, path), "pre-tokens")
     least, top = frequent(pieces, "piece", "n", dictionary)
     common = docs.sparkSession.sparkContext.broadcast({r.piece: r.pieces for r in top.collect()})
     rest = pieces.where((F.col("n") < least) | (F.octet_length("piece") > 200)).select("piece", "pieces")
-    freq = docs.mapInArrow(_frequencies(path, common), "row long, doc_id long, n_bytes long, n_common long, rare array<string>, times array<int>")
+    freq = docs.mapInArrow(_frequencies(path, common), f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_common long, rare array<string>, times array<int>")
     rows = freq.select("row", "doc_id", "n_bytes", "n_common", F.posexplode_outer(F.arrays_zip("rare", "times")).alias("at", "x"))
     first = F.coalesce(F.col("at"), F.lit(0)) == 0
     rows = rows.select(

@@ -447,6 +447,47 @@ def test_iban_before_capitals(iban, after):
     assert [text[a:b] for kind, a, b in pii.Finder().spans(text) if kind == "iban"] == [iban]
 
 
+def spelled_ibans(t):
+    """Account numbers by brute force: every start, every way to spell so many characters."""
+    out, stop = [], 0
+    for a in range(len(t)):
+        n = next((int(x[2:]) for x in pii.IBAN_CHARS.split() if t.startswith(x[:2], a)), 0)
+        m = re.match(r"[A-Z0-9](?: ?[A-Z0-9]){%d}(?![^\W_])" % (n - 1), t[a:]) if n else None
+        if m and a >= stop and (a == 0 or not t[a - 1].isalnum()) and re.match(r"[A-Z]{2}[0-9]{2}", t[a:]):
+            v = m[0].replace(" ", "")
+            if int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1:
+                out.append((a, a + m.end()))
+                stop = a + m.end()
+    return out
+
+
+def test_added_kinds_by_brute_force():
+    rng = random.Random(11)
+    good = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO9386011117947", "GB82 WEST 1234 5698 7654 32", "MT84MALT011000012345MTLCAST001S", "FR1420041010050500013M02606"]
+    parts = [*good, "IBAN ", "BIC COBADEFF", "DE89370400440532013001", " ", " and ", "X", "7", "\n", "é", "account no. ", "acct: ", "1234", "12-34 56", "konto ", "https://", "joe:", "p" * 300, "@h.org", ":", "/"]
+    login = re.compile(r"(?<=://)[^\s/?#@:]+:[^\s/?#@]+(?=@)")
+    account = re.compile(r"(?:account|acct|konto|compte|cuenta)(?: (?:number|no|nr|num))?[.:#]{0,2} {0,2}([0-9]+(?:[ -][0-9]+)*)", re.IGNORECASE)
+    find = pii.Finder()
+    for _ in range(20_000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(1, 9)))
+        got = {k: [(a, b) for kind, a, b in find.spans(t) if kind == k] for k in ("iban", "login", "account")}
+        assert got["iban"] == spelled_ibans(t), t
+        assert got["login"] == [m.span() for m in login.finditer(t)], t
+        assert got["account"] == [m.span(1) for m in account.finditer(t) if sum(c.isdigit() for c in m[1]) >= 6 and not t[max(0, m.start() - 1) : m.start()].isalpha()], t
+    long = "account " + "1234567890" * 3
+    assert [long[a:b] for kind, a, b in find.spans(long) if kind == "account"] == ["1234567890" * 3]
+
+
+def test_ids_of_any_type(spark, library):
+    rows = [("a", "some text of few words, joe@mail.example.com"), (None, None), ("b", "other text")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    want = Counter(i for i, _ in rows)
+    model = brown_lm.train(df)
+    for out in (bpe_codec.encode(df), bpe_codec.decode(bpe_codec.encode(df)), bpe_codec.round_trip(df), token_counts.token_counts(df), pii.find_personal_data(df), quality_ledger.ledger(df), line_dedup.dedup_lines(df), brown_lm.score(df, model),
+                decontamination.decontaminate(df, spark.createDataFrame([("x", "other text")], "item_id string, text string")), ngram_join.jaccard_classes(df)):
+        assert Counter(r.doc_id for r in out.collect()) == want
+
+
 def test_long_login():
     text = f"see https://joe:{'p' * 400}@h.org/"
     assert [text[a:b] for kind, a, b in pii.Finder().spans(text) if kind == "login"] == ["joe:" + "p" * 400]
