@@ -5,15 +5,15 @@ from __future__ import annotations
 from .line_dedup import MIN_WORDS
 from .quality_ledger import ABUSE, RULES, SYMBOLS
 from .queries import URL_RULES
-from .url_reputation import SECOND_LEVEL, STRENGTH
+from .url_reputation import SECOND_LEVEL, SERVICES, STRENGTH
 
 WORD = r"[^\x20\x09-\x0D]+"
 ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'"
 
 
-def _op1() -> str:
+def _op1(labels: str = "select doc_id as page_id, quality=0 or toxic=1 as bad from labels where doc_id is not null") -> str:
     rules = ", ".join(f"('{k}','{r}','{r.partition('/')[0]}','/{r.partition('/')[2]}')" for k, r in URL_RULES)
-    two = ", ".join(f"'{s}'" for s in SECOND_LEVEL)
+    two, services = (", ".join(f"'{x}'" for x in xs) for xs in (SECOND_LEVEL, SERVICES))
 
     def level(units: str, key: str, out: str, of: str) -> str:
         """The strength of the prior at a level (units have key, n, bad, prior), and the shrunk rates."""
@@ -22,13 +22,15 @@ def _op1() -> str:
         return f"""{out}_s as (select coalesce(greatest({STRENGTH[0]}e0,least({STRENGTH[1]}e0,1e0/greatest(1e-6,{spread}/greatest({room},1e-12))-1)),{STRENGTH[1]}e0) as s from {units} where n>=2 and prior>0 and prior<1),
         {out} as (select {of}, (bad+prior*s)/(n+s) as rate, s from {units}, {out}_s)"""
 
+    # The share of the posterior below one half, by Simpson's rule on x, or on u = x^a where the density has a pole at 0.
     return rf"""with cut as (select page_id, case when strpos(url,'://')>0 then substring(url, strpos(url,'://')+3) end as rest from pages),
     seen as (select page_id, coalesce(translate(regexp_extract(rest,'^([^/?#]*)',1),{ASCII}),'') as host, coalesce(regexp_extract(rest,'^[^/?#]*([^?#]*)',1),'') as path, row_number() over () as row from cut),
-    fits as (select row, kind, rule, row_number() over (partition by row order by length(rule) desc) as k from seen, (values {rules}) r(kind, rule, name, prefix)
+    fits as (select row, kind, rule, row_number() over (partition by row order by length(rule) desc, kind desc) as k from seen, (values {rules}) r(kind, rule, name, prefix)
       where (host=name or ends_with(host,'.'||name)) and starts_with(path,prefix)),
-    lab as (select doc_id, count(*) as n, sum((quality=0 or toxic=1)::int) as bad from labels where doc_id is not null group by doc_id),
-    hosts as (select host, coalesce(sum(n),0)::double as n, coalesce(sum(bad),0)::double as bad, regexp_replace(host,':[0-9]*$','') as plain from seen left join lab on doc_id=page_id group by host),
-    suf as (select *, case when regexp_matches(plain,'^[0-9.]+$') then plain when regexp_extract(plain,'([^.]+\.[^.]+)$',1) in ({two}) then regexp_extract(plain,'([^.]+\.[^.]+)$',1) else regexp_extract(plain,'([^.]*)$',1) end as suffix from hosts),
+    lab as (select page_id, count(*) as n, sum(bad::int) as bad from ({labels}) where page_id is not null and bad is not null group by page_id),
+    hosts as (select host, coalesce(sum(n),0)::double as n, coalesce(sum(bad),0)::double as bad, regexp_replace(regexp_replace(host,'^.*@|:[0-9]*$','','g'),'\.+$','') as plain from seen left join lab using (page_id) group by host),
+    suf as (select *, case when regexp_matches(plain,'^[0-9.]+$') then plain when regexp_extract(plain,'([^.]+\.[^.]+)$',1) in ({services}) or regexp_matches(plain,'(^|\.)[^.]+\.[^.][^.]$') and regexp_extract(plain,'([^.]+)\.[^.]+$',1) in ({two})
+      then regexp_extract(plain,'([^.]+\.[^.]+)$',1) else regexp_extract(plain,'([^.]*)$',1) end as suffix from hosts),
     dom as (select *, regexp_extract(substring(plain,1,greatest(length(plain)-length(suffix)-1,0)),'([^.]*)$',1) as label from suf),
     h as (select host, n, bad, suffix, case when label='' then suffix else label||'.'||suffix end as domain from dom),
     d as (select domain, suffix, sum(n) as n, sum(bad) as bad from h group by domain, suffix),
@@ -39,9 +41,11 @@ def _op1() -> str:
     {level('d1', 'domain', 'd2', 'domain')},
     h1 as (select h.*, d2.rate as prior from h join d2 using (domain)),
     {level('h1', 'host', 'h2', 'host, n')},
-    post as (select host, rate, 1.645e0*sqrt(rate*(1-rate)/(n+s+1)) as err from h2)
-    select page_id, host, path, rule, coalesce(kind, case when greatest(0e0,rate-err)>0.5 then 'block' else 'allow' end) as verdict, rate, greatest(0e0,rate-err) as low, least(1e0,rate+err) as high
-    from seen join post using (host) left join fits on fits.row=seen.row and k=1"""
+    post as (select host, rate, rate*(n+s) as a, (1-rate)*(n+s) as b from h2),
+    grid as (select host, rate, a, b, pow(0.5e0,least(1e0,a))/2000 as step, i, case when i in (0,2000) then 1 when i%2=1 then 4 else 2 end as w from post, range(2001) g(i)),
+    risk as (select host, any_value(rate) as rate, sum(w*case when a<1 then exp((b-1)*ln(1-pow(i*step,1/a)))/a when i=0 then (a=1)::int else exp((a-1)*ln(i*step)+(b-1)*ln(1-i*step)) end)*any_value(step)/3/exp(lgamma(any_value(a))+lgamma(any_value(b))-lgamma(any_value(a)+any_value(b))) as under from grid group by host, a, b)
+    select page_id, host, path, rule, coalesce(kind, case when under<0.05 then 'block' else 'allow' end) as verdict, rate
+    from seen join risk using (host) left join fits on fits.row=seen.row and k=1"""
 
 
 def _op4() -> str:
@@ -72,6 +76,14 @@ def _op6() -> str:
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words<50 or 100*n_repeat_words>50*n_words as base_failed, fail_bits=0 as kept, fail_bits from b"""
 
 
+def _op6_ablations() -> str:
+    rules = ", ".join(f"('{r.name}', {1 << r.bit})" for r in RULES)
+    mask = sum(1 << r.bit for r in RULES)
+    return f"""with entries as ({_op6()}), rules(rule, bit) as (values {rules})
+    select 'v2' as version, rule, cast(sum((fail_bits & bit <> 0)::int) as bigint) as n_failed, cast(sum((fail_bits = bit)::int) as bigint) as n_only, cast(sum((fail_bits & ({mask} - bit) = 0)::int) as bigint) as n_kept_without
+    from entries, rules group by rule"""
+
+
 def _op7() -> str:
     """By all shortest runs of 50 words, forwards and backwards: a line goes if one that covers it occurs at an earlier place.
 
@@ -122,4 +134,5 @@ def _op9_proximity() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_reputation": _op1(), "op4_ngram_jaccard": _op4(), "op6_quality_ledger": _op6(), "op7_line_dedup": _op7(), "op9_decontamination": _op9(), "op9_proximity": _op9_proximity()}
+    planted = "select page_id, length(regexp_extract(url,'://([^/?#]*)',1))%2=0 as bad from pages where page_id is not null"
+    return {"op1_url_reputation": _op1(), "op1_planted_hosts": _op1(planted), "op6_ablations": _op6_ablations(), "op4_ngram_jaccard": _op4(), "op6_quality_ledger": _op6(), "op7_line_dedup": _op7(), "op9_decontamination": _op9(), "op9_proximity": _op9_proximity()}

@@ -14,10 +14,20 @@ URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 TOKEN_LIMIT = 2048
 
 
+def _judged(spark: SparkSession, sf_dir: str, labels: DataFrame) -> DataFrame:
+    done = url_reputation.judge_urls(table(spark, sf_dir, "pages"), labels, URL_RULES)
+    return done.select("page_id", "host", "path", "rule", "verdict", "rate")
+
+
 def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels name pages by their id; a page is bad if its quality is 0 or it is toxic."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    return url_reputation.judge_urls(table(spark, sf_dir, "pages"), labels, URL_RULES, outcome_id="doc_id")
+    return _judged(spark, sf_dir, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")))
+
+
+def op1_planted_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With outcomes that differ by host, so that the bound blocks: pages of hosts with an even number of characters are bad."""
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    return _judged(spark, sf_dir, table(spark, sf_dir, "pages").select("page_id", (F.length(host) % 2 == 0).alias("bad")))
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +66,11 @@ def op6_toxic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_abuse", "n_toxic_terms", failed.alias("base_failed"), (~failed & quality_ledger.LABELLED.keeps(F.col("fail_bits"))).alias("kept"), "fail_bits")
 
 
+def op6_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the newest policy costs, from counts by bit pattern."""
+    return quality_ledger.ablations(quality_ledger.ledger(table(spark, sf_dir, "documents")))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
@@ -88,7 +103,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_reputation, op2_html_text, op3_brown_lm, op4_ngram_jaccard, op5_token_counts, op6_quality_ledger, op6_toxic_terms, op7_line_dedup, op8_personal_data, op9_decontamination, op9_proximity, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_url_reputation, op1_planted_hosts, op2_html_text, op3_brown_lm, op4_ngram_jaccard, op5_token_counts, op6_quality_ledger, op6_toxic_terms, op6_ablations, op7_line_dedup, op8_personal_data, op9_decontamination, op9_proximity, op10_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:

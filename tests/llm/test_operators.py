@@ -518,6 +518,43 @@ def test_reputation_shrinks(spark):
     assert url_reputation.judge_urls(pages.limit(0), labels).count() == 0
 
 
+def test_beta_bounds():
+    import numpy as np
+
+    def brute(x, a, b, n=200_000):  # the sum under the density; on u = v^a where that has a pole at 0
+        whole = math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+        if a < 1:
+            u = (np.arange(n) + 0.5) / n * x**a
+            return ((1 - u ** (1 / a)) ** (b - 1)).sum() * x**a / n / a / math.exp(whole)
+        v = (np.arange(n) + 0.5) / n * x
+        return np.exp((a - 1) * np.log(v) + (b - 1) * np.log1p(-v) - whole).sum() * x / n
+
+    for a, b, x in [(0.3, 2.5, 0.1), (1, 1, 0.7), (5, 2, 0.5), (40, 60, 0.45), (900.5, 3.5, 0.99), (0.05, 1000, 0.001)]:
+        assert abs(url_reputation.beta_cdf(np.array([x]), np.array([a]), np.array([b]))[0] - brute(x, a, b)) < 1e-5
+    low = url_reputation.beta_quantile(0.05, np.array([1.0, 3.0, 0.5]), np.array([1.0, 1.0, 9.0]))
+    assert abs(low[0] - 0.05) < 1e-12 and abs(low[1] - 0.05 ** (1 / 3)) < 1e-9 and 0 < low[2] < 1e-3
+    assert list(url_reputation.beta_cdf(np.array([0.0, 1.0]), np.array([2.0, 2.0]), np.array([3.0, 3.0]))) == [0, 1]
+
+
+def test_suffixes(spark):
+    hosts = ["a.github.io", "b.com.sg", "x.co.kr", "www.x.co.kr", "a.b.com", "www.ck", "a.b.ck", "b.ck", "ck", "10.0.0.1", "10.0.0.1:80", "localhost", "", "u@m.org:8080", "x.org.", "co.uk", "deep.a.blogspot.com", "me.example.com", "x" * 70_000 + ".net"]
+    rules = url_reputation.suffix_rules(spark, [*url_reputation.SERVICES, "*.ck", "!www.ck", "// a comment", ""])
+    df = url_reputation.with_suffix(spark.createDataFrame([(h,) for h in hosts], "host string"), rules)
+    got = {r.host: (r.suffix, r.domain) for r in df.withColumn("domain", url_reputation.domain_of(F.col("host"), F.col("suffix"))).collect()}
+    assert got["a.github.io"] == ("github.io", "a.github.io") and got["b.com.sg"] == ("com.sg", "b.com.sg") and got["www.x.co.kr"] == ("co.kr", "x.co.kr") and got["a.b.com"] == ("com", "b.com")
+    assert got["www.ck"] == ("ck", "www.ck") and got["a.b.ck"] == ("b.ck", "a.b.ck") and got["b.ck"] == ("b.ck", "b.ck") and got["ck"] == ("ck", "ck")
+    assert got["10.0.0.1:80"] == ("10.0.0.1", "10.0.0.1") and got["localhost"] == ("localhost", "localhost") and got[""] == ("", "") and got["u@m.org:8080"] == ("org", "m.org") and got["x.org."] == ("org", "x.org")
+    assert got["co.uk"] == ("co.uk", "co.uk") and got["deep.a.blogspot.com"] == ("blogspot.com", "a.blogspot.com") and got["x" * 70_000 + ".net"][0] == "net" and len(got) == len(hosts)
+    none = url_reputation.with_suffix(spark.createDataFrame([("a.github.io",)], "host string"), rules.limit(0)).first()
+    assert none.suffix == "io"
+
+
+def test_very_long_urls(spark):
+    pages = spark.createDataFrame([(1, "http://" + "a." * 50_000 + "com/" + "x" * 500_000), (2, None), (None, "http://h.com/"), (None, "http://h.com/")], "page_id long, url string")
+    got = url_reputation.judge_urls(pages, spark.createDataFrame([(1, True)], "page_id long, bad boolean")).collect()
+    assert Counter((r.page_id, len(r.host), len(r.path)) for r in got) == Counter([(1, 100_003, 500_001), (2, 0, 0), (None, 5, 1), (None, 5, 1)])
+
+
 # 2
 
 PAGES = {
