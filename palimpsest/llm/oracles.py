@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .line_dedup import MIN_WORDS
-from .quality_ledger import ABUSE, RULES, SYMBOLS
+from .quality_ledger import ABUSE, LABELLED, RULES, SYMBOLS, TERM_RATIO, TERM_SHARE, TERM_TEXTS, TOXIC
 from .queries import URL_RULES
 from .url_reputation import SECOND_LEVEL, SERVICES, STRENGTH
 
@@ -62,25 +62,32 @@ def _op4() -> str:
 
 
 def _op6() -> str:
-    bits = "|".join(f"(case when {r.fails} then {1 << r.bit} else 0 end)" for r in RULES)
+    bits = "|".join(f"(case when {r.fails} then {1 << r.bit} else 0 end)" for r in (*RULES, TOXIC))
     abuse = "|".join(ABUSE)
-    return rf"""with d as (select row_number() over () as r, doc_id, coalesce(text,'') as t from documents),
+    terms = r"list_distinct(regexp_extract_all(lower(text),'[\p{L}\p{M}\p{N}]+'))"
+    return rf"""with d as (select row_number() over () as r, doc_id, lang, coalesce(text,'') as t from documents),
+    lab as (select doc_id, max((toxic=1)::int) as toxic from labels where doc_id is not null and toxic is not null group by doc_id),
+    tx as (select lang, text, max(toxic) as toxic from documents join lab using (doc_id) where text is not null group by lang, text),
+    ev as (select lang, sum(toxic) as toxic, count(*)-sum(toxic) as clean from tx group by lang),
+    tw as (select lang, word, sum(toxic) as t, count(*)-sum(toxic) as c from (select lang, toxic, unnest({terms}) as word from tx) group by lang, word),
+    term as (select w.lang, word from tw w join ev e on w.lang is not distinct from e.lang where t>={TERM_TEXTS} and t>={TERM_SHARE}e0*toxic and t*clean>={TERM_RATIO}*(c+0.5e0)*toxic),
+    tox as (select r, count(*) as n_toxic_terms from (select r, lang, unnest({terms.replace('text', 't')}) as word from d) x join term y on x.word=y.word and x.lang is not distinct from y.lang group by r),
     m as (select r, doc_id, t, regexp_extract_all(t,'{WORD}') as ws, list_filter(string_split(t,chr(10)), lambda x: regexp_matches(x,'{WORD}')) as ls from d),
     tok as (select r, unnest(ws) as w, generate_subscripts(ws,1) as i from m),
     win as (select r, i, w, lead(w,1) over x as w1, lead(w,2) over x as w2 from tok window x as (partition by r order by i)),
     dup as (select r, i from (select r, i, count(*) over (partition by r, w, w1, w2) as c from win where w2 is not null) where c>1),
     cov as (select r, count(distinct i+o) as n from dup, (values (0),(1),(2)) v(o) group by r),
     a as (select doc_id, len(ws) as n_words, length(array_to_string(ws,'')) as word_chars, len(regexp_extract_all(t,'{SYMBOLS}')) as n_symbols, len(ls) as n_lines, len(ls)-len(list_distinct(ls)) as n_dup_lines,
-      coalesce(n,0) as n_repeat_words, len(regexp_extract_all(t,'[A-Z]')) as n_capitals, len(regexp_extract_all(t,'(?i)\b({abuse})\b')) as n_abuse from m left join cov using (r)),
+      coalesce(n,0) as n_repeat_words, len(regexp_extract_all(t,'[A-Z]')) as n_capitals, len(regexp_extract_all(t,'(?i)\b({abuse})\b')) as n_abuse, coalesce(n_toxic_terms,0) as n_toxic_terms from m left join cov using (r) left join tox using (r)),
     b as (select *, cast({bits} as bigint) as fail_bits from a)
-    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words<50 or 100*n_repeat_words>50*n_words as base_failed, fail_bits=0 as kept, fail_bits from b"""
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words<50 or 100*n_repeat_words>50*n_words as base_failed, fail_bits=0 as kept, n_toxic_terms, fail_bits from b"""
 
 
 def _op6_ablations() -> str:
-    rules = ", ".join(f"('{r.name}', {1 << r.bit})" for r in RULES)
-    mask = sum(1 << r.bit for r in RULES)
+    rules = ", ".join(f"('{r.name}', {1 << r.bit})" for r in (*RULES, TOXIC))
+    mask = sum(1 << r.bit for r in (*RULES, TOXIC))
     return f"""with entries as ({_op6()}), rules(rule, bit) as (values {rules})
-    select 'v2' as version, rule, cast(sum((fail_bits & bit <> 0)::int) as bigint) as n_failed, cast(sum((fail_bits = bit)::int) as bigint) as n_only, cast(sum((fail_bits & ({mask} - bit) = 0)::int) as bigint) as n_kept_without
+    select '{LABELLED.version}' as version, rule, cast(sum((fail_bits & bit <> 0)::int) as bigint) as n_failed, cast(sum((fail_bits = bit)::int) as bigint) as n_only, cast(sum((fail_bits & ({mask} - bit) = 0)::int) as bigint) as n_kept_without
     from entries, rules group by rule"""
 
 

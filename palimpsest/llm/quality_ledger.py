@@ -12,6 +12,7 @@ texts are counted by a shuffle.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -84,26 +85,29 @@ def toxic_terms(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     labels: ``(doc_id, toxic)``.  An id is toxic if any of its labels is; ids and labels that are null say nothing.  Equal texts
     count once, as toxic if one of them is.  A null language is one more language.
     """
-    known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    texts = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("text is not null")
-    texts = texts.join(small(known), "__id").withColumn("h", F.xxhash64("text"))
-    n, n_toxic = F.count("*"), F.sum(F.col("toxic").cast("long"))
-    of_text = lambda df, *keys: df.groupBy(*keys, "h").agg(F.max("toxic").alias("toxic")).groupBy(*keys)
-    every = of_text(texts, "lang").agg(n_toxic.alias("toxic"), (n - n_toxic).alias("clean"))
-    words = of_text(texts.select("lang", "h", "toxic", F.explode(_terms(F.col("text"))).alias("word")), "lang", "word").agg(n_toxic.alias("t"), (n - n_toxic).alias("c")).where(F.col("t") >= TERM_TEXTS)
+    known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
+    texts = docs.select(F.col(doc_id).alias("__id"), F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).where("text is not null").join(small(known), "__id")
+    # Of equal texts in a language one id speaks, and of its rows each for its share: words are then added up where they are read.
+    ids = texts.groupBy("lang", "h", "__id").agg(F.max("toxic").alias("toxic"), F.count("*").alias("rows"))
+    heads = ids.groupBy("lang", "h").agg(F.min("__id").alias("head"), F.min_by("rows", "__id").alias("rows"), F.max("toxic").alias("any_toxic"))
+    heads = saved(heads.select(F.col("lang").alias("__lang"), F.col("h").alias("__h"), "head", "rows", "any_toxic"), "heads")
+    every = heads.groupBy(F.col("__lang").alias("lang")).agg(F.sum("any_toxic").cast("long").alias("toxic"), (F.count("*") - F.sum("any_toxic")).cast("long").alias("clean"))
+    once = texts.drop("toxic").join(small(heads), F.expr("lang <=> __lang and h = __h and __id = head"))
+    share = lambda c: F.round(F.sum(c / F.col("rows"))).cast("long")
+    words = once.select("lang", "rows", "any_toxic", F.explode(_terms(F.col("text"))).alias("word")).groupBy("lang", "word").agg(share(F.col("any_toxic")).alias("t"), share(1 - F.col("any_toxic")).alias("c")).where(F.col("t") >= TERM_TEXTS)
     # Half a text more than seen, so that a word that no clean text has needs evidence too.
-    found = words.alias("w").join(F.broadcast(every).alias("e"), F.col("w.lang").eqNullSafe(F.col("e.lang"))).where(
+    found = words.alias("w").join(small(every).alias("e"), F.col("w.lang").eqNullSafe(F.col("e.lang"))).where(
         (F.col("t") >= TERM_SHARE * F.col("toxic")) & (F.col("t") * F.col("clean") >= TERM_RATIO * (F.col("c") + 0.5) * F.col("toxic"))
     ).select("w.lang", "word")
     return saved(found.groupBy("lang").agg(F.sort_array(F.collect_list("word")).alias("terms")), "terms")
 
 
-def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), rules: tuple[Rule, ...] = RULES, terms: DataFrame | None = None, lang: str = "lang") -> DataFrame:
+def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), rules: tuple[Rule, ...] = RULES, terms: DataFrame | None = None, lang: str = "lang", abuse: tuple[str, ...] = ABUSE) -> DataFrame:
     """``(doc_id, *keep, <measurements>, fail_bits)`` for each row of ``docs``.
 
     Words are ``[^\\x20\\x09-\\x0D]+``.  Measurements: n_words; word_chars (code points in words); n_symbols; n_lines (of those
     split at \\n, the ones with a word); n_dup_lines (those equal to an earlier one); n_repeat_words (words in 3-word windows
-    found twice or more in the text, the first included); n_capitals (A-Z); n_abuse (terms of abuse).
+    found twice or more in the text, the first included); n_capitals (A-Z); n_abuse (the words given as ``abuse``).
     A null or empty text has 0 everywhere.  Repeated rows and null ids stay as they are; an empty table gives an empty result.
     keep: other columns of ``docs`` to carry; the rest is not read, so its names can't clash.
     terms: what :func:`toxic_terms` has found.  Then there is one more measurement, n_toxic_terms (different terms of the document's
@@ -124,7 +128,7 @@ def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tu
     lines = F.filter(F.split("__text", "\n"), lambda s: F.trim(s, F.lit(SPACES)) != "")
     df = df.select(
         *through, words.alias("__words"), lines.alias("__lines"), F.regexp_count("__text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        F.regexp_count("__text", F.lit("[A-Z]")).cast("long").alias("n_capitals"), F.regexp_count("__text", F.lit(r"(?i)\b(" + "|".join(ABUSE) + r")\b")).cast("long").alias("n_abuse"),
+        F.regexp_count("__text", F.lit("[A-Z]")).cast("long").alias("n_capitals"), F.regexp_count("__text", F.lit(r"(?i)\b(" + "|".join(map(re.escape, abuse)) + r")\b")).cast("long").alias("n_abuse"),
     )
     through += ["n_symbols", "n_capitals", "n_abuse"]
     n = F.size("__words")
@@ -160,7 +164,7 @@ def apply_policies(entries: DataFrame, policies: tuple[Policy, ...] = POLICIES)
     return entries.withColumns({f"kept_{p.version}": p.keeps(F.col("fail_bits")) for p in policies})
 
 
-def ablations(entries: DataFrame, policy: Policy = POLICIES[-1], rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def ablations(entries: DataFrame, policy: Policy = LABELLED, rules: tuple[Rule, ...] = (*RULES, TOXIC)) -> DataFrame:
     """``(version, rule, n_failed, n_only, n_kept_without)`` for each rule of a policy.
 
     n_failed: documents in which the rule fails; n_only: those it alone rejects; n_kept_without: documents kept without it.

@@ -49,26 +49,23 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the terms of toxic texts in each language, learnt from the labels."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_ledger.ledger(docs, terms=quality_ledger.toxic_terms(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kept means: not failed by the base rules, and kept by the newest policy."""
-    done = quality_ledger.ledger(table(spark, sf_dir, "documents"))
     failed = quality_ledger.base_failed(F.col("fail_bits"))
-    return done.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & quality_ledger.POLICIES[-1].keeps(F.col("fail_bits"))).alias("kept"), "fail_bits"
+    return _ledger(spark, sf_dir).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & quality_ledger.LABELLED.keeps(F.col("fail_bits"))).alias("kept"), "n_toxic_terms", "fail_bits"
     )
 
 
-def op6_toxic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger with the terms of toxic texts in each language, learnt from the labels.  Kept is as above, by the policy that has them."""
-    docs = table(spark, sf_dir, "documents")
-    done = quality_ledger.ledger(docs, terms=quality_ledger.toxic_terms(docs, table(spark, sf_dir, "labels")))
-    failed = quality_ledger.base_failed(F.col("fail_bits"))
-    return done.select("doc_id", "n_words", "n_abuse", "n_toxic_terms", failed.alias("base_failed"), (~failed & quality_ledger.LABELLED.keeps(F.col("fail_bits"))).alias("kept"), "fail_bits")
-
-
 def op6_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of the newest policy costs, from counts by bit pattern."""
-    return quality_ledger.ablations(quality_ledger.ledger(table(spark, sf_dir, "documents")))
+    return quality_ledger.ablations(_ledger(spark, sf_dir))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +100,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_reputation, op1_planted_hosts, op2_html_text, op3_brown_lm, op4_ngram_jaccard, op5_token_counts, op6_quality_ledger, op6_toxic_terms, op6_ablations, op7_line_dedup, op8_personal_data, op9_decontamination, op9_proximity, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_url_reputation, op1_planted_hosts, op2_html_text, op3_brown_lm, op4_ngram_jaccard, op5_token_counts, op6_quality_ledger, op6_ablations, op7_line_dedup, op8_personal_data, op9_decontamination, op9_proximity, op10_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:

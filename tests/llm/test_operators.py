@@ -121,7 +121,7 @@ def test_quality_ledger(df, docs, spark):
     assert all(r.kept_v1 == (r.n_words >= 50 and 100 * r.n_repeat_words <= 50 * r.n_words) and r.kept_v2 == (r.fail_bits == 0) for r in marked)
     policy = quality_ledger.POLICIES[1]
     bits = [r.fail_bits for r in marked]
-    for r in quality_ledger.ablations(got).collect():
+    for r in quality_ledger.ablations(got, policy, quality_ledger.RULES).collect():
         bit = 1 << next(x.bit for x in quality_ledger.RULES if x.name == r.rule)
         assert (r.n_failed, r.n_only, r.n_kept_without) == (sum(bool(b & bit) for b in bits), sum(b == bit for b in bits), sum(b & policy.mask() & ~bit == 0 for b in bits))
     text = "\n".join(["stupid idiot words and more words here"] * 3 + ["line %d of other things" % i for i in range(12)])
@@ -135,12 +135,13 @@ def test_toxic_terms(spark):
     clean = [" ".join(map(word, range(10 * i, 10 * i + 60))) for i in range(30)]
     rows = [(i, t, "fr") for i, t in enumerate(toxic + clean)] + [(100, toxic[0], "de"), (101, "Zatz! ébou, " + clean[7], "fr"), (102, "zatz zatz " + clean[8], "fr"), (None, toxic[1], "fr"), (103, None, "fr"), (104, toxic[2], None)]
     rows += [(200 + i, "only copies here " + clean[9], "fr") for i in range(20)]  # one text, whatever its copies
+    rows += [rows[0], rows[0], rows[7]]  # and whatever its rows
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     labels = spark.createDataFrame([(i, int(i < 6)) for i in range(36)] + [(200 + i, 1) for i in range(20)] + [(None, 1), (35, None)], "doc_id long, toxic int")
     terms = quality_ledger.toxic_terms(docs, labels)
     assert [tuple(r) for r in terms.collect()] == [("fr", ["zatz", "ébou"])]
     got = quality_ledger.ledger(docs, terms=terms)
-    assert counted(got.where("n_toxic_terms > 0").select("doc_id", "n_toxic_terms").collect()) == Counter([*((i, 2) for i in range(6)), (101, 2), (None, 2), (102, 1)])
+    assert counted(got.where("n_toxic_terms > 0").select("doc_id", "n_toxic_terms").collect()) == Counter([*((i, 2) for i in range(6)), (0, 2), (0, 2), (101, 2), (None, 2), (102, 1)])
     assert all((r.fail_bits >> quality_ledger.TOXIC.bit) % 2 == (r.n_toxic_terms >= 2) and r.kept_v3 == (r.fail_bits == 0) for r in quality_ledger.apply_policies(got, (quality_ledger.LABELLED,)).collect())
     assert got.count() == len(rows) and quality_ledger.toxic_terms(docs, labels.limit(0)).count() == 0
 
