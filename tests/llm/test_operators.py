@@ -593,6 +593,69 @@ def test_html_keeps_whole_articles():
     assert of(f"<body>Bare words.<div>{body}</div>More <b>words</b>.<div class=related>r</div></body>") == ["Bare words.", *text, "More words."]
 
 
+def test_html_names_and_menus():
+    long = "A sentence of the text, with commas, as long as any, and longer, than it should be. " * 5
+    body, text = "".join(f"<p>{long}{i}</p>" for i in range(3)), [f"{long}{i}" for i in range(3)]
+    of = lambda page: html_text.main_text(page).split("\n\n")
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>Page {i}</a></li>" for i in range(9)) + "</ul>"
+    assert of(f"<body><h1>Title</h1><div class='social-history'>{body}</div><div>x</div></body>") == ["Title", *text, "x"]
+    assert of(f"<div class='content-sidebar-wrap'><main><h1>T</h1>{body}</main><div class='sidebar'><p>side</p></div></div><div id=footer>f</div>") == ["T", *text]
+    assert of(f"<article><div class='content promoted'>{body}</div><div class='share'>s</div></article>") == text
+    assert of(f"<article>{body}{menu}<p>The <a href=x>end</a>.</p><ol><li><a href=x>{long}</a></ol></article>") == [*text, "The end.", long.strip()]
+    assert of(f"<div><p>{long}0</p></div><div class=comments>{body}{body}</div>") == text[:1]
+    assert of(f"<article><p>{long}0</p><section id='comments'><article class='comment'>{body}</article></section></article>") == text[:1]
+
+
+def test_html_layouts():
+    """Articles of random blocks in random layouts, with noise around and inside, against what was put in."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvwxyzéüß") for _ in range(rng.randint(2, 9)))
+    sentence = lambda: " ".join(word() for _ in range(rng.randint(6, 25))) + rng.choice([", ", ". "]) + " ".join(word() for _ in range(rng.randint(3, 12))) + " & <so> on."
+    coded = lambda t: t.replace("&", rng.choice(["&amp;", "&#38;", "&#x26;"])).replace("<", "&lt;").replace(">", "&gt;").replace("é", rng.choice(["é", "&eacute;", "&#233;"])).replace(" ", rng.choice([" ", "  ", "\n\t", "&nbsp;"]), 2)
+    inline = lambda t: re.sub(r"\b(\w{6,9})\b", lambda m: rng.choice(["{}", "<b>{}</b>", "<em>{}</em>", "<a href='/x'>{}</a>"]).format(m[1]), t, count=2)
+    noise = [
+        lambda: "<nav><ul>" + "".join(f"<li><a href=/{word()}>{word()}</a>" for _ in range(6)) + "</ul></nav>", lambda: f"<aside><p>{sentence()}</p></aside>", lambda: f"<form><label>{word()}</label><input><p>{sentence()}</p></form>",
+        lambda: f"<script>var a = '<p>{word()}</p>';</script><style>p {{ color: red }}</style><!-- <p>{word()}</p> -->", lambda: f"<div class='ad-slot ad'>{sentence()}</div>", lambda: f"<div id='cookie-notice'><p>{sentence()}</p></div>",
+        lambda: f"<div role='search'>{word()}</div>", lambda: f"<div style='display: none'>{sentence()}</div>", lambda: f"<section class='related'><h3>{word()}</h3><p><a href=x>{sentence()}</a></p></section>",
+    ]
+    for _ in range(300):
+        blocks, page = [], []
+        for k in range(rng.randint(6, 14)):
+            kind = rng.choice(["p", "p", "p", "p", "h2", "ul", "blockquote", "pre"]) if k else "h1"
+            if kind == "ul":
+                items = [sentence() for _ in range(rng.randint(1, 4))]
+                blocks += items
+                page.append("<ul>" + "".join(f"<li>{coded(x)}" + rng.choice(["", "</li>"]) for x in items) + "</ul>")
+            else:
+                t = " ".join(sentence() for _ in range(rng.randint(2, 6))) if kind not in ("h1", "h2") else sentence()
+                blocks.append(t)
+                page.append(f"<{kind}>{coded(t) if kind == 'pre' else inline(coded(t))}" + ("" if kind == "p" and rng.random() < 0.3 else f"</{kind}>"))
+            if rng.random() < 0.2:
+                page.append(rng.choice(noise)())
+        if rng.random() < 0.4:  # in sections
+            cut = rng.randrange(1, len(page))
+            page = ["<section>", *page[:cut], "</section><section>", *page[cut:], "</section>"]
+        begin, end = rng.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<div class='post'>", "</div>"), ("<div><div id='content'>", "</div></div>"), ("<table><tr><td>", "</td></tr></table>"), ("", ""), ("<div class='layout has-sidebar'><article class='entry'>", "</article></div>")])
+        around = [rng.choice(noise)() for _ in range(rng.randint(0, 4))]
+        comments = f"<div class='comments'><h3>{word()}</h3><p>{sentence()}</p><p>{sentence()}</p></div>" if rng.random() < 0.5 else ""
+        html = f"<!DOCTYPE html><html><head><title>{word()}</title></head><body><header><h1>{word()}</h1></header>{''.join(around)}{begin}{''.join(page)}{end}{comments}<footer><p>{word()} &copy;</p></footer></body></html>"
+        assert html_text.main_text(html).split("\n\n") == [" ".join(b.split()) for b in blocks], html
+
+
+def test_html_takes_linear_time():
+    import time
+
+    def took(page):
+        begin = time.process_time()
+        html_text.main_text(page)
+        return time.process_time() - begin
+
+    for make in (lambda n: "<b>" * n + "<div>x</div>" * (n // 10), lambda n: "<div>" * n + "x", lambda n: "<p><button>" + "<b>" * n + "<div>x" * n, lambda n: "<div>" * n + "<header>x" * n, lambda n: "<ul><li><a>x" * n, lambda n: "<ul>" * n + "<a>x" * n, lambda n: "<div class=ad>x" * n, lambda n: "<p>a" * n):
+        assert took(make(40_000)) < 5 * took(make(20_000)) + 0.5 and took(make(40_000)) < 6
+    big = "<article>" + "<p>a paragraph, of some words</p>" * 100_000 + "</article>"  # 3 MB
+    assert html_text.main_text(big).count("\n\n") == 99_999
+
+
 def test_html_hostile_and_frame(spark):
     deep = "<div>" * 20_000 + "x" + "</b>" * 10
     assert html_text.main_text(deep) == "x" and html_text.main_text("<" * 5000) and html_text.main_text('<a "' * 3000) == ""
