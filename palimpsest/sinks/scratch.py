@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,14 +27,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+#: The tables of the innermost :func:`temporary_tables`.
+_MADE: list[list[str]] = []
+
+
+def _at(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df``, written as Parquet in the shared folder and read back.
 
-    A lost executor then costs a re-read, not a re-run of everything before.  The files go when the application ends.
+    A lost executor then costs a re-read, not a re-run of everything before.  The files go at the end of the
+    :func:`temporary_tables` around, unless keep, or else when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    at, fs = _at(spark, path)
+    fs.deleteOnExit(at)
+    if _MADE and not keep:
+        _MADE[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """What is saved inside is deleted at the end; results that are to outlast it are saved inside with keep."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            at, fs = _at(spark, path)
+            fs.delete(at, True)

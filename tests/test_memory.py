@@ -15,6 +15,7 @@ from palimpsest.operators import working as W
 from palimpsest.operators.numbering import numbered
 from palimpsest.schema import Config
 from palimpsest.sinks import store
+from palimpsest.sinks.scratch import saved, temporary_tables
 from palimpsest.sources import testdata as D
 from palimpsest.sources.workspace import files_in_scope, read_events
 from palimpsest.streaming import pulse as P
@@ -128,6 +129,15 @@ def test_explore_against_plain_bfs(spark, seed):
     assert all(sorted(r.ord for r in places if (r.root, r.depth) == key) == list(range(1, 1 + sum((r.root, r.depth) == key for r in places))) for key in {(r.root, r.depth) for r in places})
 
 
+def test_temporary_tables(spark):
+    with temporary_tables(spark):
+        gone = saved(spark.range(3), "gone")
+        kept = saved(gone.selectExpr("id + 1 as id"), "kept", keep=True)
+    assert sorted(r.id for r in kept.collect()) == [1, 2, 3]
+    with pytest.raises(Exception, match="(?i)exist|not found|PATH_NOT_FOUND"):
+        spark.read.parquet(gone.inputFiles()[0]).count()
+
+
 def test_numbered(spark):
     rng = random.Random(3)
     rows = [(rng.choice(["a", "b", None]), i, rng.random()) for i in range(500)]
