@@ -35,10 +35,8 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = brown_lm.train(docs.where(~brown_lm.held_out(F.col("doc_id"))))
-    done = brown_lm.score(docs, model)
-    return done.select("doc_id", brown_lm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    model, docs = brown_lm.fit(table(spark, sf_dir, "documents"), ~brown_lm.held_out(F.col("doc_id")))
+    return brown_lm.scores(docs, model).select("doc_id", brown_lm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
