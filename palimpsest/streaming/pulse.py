@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..operators.numbering import running_counts
 
 LIMIT = 5
 KINDS = ("tool", "mem", "prompt")
@@ -23,16 +24,19 @@ def kind_of_tool(name: Column) -> Column:
 
 
 def notices(trace: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """``(session_id, seq, ticks)``: the notices of a finished trace ``(session_id, seq, kind[, new_session])``.
+    """``(session_id, seq, ticks)``: the notices of a finished trace ``(session_id, seq, kind[, new_session])``; seq tells its rows apart.
 
-    A stretch between two uses of memory has a running number of tool calls, by a window; only its prompts that could fire are
-    gathered, and the fold goes over those.
+    Uses of memory and tool calls are counted up to each row, a session being spread over tasks.  Of the prompts of a stretch between
+    two uses of memory only the first at each number of tool calls can fire; the fold goes over those.  It is the one step that takes a
+    stretch as a whole, since whether a prompt fires depends on the one that fired before it.
     """
     if "new_session" not in trace.columns:
         trace = trace.withColumn("new_session", F.lit(False))
-    by_session = "partition by session_id order by seq rows between unbounded preceding and current row"
-    runs = trace.where(F.col("kind").isin(*KINDS)).withColumn("stretch", F.expr(f"count_if(kind = 'mem') over ({by_session})")).withColumn("tools", F.expr(f"count_if(kind = 'tool') over ({by_session})"))
-    first = runs.groupBy("session_id", "stretch").agg(F.min(F.when(F.col("kind") == "mem", F.col("tools"))).alias("before"), F.array_sort(F.collect_list(F.when((F.col("kind") == "prompt") & ~F.coalesce("new_session", F.lit(False)), F.struct("seq", "tools")))).alias("prompts"))
+    counted = running_counts(trace.where(F.col("kind").isin(*KINDS)), ("session_id",), ("seq",), {"stretch": F.col("kind") == "mem", "tools": F.col("kind") == "tool"})
+    runs = counted.groupBy("session_id", "stretch", "tools").agg(
+        F.max(F.col("kind") == "mem").alias("begins"), F.min(F.when((F.col("kind") == "prompt") & ~F.coalesce("new_session", F.lit(False)), F.col("seq"))).alias("seq")
+    )
+    first = runs.groupBy("session_id", "stretch").agg(F.min(F.when(F.col("begins"), F.col("tools"))).alias("before"), F.array_sort(F.collect_list(F.when(F.col("seq").isNotNull(), F.struct("seq", "tools")))).alias("prompts"))
     none = F.array().cast("array<struct<seq:bigint,ticks:bigint>>")
     begin = F.struct(F.coalesce("before", F.lit(0)).cast("long").alias("base"), none.alias("out"))
 
