@@ -124,7 +124,7 @@ def proximity_matches(
 
 
 def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``(doc_id, h, at)``: for each document with candidates, all of them as ``(begin, ats, words, items)``; ``h`` is the text's xxhash64.
+    """``(doc_id, h, at)``: for each document with candidates, all of them as ``(places, words, items)`` with places ``(begin, ats)``; ``h`` is the text's xxhash64.
 
     They have the anchors of windows in their places; whether the other words agree too is for the caller to see, who has the text.
     """
@@ -134,7 +134,9 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, doc_id: str =
     windows = saved(anchored_windows(known, counts, size), "windows")
     index = saved(postings(docs, windows.select(F.explode("anchors.term").alias("term")).distinct()), "postings")
     found = saved(candidates(index, windows, size), "candidates")
-    return found.join(small(known), "tid").groupBy("doc_id", "h").agg(F.collect_list(F.struct("begin", "ats", "words", "items")).alias("at"))
+    # An item's words come once for each document, however often it has them.
+    placed = found.groupBy("doc_id", "h", "tid").agg(F.collect_list(F.struct("begin", "ats")).alias("places")).join(small(known), "tid")
+    return placed.groupBy("doc_id", "h").agg(F.collect_list(F.struct("places", "words", "items")).alias("at"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -154,8 +156,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, doc_id:
     # Candidates are compared where the words are; most documents have none.
     def verified(w: Column, x: Column) -> Column:
         n = F.least(F.lit(size), F.size(x["words"]))
-        same = F.filter(x["ats"], lambda at: F.slice(w, x["begin"] + at + 1, n) == F.slice(x["words"], at + 1, n))
-        return F.struct(F.transform(same, lambda at: F.struct((x["begin"] + at).alias("start"), n.alias("length"))).alias("places"), x["items"].alias("items"))
+
+        def starts(p: Column) -> Column:
+            same = F.filter(p["ats"], lambda at: F.slice(w, p["begin"] + at + 1, n) == F.slice(x["words"], at + 1, n))
+            return F.transform(same, lambda at: F.struct((p["begin"] + at).alias("start"), n.alias("length")))
+
+        return F.struct(F.flatten(F.transform(x["places"], starts)).alias("places"), x["items"].alias("items"))
 
     done = bound(F.struct(words_of(F.col("__text")).alias("w"), F.col("__at").alias("at")), lambda v: F.struct(F.size(v["w"]).cast("long").alias("n"), F.filter(F.transform(v["at"], lambda x: verified(v["w"], x)), lambda x: F.size(x["places"]) > 0).alias("hits")))
     out = own.join(found, F.expr("doc_id <=> __id and __text_h = __h"), "left").select("doc_id", *kept, done.alias("__done"))
