@@ -234,6 +234,17 @@ def focus_view(stacks: DataFrame) -> DataFrame:
     )
 
 
+def focus_frontends(stacks: DataFrame, goal: str = NO_GOAL, updated: str = "") -> DataFrame:
+    """``(workspace, text)``: :func:`render_view` of each queue."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [render_view(Focus(goal, p or [], f, q or [], updated)) for p, f, q in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["workspace", "text"])
+
+    return stacks.select(F.col("workspace").cast("long").alias("workspace"), "current_path", "current_focus", "pending_siblings").mapInArrow(run, "workspace long, text string")
+
+
 def fold(actions: DataFrame) -> DataFrame:
     """The last state of each workspace: ``(workspace, goal, path, focus, pending, overflow, n_done, n_refused)``.
 

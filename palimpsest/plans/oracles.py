@@ -241,6 +241,14 @@ def oracle_sql() -> dict[str, str]:
             select 'evt_'||strftime(day,'%Y%m%d')||'_'||printf('%03d',seq) as id, strftime(ts,'%Y-%m-%dT%H:%M:%S.%g')||'Z' as timestamp, type, props as content, case when event_id%2=0 then importance else 0.5e0 end as importance,
               '' as tags, '' as associations, false as consolidated, 1.0e0 as decay_score from new""",
         "prompt_context": _context(),
+        "session_state": f"""with recursive t as (select user_id as session_id, case event_type when 'purchase' then 'prompt' when 'signup' then 'mem' else 'tool' end as kind, row_number() over (partition by user_id order by event_id) as n from events),
+            run as (select session_id, n, cast((kind='tool')::int as bigint) as ticks from t where n=1 union all select t.session_id, t.n, case when t.kind='mem' then 0 when t.kind='tool' then r.ticks+1 when r.ticks>={LIMIT} then 0 else r.ticks end
+              from run r join t on t.session_id=r.session_id and t.n=r.n+1)
+            select session_id, ticks from run qualify n=max(n) over (partition by session_id)""",
+        "focus_frontend": f"""with {STACKS} select workspace, '**Project Goal:** Goal'||chr(10)||'**Last Updated:** {REFERENCE}'||chr(10)||chr(10)
+            ||case when np>0 then '**Path:**'||chr(10)||case when p<np then '  └─ ... ('||(np-p)||' earlier steps hidden)'||chr(10) else '' end||array_to_string(list_transform(path[np-p+1:np], lambda x: '  └─ '||x),chr(10))||chr(10)||chr(10) else '' end
+            ||'**🚀 FOCUS:** '||focus||case when nq>0 then chr(10)||chr(10)||'**Upcoming:**'||chr(10)||array_to_string(list_transform(pending[1:q], lambda x: '  - '||x),chr(10))
+              ||case when q<nq then chr(10)||'  - ... ('||(nq-q)||' later steps pending in backend queue)' else '' end else '' end as text from limits""",
         "derived_by_type_rollup": f"{done} select type, day, count(*) as n, count(*) filter (action='archived') as archived, cast(sum(cast(floor(computed_score*10000+0.5e0) as bigint)) as bigint) as score_sum from classified group by rollup(type, day)",
         "sql_functions": f"""with {MEM}, aged as (select *, {AGE} as age from mem) select event_id, {DECAY.format(score='decay_score', age='age')} as new_score, {_score('event_id%8')} as score,
             'evt_'||strftime(day,'%Y%m%d')||'_'||printf('%03d',event_id) as id from aged""",

@@ -315,6 +315,15 @@ def prompt_context(spark: SparkSession, sf: str) -> DataFrame:
     return P.context(prompts, P.notices(t), stacks, e)
 
 
+def session_state(spark: SparkSession, sf: str) -> DataFrame:
+    return P.session_ticks(D.trace(spark, sf))
+
+
+def focus_frontend(spark: SparkSession, sf: str) -> DataFrame:
+    """The text that is shown of each focus queue."""
+    return W.focus_frontends(D.stacks(spark, sf), "Goal", D.REFERENCE)
+
+
 def derived_by_type_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """An extension: counts and mean scores by kind and day, with subtotals."""
     df = C.classify(D.mem_base(spark, sf), D.reference()).rollup("type", "day")
@@ -337,7 +346,7 @@ def queries() -> dict:
         consolidate_archived, consolidate_report, consolidate_report_by_day, archive_union, edges_exploded, assoc_degree, explore_ordered, explore_scored_nodes, explore_visited, reinforced_events,
         knowledge_resolve, knowledge_confidence, knowledge_assoc_parse, knowledge_index_rows, knowledge_index_render, daily_log_render, next_event_seq, last_turns, new_session_flag, auto_record_candidates,
         auto_record_more_words, stack_usage, focus_view_7, working_fold, pulse_ticks_batch, derived_by_type_rollup, sql_functions,
-        workspace_telemetry, workspace_next_seq, workspace_index_file, index_length, path_catalog, tool_kinds, age_of_text_times, bullet_items, scratchpad_notes, record_bulk, prompt_context,
+        workspace_telemetry, workspace_next_seq, workspace_index_file, index_length, path_catalog, tool_kinds, age_of_text_times, bullet_items, scratchpad_notes, record_bulk, prompt_context, session_state, focus_frontend,
     )
     out = {f.__name__: f for f in named}
     out |= {"jsonl_strict_scan": _scanned(False), "jsonl_lenient_scan": _scanned(True)} | {f"workspace_consolidate_{s}": _consolidated(s) for s in ("day", "full")}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from dataclasses import dataclass
 from datetime import date, timedelta
 from pathlib import Path
@@ -15,10 +16,15 @@ from ..schema import EVENT, SCOPES
 
 @dataclass(frozen=True)
 class Paths:
-    """The fixed places below a workspace, which is always given, never taken from the environment."""
+    """The fixed places below a workspace, which is given, never taken from the environment."""
 
     workspace: str
 
+    @classmethod
+    def of(cls, *given: str | os.PathLike | None) -> Paths:
+        """The first workspace that is given (by the call, then by the settings), or else the current folder."""
+        return cls(next((str(g) for g in given if g), os.getcwd()))
+
     def _at(self, *parts: str) -> Path:
         return Path(self.workspace, *parts)
 

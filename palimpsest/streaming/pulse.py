@@ -23,6 +23,20 @@ def kind_of_tool(name: Column) -> Column:
     return F.when(F.coalesce(name, F.lit("")).startswith("memory_"), F.lit("mem")).otherwise(F.lit("tool"))
 
 
+def _counted(trace: DataFrame) -> DataFrame:
+    if "new_session" not in trace.columns:
+        trace = trace.withColumn("new_session", F.lit(False))
+    return running_counts(trace.where(F.col("kind").isin(*KINDS)), ("session_id",), ("seq",), {"stretch": F.col("kind") == "mem", "tools": F.col("kind") == "tool"})
+
+
+def session_ticks(trace: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """``(session_id, ticks)``: the count of each session at the end of a trace, as the keyed state of the stream has it."""
+    counted = _counted(trace)
+    last = counted.join(notices(trace, limit).select("session_id", "seq", F.lit(True).alias("fired")), ["session_id", "seq"], "left")
+    reset = F.max(F.when((F.col("kind") == "mem") | F.col("fired"), F.col("tools")))
+    return last.groupBy("session_id").agg((F.max("tools") - F.coalesce(reset, F.lit(0))).alias("ticks"))
+
+
 def notices(trace: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``(session_id, seq, ticks)``: the notices of a finished trace ``(session_id, seq, kind[, new_session])``; seq tells its rows apart.
 
@@ -30,10 +44,7 @@ def notices(trace: DataFrame, limit: int = LIMIT) -> DataFrame:
     two uses of memory only the first at each number of tool calls can fire; the fold goes over those.  It is the one step that takes a
     stretch as a whole, since whether a prompt fires depends on the one that fired before it.
     """
-    if "new_session" not in trace.columns:
-        trace = trace.withColumn("new_session", F.lit(False))
-    counted = running_counts(trace.where(F.col("kind").isin(*KINDS)), ("session_id",), ("seq",), {"stretch": F.col("kind") == "mem", "tools": F.col("kind") == "tool"})
-    runs = counted.groupBy("session_id", "stretch", "tools").agg(
+    runs = _counted(trace).groupBy("session_id", "stretch", "tools").agg(
         F.max(F.col("kind") == "mem").alias("begins"), F.min(F.when((F.col("kind") == "prompt") & ~F.coalesce("new_session", F.lit(False)), F.col("seq"))).alias("seq")
     )
     first = runs.groupBy("session_id", "stretch").agg(F.min(F.when(F.col("begins"), F.col("tools"))).alias("before"), F.array_sort(F.collect_list(F.when(F.col("seq").isNotNull(), F.struct("seq", "tools")))).alias("prompts"))

@@ -27,6 +27,9 @@ from .sources.workspace import Paths, event_lines, files_in_scope, read_events,
 #: The focus queue as it stands where an event comes first.
 FIRST_STACK = {"project_goal": "Checking system...", "current_path": [], "current_focus": "Initializing", "pending_siblings": []}
 
+#: What is said of an event that was recorded.
+RECORDED = "Event recorded: {id}\nType: {type} | Importance: {importance:g}\nWritten to: .memory/events/{day}.jsonl + memory/{day}.md"
+
 
 def iso(now: datetime) -> str:
     return now.astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z"
@@ -134,6 +137,26 @@ class MemoryWorkspace:
                 store.write_text(self.at.scratchpad, new)
         return said if action in ("status", "overflow", "scratchpad_append", "scratchpad_refill") else f"{said}\n\n{W.render_status(state)}"
 
+    # Calls by name
+
+    def call(self, tool: str, now: datetime, **given) -> dict:
+        """A tool by its name; what it says as ``{"content": [{"type": "text", "text": ...}]}``, errors too."""
+        try:
+            if tool == "memory_record":
+                e = self.record(now=now, **given)
+                text = RECORDED.format(day=iso(now)[:10], **e)
+            elif tool == "memory_explore":
+                text = self.explore(**given)[1]
+            elif tool == "memory_consolidate":
+                text = self.consolidate(now, **given)[1]
+            elif tool == "memory_working":
+                text = self.work(now=now, **given)
+            else:
+                raise ValueError(f"unknown tool: {tool}")
+        except ValueError as e:
+            text = f"Error: {e}"
+        return {"content": [{"type": "text", "text": text}]}
+
     # Hooks
 
     def telemetry(self) -> dict:

@@ -17,7 +17,7 @@ from palimpsest.schema import Config
 from palimpsest.sinks import store
 from palimpsest.sinks.scratch import saved, temporary_tables
 from palimpsest.sources import testdata as D
-from palimpsest.sources.workspace import files_in_scope, read_events
+from palimpsest.sources.workspace import Paths, files_in_scope, read_events
 from palimpsest.streaming import pulse as P
 from palimpsest.tools import MemoryWorkspace
 
@@ -348,6 +348,17 @@ def test_scratchpad_keeps_the_rest(spark, tmp_path):
     assert W.with_note("", "A", "b", "01:02") == "# Scratchpad\n\n## A\n- [01:02] b\n" and W.without_items("## A\n", "B", 1) == "## A\n"
 
 
+def test_calls_and_paths(spark, tmp_path, monkeypatch):
+    ws = MemoryWorkspace(spark, tmp_path)
+    text = lambda r: (r["content"][0]["type"], r["content"][0]["text"])
+    assert text(ws.call("memory_record", NOW, content="c", type="insight")) == ("text", "Event recorded: evt_20260310_001\nType: insight | Importance: 0.5\nWritten to: .memory/events/2026-03-10.jsonl + memory/2026-03-10.md")
+    assert text(ws.call("memory_working", NOW, action="push"))[1] == "Error: Action 'push' requires 'siblings' array."
+    assert text(ws.call("memory_explore", NOW, entry_id="evt_x"))[1] == "No entry found for ID: evt_x" and text(ws.call("memory_consolidate", NOW, dry_run=True))[1].startswith("Consolidation (DRY RUN) complete:")
+    assert text(ws.call("other", NOW))[1] == "Error: unknown tool: other" and text(ws.call("memory_record", NOW, content="c", type="x"))[1].startswith("Error")
+    monkeypatch.chdir(tmp_path)
+    assert Paths.of(None, "", "b", "c").workspace == "b" and Paths.of(None).workspace == str(tmp_path)
+
+
 def test_archive_keeps_equal_lines_and_survives_a_break(tmp_path):
     day, archive = tmp_path / "d.jsonl", tmp_path / "a" / "d.jsonl"
     store.write_event_lines(day, ["x", "x", "y"])
