@@ -479,6 +479,20 @@ def test_added_kinds_by_brute_force():
     assert [long[a:b] for kind, a, b in find.spans(long) if kind == "account"] == ["1234567890" * 3]
 
 
+def test_many_equal_rows(spark, library):
+    """However many rows are equal, each is counted on its own."""
+    text = "The same text, with rarewords%d in it"
+    rows = [(None, None)] * 3000 + [(7, text % 1)] * 3000 + [(i, text % i) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = Counter((i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+    for dictionary in (1 << 17, 3):
+        assert counted(token_counts.token_counts(df, dictionary=dictionary).collect()) == want
+    model = brown_lm.train(df, dictionary=3, core=2, n_classes=2)
+    got = brown_lm.score(df, model).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter((i, len((t or "").split()) + 1) for i, t in rows)
+    assert len({(r.doc_id, r.n_tokens, round(r.score, 6)) for r in got if r.doc_id in (None, 7)}) == 3  # document 7 has two texts
+
+
 def test_ids_of_any_type(spark, library):
     rows = [("a", "some text of few words, joe@mail.example.com"), (None, None), ("b", "other text")]
     df = spark.createDataFrame(rows, "doc_id string, text string")
