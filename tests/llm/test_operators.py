@@ -765,6 +765,31 @@ def test_brown_gains():
                 assert abs((got[c] - got[cls[w]]) - (moved[c] - moved[cls[w]])) < 1e-6
 
 
+def test_neighbour_lists():
+    """Counts that have no room are split, and lists merge to the counts they stand for."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    span = 1 << 29  # leaves two bits, for counts up to 3
+    key, n = np.unique(rng.integers(0, 40, 60)) * span + 5, None
+    key = np.sort(np.unique(np.concatenate((key, key + 7))))
+    n = rng.integers(1, 30, len(key))
+    rows = brown_lm._lists(key, n, span)
+    listed = pa.RecordBatch.from_arrays([pa.concat_arrays([rows.column(0)]), pa.ListArray.from_arrays(pa.array(np.arange(rows.num_rows + 1, dtype=np.int32)), rows.column(1))], ["w", "data"])
+
+    def counts(batch):
+        w, of, v, k = brown_lm._neighbours(batch, span)
+        out = Counter()
+        for x, y, z in zip(w[of].tolist(), v.tolist(), k.tolist(), strict=True):
+            out[x, y] += z
+        return out
+
+    want = Counter({(int(k) // span, int(k) % span): int(c) for k, c in zip(key, n, strict=True)})
+    assert counts(listed) == want and counts(listed.slice(3, 5)) == Counter({k: c for k, c in want.items() if k[0] in rows.column(0).to_pylist()[3:8]})
+    assert sum((counts(b) for b in brown_lm._merged(span)([listed])), Counter()) == want
+
+
 def test_brown_clusters_all_words(spark):
     """Words of two kinds that follow each other: the rounds separate them, in the dictionary and beyond it, and each makes classes tell more."""
     rng = random.Random(6)
