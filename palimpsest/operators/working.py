@@ -42,7 +42,6 @@ GOAL_LINE, TIME_LINE, PATH_HEAD, FOCUS_LINE, NEXT_HEAD = "**Project Goal:** {}",
 PATH_ITEM, NEXT_ITEM = "  └─ {}", "  - {}"
 PATH_HIDDEN, NEXT_HIDDEN = "  └─ ... ({} earlier steps hidden)", "  - ... ({} later steps pending in backend queue)"
 STATUS_HEAD, STATUS_FOOT = "## Current Focus Stack", "*Backend Queue: {} items (Auto-truncating to 7 for MD frontend)*"
-ACTIONS = ("status", "plan", "push", "complete", "overflow", "scratchpad_append", "scratchpad_refill")
 
 
 @dataclass

@@ -24,24 +24,6 @@ EVENT = T.StructType(
         T.StructField("decay_score", T.DoubleType()),
     ]
 )
-FOCUS_STACK = T.StructType(
-    [
-        T.StructField("project_goal", T.StringType()),
-        T.StructField("current_path", T.ArrayType(T.StringType())),
-        T.StructField("current_focus", T.StringType()),
-        T.StructField("pending_siblings", T.ArrayType(T.StringType())),
-        T.StructField("last_updated", T.StringType()),
-    ]
-)
-NODE = T.StructType(
-    [
-        T.StructField("id", T.StringType()),
-        T.StructField("kind", T.StringType()),
-        T.StructField("content", T.StringType()),
-        T.StructField("importance", T.DoubleType()),
-        T.StructField("associations", T.ArrayType(T.StringType())),
-    ]
-)
 
 
 @dataclass(frozen=True)
