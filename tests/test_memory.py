@@ -243,6 +243,17 @@ def test_pulse_batch(spark):
     assert got == sorted((s, *x) for s, rs in by.items() for x in ticks(rs)) and ("t", 5, 5) in got
 
 
+def settle(q, rows):
+    """Stop a stream that has read so many rows; state with a time to live keeps it from ending by itself."""
+    for _ in range(240):
+        if q.awaitTermination(0.5):
+            return
+        done = q.recentProgress
+        if sum(p["numInputRows"] for p in done) >= rows and done[-1]["numInputRows"] == 0:
+            break
+    q.stop()
+
+
 def test_pulse_stream_equals_batch(spark, tmp_path):
     rows = trace_rows(6)
     schema = "session_id string, seq long, kind string, new_session boolean"
@@ -250,7 +261,7 @@ def test_pulse_stream_equals_batch(spark, tmp_path):
         spark.createDataFrame(rows[k * 200 : k * 200 + 200], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in/*"))
     q = P.stream_notices(stream).writeStream.format("memory").queryName("pulse").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    settle(q, len(rows))
     got = Counter(map(tuple, spark.table("pulse").collect()))
     assert got == Counter(map(tuple, P.notices(spark.createDataFrame(rows, schema)).collect())) and got
 
@@ -390,7 +401,7 @@ def test_auto_record_stream(spark, tmp_path):
         spark.createDataFrame(rows[k : k + 5], schema).write.parquet(str(tmp_path / f"in/{k:03d}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 10).parquet(str(tmp_path / "in/*"))
     q = P.stream_auto_records(stream).writeStream.format("memory").queryName("exchanges").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    settle(q, len(rows))
     assert sorted(map(tuple, spark.table("exchanges").collect())) == [("a", 3, "User: I PREFER tabs\nAsst: ok"), ("b", 4, "User: hello\nAsst: decided")]
 
 
