@@ -1,5 +1,6 @@
 """Each operator against brute force or the library it stands for, with the cases its docstring defines."""
 
+import gc
 import hashlib
 import math
 import os
@@ -75,6 +76,27 @@ def test_codec_verifies(library):
     assert all(codec.sound[t] for t in tokens)
 
 
+def test_codec_cache(library, monkeypatch):
+    """Known words are nothing that the collector walks through; words that go, come back or broke off get the same ids."""
+    rng = random.Random(11)
+    words = list({"".join(rng.choice("aeinorst" * 3 + "bcdhlmp\u00e9") for _ in range(rng.randint(3, 12))) for _ in range(20_000)})
+    codec = bpe_codec.Codec(tokenizer_path())
+    gc.collect()
+    before = len(gc.get_objects())
+    codec.encode_batch([" ".join(words)])
+    gc.collect()
+    assert len(gc.get_objects()) - before < 1000 < len(words)
+    monkeypatch.setattr(bpe_codec, "CACHE", 300)  # far fewer words than the texts have
+    texts = [" ".join(rng.choices(words[:2000], k=rng.randint(0, 60))) + rng.choice(["", "<|endoftext|>", " <|startoftext|>x", "\x1c!\x1f", "q" * 300]) for _ in range(300)]
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert [ids for k in range(0, 300, 20) for ids in codec.encode_batch(texts[k : k + 20])] == want
+    with monkeypatch.context() as m, pytest.raises(MemoryError):
+        m.setattr(codec, "rules", lambda *_: (_ for _ in ()).throw(MemoryError()))
+        codec.encode_batch([" ".join(words[-3000:])])
+    assert codec.encode_batch([words[-1], "", words[-2]]) == [x.ids for x in library.encode_batch([words[-1], "", words[-2]], add_special_tokens=False)]
+    assert codec.encode_batch([]) == [] and codec.encode_batch(["", " "]) == [[], []]
+
+
 def test_bpe_letters(library):
     """Every code point, alone and inside a word, words in capitals whose lower case lies far off, and strings of mixed scripts."""
     chars = [chr(c) for c in range(1 << 16 | 1 << 20) if not 0xD800 <= c < 0xE000]
