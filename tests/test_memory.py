@@ -129,6 +129,36 @@ def test_explore_against_plain_bfs(spark, seed):
     assert all(sorted(r.ord for r in places if (r.root, r.depth) == key) == list(range(1, 1 + sum((r.root, r.depth) == key for r in places))) for key in {(r.root, r.depth) for r in places})
 
 
+@pytest.mark.parametrize(("heavy", "few"), [(0, 256), (2, 5)])
+def test_long_lists_against_plain_bfs(spark, monkeypatch, heavy, few):
+    """Roots that share lists of links, several each: the same nodes, ways and places as pair by pair."""
+    rng = random.Random(heavy)
+    ids = [f"evt_{i}" for i in range(14)] + [f"ke_{i}" for i in range(3)]
+    hub = lambda: rng.choice(["ke_0", "ke_1", "evt_1"])
+    evts = [(i, [hub(), *(rng.choice([*ids, "evt_gone", "ke_gone"]) for _ in range(rng.randint(0, 2)))]) for i in ids[:14]] + [("evt_3", ["ke_0"])]
+    kes = [(i, [rng.choice(ids), "ke_gone"]) for i in ids[14:]]
+    nodes = {}
+    for i, links in [*evts, *kes]:
+        nodes.setdefault(i, links)
+    schema = "id string, content string, importance double, associations array<string>, ord long"
+    e = spark.createDataFrame([(i, "x", 0.5, a, n) for n, (i, a) in enumerate(evts)], schema)
+    k = spark.createDataFrame([(i, "x", 0.5, a, 0) for i, a in kes], schema)
+    roots, n, g = spark.createDataFrame([(i,) for i in [*ids, "evt_none"]], "root string"), saved(G.nodes(e, k), "n"), saved(G.edges(e, k), "g")
+    monkeypatch.setattr(G, "BLOCK", 2)
+    want = {r: bfs(nodes, evts, r, 2, "both") for r in [*ids, "evt_none"]}
+    monkeypatch.setattr(G, "FEW", few)
+    got = G.explore(roots, n, g, 2, places=True, about=G.about(n).select("id", F.size("associations").alias("links")), heavy=heavy).collect()
+    loose = G.explore(roots, n, g, 2, emit_dangling=True, ways=False, heavy=heavy).collect()
+    for root, (expect, seen) in want.items():
+        mine = sorted((r for r in got if r.root == root), key=lambda r: (r.depth, r.at))
+        assert [(r.id, r.depth, r.links) for r in mine] == [(i, d, len(nodes[i])) for i, d in expect]
+        for d in range(3):
+            assert [r.ord for r in mine if r.depth == d] == list(range(1, 1 + sum(x == d for _, x in expect)))
+        assert sorted(r.id for r in loose if r.root == root) == sorted(seen - {i for i, _ in expect})
+    assert {r.root: r.n_visited for r in G.visited(roots, n, g, 2, heavy=heavy).collect()} == {r: len(x) for r, (x, _) in want.items() if x}
+    assert sorted(r.id for r in G.reached(roots.limit(3).withColumnRenamed("root", "id"), n, g, 2).collect()) == sorted(set().union(*(want[i][1] for i in ids[:3])))
+
+
 def test_temporary_tables(spark):
     with temporary_tables(spark):
         gone = saved(spark.range(3), "gone")
