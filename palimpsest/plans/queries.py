@@ -140,7 +140,7 @@ def explore_scored_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 def explore_visited(spark: SparkSession, sf: str) -> DataFrame:
     """How many nodes each exploration visits."""
-    return G.explore(*_graph(spark, sf, "both"), 2).groupBy("root").agg(F.count("*").alias("n_visited"))
+    return G.visited(*_graph(spark, sf, "both"), 2)
 
 
 def reinforced_events(spark: SparkSession, sf: str) -> DataFrame:
