@@ -145,11 +145,11 @@ def explore_visited(spark: SparkSession, sf: str) -> DataFrame:
 
 def reinforced_events(spark: SparkSession, sf: str) -> DataFrame:
     """What explorations from every correction reinforce."""
-    events = saved(D.mem(spark, sf), "events")
+    events = saved(D.mem(spark, sf).select("event_id", "id", "type", "associations", "decay_score", "ord"), "events")
     entries = saved(K.entries(D.know_files(spark, sf)).select("id", "associations", "ord"), "entries")
-    ids, links = saved(G.nodes(events, entries, fields=()), "ids"), saved(G.edges(events, entries, "both"), "links")
-    found, dangling = G.explore_all(events.where("type = 'correction'").select(F.col("id").alias("root")), ids, links, 2)
-    return G.reinforce(events, found.unionByName(dangling)).where("reinforced").select("event_id", "decay_score")
+    ids, links = saved(G.nodes(events, entries, fields=()), "ids"), G.edges(events, entries, "both")
+    met = G.reached(events.where("type = 'correction'").select("id"), ids, links, 2)
+    return G.reinforce(events, met).where("reinforced").select("event_id", "decay_score")
 
 
 def knowledge_resolve(spark: SparkSession, sf: str) -> DataFrame:
