@@ -6,7 +6,8 @@ import hashlib
 import json
 import os
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import islice
 from pathlib import Path
 
 import pyarrow as pa
@@ -32,37 +33,90 @@ def write_json(path: Path, value: dict) -> None:
     write_text(path, json.dumps(value, indent=2, ensure_ascii=False))
 
 
+def write_pieces(path: Path, pieces: Iterable[str]) -> None:
+    """As :func:`write_text`, piece by piece."""
+    path.parent.mkdir(parents=True, exist_ok=True)
+    beside = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
+    with beside.open("w", encoding="utf-8") as f:
+        f.writelines(pieces)
+    os.replace(beside, path)
+
+
 def write_event_lines(path: Path, lines: Iterable[str]) -> None:
     """A day's events, one JSON object a line; an empty file where none is left."""
-    write_text(path, "".join(f"{x}\n" for x in lines))
+    write_pieces(path, (f"{x}\n" for x in lines))
 
 
-def _lines(path: Path) -> list[str]:
+def _lines(path: Path) -> Iterator[str]:
     try:
-        return [x for x in path.read_text(encoding="utf-8").split("\n") if x.strip()]
-    except OSError:
-        return []
+        with path.open(encoding="utf-8") as f:
+            yield from (x for x in (y.removesuffix("\n") for y in f) if x.strip())
+    except FileNotFoundError:
+        return
 
 
 def _digest(path: Path) -> str:
-    return hashlib.sha256(path.read_bytes()).hexdigest() if path.is_file() else ""
+    if not path.is_file():
+        return ""
+    with path.open("rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
 
 
-def move_lines(day: Path, kept: list[str], archive: Path, moved: list[str]) -> None:
-    """Replace a day by what is kept of it, with what goes at the end of its archive, equal lines and all.
+class DayMove:
+    """A day that is replaced by what is kept of it, with what goes at the end of its archive, equal lines and all.
 
-    The archive is written first, so that nothing is lost in between; a note beside it tells how long it was and what the day held,
-    so that a run that breaks off is undone by :func:`settle_moves` before the next and no line is archived twice.
+    Lines go to files beside the two as they come, so that a day of any size takes no memory; :meth:`done` puts those in place.  The
+    archive comes first, so that nothing is lost in between; a note beside it tells how long it was and what the day held, so that a
+    run that breaks off is undone by :func:`settle_moves` before the next and no line is archived twice.
     """
-    if moved:
-        note = archive.with_name(f".{archive.name}.move")
-        old = _lines(archive)
-        write_json(note, {"lines": len(old), "day": _digest(day)})
-        write_event_lines(archive, [*old, *moved])
-        write_event_lines(day, kept)
+
+    def __init__(self, day: Path, archive: Path):
+        self.day, self.archive, self.old = day, archive, 0
+        self.kept, self.moved = self._open(day), None
+
+    def _open(self, path: Path):
+        path.parent.mkdir(parents=True, exist_ok=True)
+        return path.with_name(f".{path.name}.{uuid.uuid4().hex}").open("w", encoding="utf-8")
+
+    def keep(self, line: str) -> None:
+        self.kept.write(f"{line}\n")
+
+    def move(self, line: str) -> None:
+        if self.moved is None:
+            self.moved = self._open(self.archive)
+            for x in _lines(self.archive):
+                self.moved.write(f"{x}\n")
+                self.old += 1
+        self.moved.write(f"{line}\n")
+
+    def done(self) -> None:
+        self.kept.close()
+        if self.moved is None:
+            os.replace(self.kept.name, self.day)
+            return
+        self.moved.close()
+        note = self.archive.with_name(f".{self.archive.name}.move")
+        write_json(note, {"lines": self.old, "day": _digest(self.day)})
+        os.replace(self.moved.name, self.archive)
+        os.replace(self.kept.name, self.day)
         note.unlink()
-    else:
-        write_event_lines(day, kept)
+
+    def drop(self) -> None:
+        """What was written beside goes, and all stays as it was."""
+        for f in (self.kept, self.moved):
+            if f is not None:
+                f.close()
+                Path(f.name).unlink(missing_ok=True)
+
+
+def move_lines(day: Path, kept: Iterable[str], archive: Path, moved: Iterable[str]) -> None:
+    """Replace a day as :class:`DayMove` does."""
+    move = DayMove(day, archive)
+    for x in kept:
+        move.keep(x)
+    for x in moved:
+        move.move(x)
+    move.done()
 
 
 def settle_moves(events: Path, archive: Path) -> None:
@@ -70,7 +124,7 @@ def settle_moves(events: Path, archive: Path) -> None:
     for note in archive.glob(".*.move") if archive.is_dir() else ():
         name, was = note.name[1 : -len(".move")], json.loads(note.read_text(encoding="utf-8"))
         if _digest(events / name) == was["day"]:
-            write_event_lines(archive / name, _lines(archive / name)[: was["lines"]])
+            write_event_lines(archive / name, islice(_lines(archive / name), was["lines"]))
         note.unlink()
 
 
@@ -105,23 +159,25 @@ def rewrite_days(rows: DataFrame, events: Path, archive: Path) -> int:
     events, archive = str(events), str(archive)
 
     def run(batches):
-        name, kept, moved, done = None, [], [], []
-
-        def write() -> None:
-            if name is not None:
-                move_lines(Path(events, name), kept, Path(archive, name), moved)
-                done.append(name)
-
-        for b in batches:
-            for r in b.to_pylist():
-                if r["file"] != name:
-                    write()
-                    name, kept, moved = r["file"], [], []
-                if r["gone"]:
-                    moved.append(r["_raw"])
-                else:
-                    kept.append(r["_raw"] if r["new_score"] is None else json.dumps(json.loads(r["_raw"]) | {"decay_score": r["new_score"]}, ensure_ascii=False))
-        write()
+        name, move, done = None, None, []
+        try:
+            for b in batches:
+                for r in b.to_pylist():
+                    if r["file"] != name:
+                        if move is not None:
+                            move.done()
+                        name, move = r["file"], DayMove(Path(events, r["file"]), Path(archive, r["file"]))
+                        done.append(name)
+                    if r["gone"]:
+                        move.move(r["_raw"])
+                    else:
+                        move.keep(r["_raw"] if r["new_score"] is None else json.dumps(json.loads(r["_raw"]) | {"decay_score": r["new_score"]}, ensure_ascii=False))
+            if move is not None:
+                move.done()
+        except BaseException:
+            if move is not None:
+                move.drop()
+            raise
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["file"])
 
     return rows.repartition("file").sortWithinPartitions("file", "block", "pos").mapInArrow(run, "file string").count()

@@ -1,5 +1,6 @@
 import json
 import random
+import tracemalloc
 from collections import Counter, deque
 from datetime import date, datetime, timezone
 
@@ -417,6 +418,18 @@ def test_archive_keeps_equal_lines_and_survives_a_break(tmp_path):
     assert archive.read_text() == "x\nx\nx\n"
 
 
+def test_rewriting_a_day_holds_no_day(tmp_path, monkeypatch):
+    day, archive = tmp_path / "d.jsonl", tmp_path / "a" / "d.jsonl"
+    n = 300_000
+    store.write_event_lines(day, (f"{i:0100d}" for i in range(n)))
+    tracemalloc.start()
+    store.move_lines(day, (f"{i:0100d}" for i in range(0, n, 2)), archive, (f"{i:0100d}" for i in range(1, n, 2)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2_000_000  # the day has 30 MB
+    assert day.stat().st_size == archive.stat().st_size == 101 * n // 2 and not list(tmp_path.glob("**/.*"))
+
+
 def test_scope_of_files(tmp_path):
     for f in ("2026-03-02", "2026-03-03", "2026-03-10", "2026-03-11", "notes", "0"):
         (tmp_path / f"{f}.jsonl").write_text("")
