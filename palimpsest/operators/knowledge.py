@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +68,12 @@ def index_lines(rows: DataFrame) -> DataFrame:
     return head.unionByName(rows.select(F.lit(len(INDEX_HEAD)).alias("part"), "file", index_line().alias("line")))
 
 
+def index_pieces(rows: DataFrame) -> Iterator[str]:
+    """The index of a workspace, line by line as the driver gets it, each but the first with the break before it."""
+    for k, r in enumerate(index_lines(rows).orderBy("part", "file").toLocalIterator()):
+        yield f"\n{r.line}" if k else r.line
+
+
 def render_index(rows: DataFrame) -> str:
     """The index of a workspace as one text."""
-    return "\n".join(r.line for r in index_lines(rows).orderBy("part", "file").toLocalIterator())
+    return "".join(index_pieces(rows))

@@ -6,12 +6,15 @@ import json
 import os
 from dataclasses import dataclass
 from datetime import date, timedelta
+from itertools import islice
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import EVENT, SCOPES
+from ..sinks.scratch import saved
 
 
 @dataclass(frozen=True)
@@ -160,8 +163,43 @@ def read_events(spark: SparkSession, folder: Path | str, lenient: bool = False,
     return _typed(lines.where(F.col("parsed").isNotNull()))
 
 
+#: Files of a task, and files and bytes of a batch.
+TASK_FILES, BATCH_FILES, BATCH_BYTES = 20_000, 1000, 8_000_000
+
+
 def read_knowledge(spark: SparkSession, folder: Path | str) -> DataFrame:
-    """``(file, content)`` of the ``*.md`` files of a folder, each whole."""
-    if not any(Path(folder).glob("[!._]*.md")):
+    """``(file, content)`` of the ``*.md`` files of a folder, each whole; the folder is on a mounted file system.
+
+    A task lists the folder, and the names are dealt out: Spark's own reader would list them on the driver and count each as 4 MB, so
+    that 32 small files were a task.
+    """
+    folder = str(folder)
+
+    def listed():
+        with os.scandir(folder) as found:
+            yield from (e.name for e in found if e.name.endswith(".md") and e.name[0] not in "._" and e.is_file())
+
+    if not os.path.isdir(folder) or next(listed(), None) is None:
         return spark.createDataFrame([], "file string, content string")
-    return spark.read.text(f"{folder}/*.md", wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("content"))
+
+    def names(batches):
+        for _ in batches:
+            every = listed()
+            while some := list(islice(every, 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], ["file"])
+
+    def contents(batches):
+        for b in batches:
+            some, texts, size = [], [], 0
+            for name in b.column(0).to_pylist():
+                texts.append(Path(folder, name).read_bytes())
+                some.append(name)
+                size += len(texts[-1])
+                if size > BATCH_BYTES or len(some) >= BATCH_FILES:
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array(texts, pa.binary())], ["file", "content"])
+                    some, texts, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array(texts, pa.binary())], ["file", "content"])
+
+    files = saved(spark.range(1, numPartitions=1).mapInArrow(names, "file string"), "names")
+    parts = max(4 * spark.sparkContext.defaultParallelism, files.count() // TASK_FILES)
+    return files.repartition(parts).mapInArrow(contents, "file string, content binary").withColumn("content", F.col("content").cast("string"))

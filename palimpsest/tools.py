@@ -90,12 +90,24 @@ class MemoryWorkspace:
         chosen = saved(C.classify(events, reference, self.config), "chosen")
         counts = C.report(chosen).first().asDict()
         files = read_knowledge(self.spark, self.at.knowledge)
-        index = K.render_index(K.index_rows(files)) if self.at.knowledge.is_dir() else "\n".join((*K.INDEX_HEAD, K.INDEX_EMPTY))
+        # The files are read once; the index goes line by line, by way of no text that holds all of it.
+        index = K.index_pieces(saved(K.index_rows(files), "index")) if self.at.knowledge.is_dir() else iter(["\n".join((*K.INDEX_HEAD, K.INDEX_EMPTY))])
+        chars = 0
+
+        def counted():
+            nonlocal chars
+            for x in index:
+                chars += len(x)
+                yield x
+
         if not dry_run:
             self._rewrite(chosen.withColumns({"new_score": F.when(F.col("action") == "decayed", F.col("computed_score")), "gone": F.col("action") == "archived"}))
-            store.write_text(self.at.index, index)
-        counts |= {"index_chars": len(index), "index_regenerated": not dry_run}
-        return counts, C.render_report(counts, scope, len(index), dry_run, self.config)
+            store.write_pieces(self.at.index, counted())
+        else:
+            for _ in counted():
+                pass
+        counts |= {"index_chars": chars, "index_regenerated": not dry_run}
+        return counts, C.render_report(counts, scope, chars, dry_run, self.config)
 
     def _rewrite(self, events) -> None:
         """Write the files in which a score changes or an event goes, each by one task; keys that the schema doesn't know are kept."""

@@ -18,7 +18,7 @@ from palimpsest.schema import Config
 from palimpsest.sinks import store
 from palimpsest.sinks.scratch import saved, temporary_tables
 from palimpsest.sources import testdata as D
-from palimpsest.sources.workspace import Paths, files_in_scope, read_events
+from palimpsest.sources.workspace import Paths, files_in_scope, read_events, read_knowledge
 from palimpsest.streaming import pulse as P
 from palimpsest.tools import MemoryWorkspace
 
@@ -430,6 +430,16 @@ def test_rewriting_a_day_holds_no_day(tmp_path, monkeypatch):
     assert day.stat().st_size == archive.stat().st_size == 101 * n // 2 and not list(tmp_path.glob("**/.*"))
 
 
+def test_small_files_share_tasks(spark, tmp_path):
+    for i in range(600):
+        (tmp_path / f"k{i}.md").write_bytes(b"# T\n\xc3\xa4" if i % 2 else b"")
+    (tmp_path / ".hidden.md").write_text("x")
+    (tmp_path / "other.txt").write_text("x")
+    df = read_knowledge(spark, tmp_path)
+    assert {r.file: r.content for r in df.collect()} == {f"k{i}.md": "# T\nä" if i % 2 else "" for i in range(600)}
+    assert df.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_scope_of_files(tmp_path):
     for f in ("2026-03-02", "2026-03-03", "2026-03-10", "2026-03-11", "notes", "0"):
         (tmp_path / f"{f}.jsonl").write_text("")
